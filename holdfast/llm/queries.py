@@ -15,6 +15,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import predictions
+
+    return predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import digest, scan_secrets
 
@@ -22,7 +28,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op10_secret_scan)
+    f.__name__: f for f in (op1_decontamination, op3_toxicity, op10_secret_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {}
