@@ -61,6 +61,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+FLAT = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def flat_table(columns: dict, ddl: str) -> pa.Table:
+    """An Arrow table of a DDL string with plain types (workers have no session that could parse it)."""
+    return pa.Table.from_pydict(columns, schema=pa.schema([(n, FLAT[t]) for n, t in map(str.split, ddl.split(","))]))
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and UTF-8 bytes of a text column: one narrow aggregate, used only to size partitions."""
     n, b = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
