@@ -10,12 +10,24 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import digest, find_contamination
 
     return digest(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import predictions
 
@@ -36,7 +48,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_toxicity, op6_substring_dedup, op10_secret_scan)
+    f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op3_toxicity, op6_substring_dedup, op10_secret_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {}
