@@ -34,6 +34,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import remove_repeated_passages
 
@@ -48,7 +54,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op3_toxicity, op6_substring_dedup, op10_secret_scan)
+    f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op3_toxicity, op5_document_fingerprints, op6_substring_dedup, op10_secret_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {}
