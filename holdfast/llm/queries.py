@@ -47,6 +47,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import digest, scan_secrets
 
@@ -54,7 +60,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op3_toxicity, op5_document_fingerprints, op6_substring_dedup, op10_secret_scan)
+    f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op3_toxicity, op5_document_fingerprints, op6_substring_dedup, op9_minhash_near_dedup, op10_secret_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {}
