@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_table, map_rows, pieces
+from .common import map_rows, pieces
 
 CAPACITY, END_ID, GROUP = 4096, 1, 1 << 16
 CACHE = 300_000
@@ -136,8 +136,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int =
         t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         g = t["group"][0].as_py()
         got = pack_sizes(t["length"].to_pylist(), capacity)
-        names = [x.split()[0] for x in schema.split(",")]
-        columns = {n: t[n].to_pylist() for n in names if n in t.column_names}
-        return flat_table(columns | {"sequence_id": [b * groups + g for b, _ in got], "offset": [o for _, o in got]}, schema)
+        t = t.append_column("sequence_id", pa.array([b * groups + g for b, _ in got], pa.int64()))
+        t = t.append_column("offset", pa.array([o for _, o in got], pa.int64()))
+        return t.select([x.split()[0] for x in schema.split(",")])
 
     return done.groupBy("group").applyInArrow(place, schema)

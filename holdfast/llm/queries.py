@@ -58,6 +58,28 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page is a full response at twice its id, and is asked for again 2001 later with its own ETag."""
+    from .warc import resolve_revisits
+
+    pages = table(spark, sf_dir, "pages").where("page_id is not null")
+    etag = F.md5(F.coalesce("html", F.lit("")))
+    first = pages.select(
+        F.col("page_id").cast("string").alias("record_id"), F.lit("response").alias("type"), "url", (F.col("page_id") * 2).alias("ts"), F.lit(200).alias("status"),
+        F.create_map(F.lit("etag"), etag, F.lit("content-type"), F.lit("text/html"), F.lit("date"), (F.col("page_id") * 2).cast("string")).alias("headers"),
+        F.lit(None).cast("string").alias("digest"), F.col("html").alias("payload"),
+    )
+    again = pages.select(
+        F.concat(F.lit("r"), "page_id").alias("record_id"), F.lit("revisit").alias("type"), "url", (F.col("page_id") * 2 + 2001).alias("ts"), F.lit(304).alias("status"),
+        F.create_map(F.lit("etag"), etag, F.lit("content-type"), F.lit("none"), F.lit("date"), (F.col("page_id") * 2 + 2001).cast("string")).alias("headers"),
+        F.lit(None).cast("string").alias("digest"), F.lit(None).cast("string").alias("payload"),
+    )
+    out = resolve_revisits(first.unionByName(again))
+    return out.select(
+        "record_id", "canonical", "ts", "refers_to", "outcome", F.col("headers")["content-type"].alias("content_type"), F.col("headers")["date"].alias("date"), F.sha2("payload", 256).alias("payload_sha256")
+    )
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judged
 
@@ -77,7 +99,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op3_toxicity, op4_chat_formatting, op5_document_fingerprints, op6_substring_dedup, op8_url_filters, op9_minhash_near_dedup, op10_secret_scan)
+    f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op3_toxicity, op4_chat_formatting, op5_document_fingerprints, op6_substring_dedup, op7_warc_revisits, op8_url_filters, op9_minhash_near_dedup, op10_secret_scan)
 }
 
 #: A native twin of op4: turns and masked texts are the table's own; formatted_chars from the marks' lengths.
@@ -102,4 +124,28 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_chat_formatting": OP4_SQL}
+OP7_SQL = r"""
+WITH bare AS (
+  SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''),
+    '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '([?&])utm_[a-z]+=[^&]*', '\1', 'g'), '\?&+', '?', 'g'), '[?&]+$', '') AS bare
+  FROM pages WHERE page_id IS NOT NULL
+), parts AS (
+  SELECT page_id, html, lower(regexp_extract(bare, '^([^/?]*)', 1)) AS host, bare FROM bare
+), keyed AS (
+  SELECT page_id, html, md5(coalesce(html, '')) AS etag,
+    regexp_replace(regexp_replace(host, '^www[0-9]*\.', ''), ':(80|443)$', '')
+      || regexp_replace(substring(bare, length(host) + 1), '/+$', '') AS canonical
+  FROM parts
+), refs AS (
+  SELECT r.page_id, max(f.page_id) AS ref FROM keyed r
+  LEFT JOIN keyed f ON f.canonical = r.canonical AND f.page_id * 2 < r.page_id * 2 + 2001 GROUP BY r.page_id
+)
+SELECT 'r' || r.page_id AS record_id, r.canonical, r.page_id * 2 + 2001 AS ts, f.page_id::VARCHAR AS refers_to,
+  CASE WHEN f.page_id IS NULL THEN 'missing' WHEN f.etag = r.etag THEN 'resolved' ELSE 'mismatch' END AS outcome,
+  CASE WHEN f.etag = r.etag THEN 'text/html' ELSE 'none' END AS content_type,
+  (r.page_id * 2 + 2001)::VARCHAR AS date,
+  CASE WHEN f.etag = r.etag THEN sha256(f.html) END AS payload_sha256
+FROM keyed r JOIN refs USING (page_id) LEFT JOIN keyed f ON f.page_id = refs.ref
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_warc_revisits": OP7_SQL, "op4_chat_formatting": OP4_SQL}

@@ -24,8 +24,10 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import map_rows, settled
 
@@ -54,6 +56,7 @@ ALPHABETS = {
     "mixed": b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 SETS = {k: frozenset(v) for k, v in ALPHABETS.items()}
+BROADCAST_ROWS = 1 << 20
 BINS, STRATA = 400, 8  # log p-values in steps of a quarter; lengths by powers of two
 
 
@@ -273,21 +276,36 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, placeholder: str = "[SECRET]", **options) -> DataFrame:
-    """docs (unique doc_id) with every span replaced; overlapping spans give one placeholder.  n_chars follows."""
-    spans = scan_secrets(docs, **options).where(F.size("spans") > 0).withColumnRenamed("spans", "_spans")
-    parts = F.aggregate(
-        F.col("_spans"),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(
-            s.start >= a.at,
-            F.struct(
-                s.end.alias("at"),
-                F.concat(a.out, F.substring(F.col("text"), (a.at + 1).cast("int"), (s.start - a.at).cast("int")), F.lit(placeholder)).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(a.at, s.end).alias("at"), a.out.alias("out"))),
-    )
-    whole = F.concat(parts.out, F.substring(F.col("text"), (parts.at + 1).cast("int"), F.lit(2**31 - 1)))
-    new = docs.join(spans, "doc_id", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(whole))
-    if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("bigint")))
-    return new.select(docs.columns)
+    """docs with every span replaced; overlapping spans give one placeholder.  n_chars, if there, follows the text.
+
+    Spans are joined by a hash of id and text, so that rows of one id keep their own.
+    """
+    key = F.xxhash64("doc_id", "text")
+    named = docs.select(key.alias("doc_id"), "text")
+    spans = scan_secrets(named, **options).where(F.size("spans") > 0).dropDuplicates(["doc_id"]).toDF("_key", "_spans").persist()
+    if spans.count() <= BROADCAST_ROWS:
+        spans = F.broadcast(spans)
+    marked = docs.withColumn("_key", key).join(spans, "_key", "left")
+    target = StructType([f for f in docs.schema.fields])
+
+    def run(batches):
+        for b in batches:
+            found, texts = b.column("_spans").to_pylist(), b.column("text").to_pylist()
+            changed = [i for i, x in enumerate(found) if x]
+            for i in changed:
+                out, at, text = [], 0, texts[i]
+                for s in found[i]:
+                    if s["start"] >= at:
+                        out += [text[at : s["start"]], placeholder]
+                    at = max(at, s["end"])
+                texts[i] = "".join(out) + text[at:]
+            columns = {n: b.column(n) for n in target.names}
+            columns["text"] = pa.array(texts, b.column("text").type)
+            if "n_chars" in columns:
+                n = columns["n_chars"].to_pylist()
+                for i in changed:
+                    n[i] = len(texts[i])
+                columns["n_chars"] = pa.array(n, b.column("n_chars").type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=target.names)
+
+    return marked.mapInArrow(run, target)
