@@ -1,16 +1,78 @@
-"""The corpus pipeline: documents to packed training sequences."""
+"""The corpus pipeline: documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame; all but the last
+return the columns of documents.  Rows of null id or text pass every filter that has nothing against them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from holdfast.llm import decontaminate, minhash, packing, secret_scan, toxicity
+from holdfast.llm.common import table
+from holdfast.llm.queries import tokenizer_path
+
+#: Ids of dropped documents are broadcast up to this number, and joined by a shuffle beyond it.
+BROADCAST_ROWS = 1 << 21
+#: Documents whose pieces, with their ids, are packed together: a group stays under about 100 MB.
+PACK_GROUP = 1 << 14
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs less the ids in ``dropped``; null ids stay."""
+    dropped = dropped.select(F.col("doc_id")).where("doc_id is not null").distinct().persist()
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, "_toxicity")
+    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).select(docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more; equal rows once."""
+    judged = minhash.near_duplicates(docs, shingle=5, percent=80)
+    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1)
+    if not repeated.isEmpty():
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    return _without(docs, judged.where("not kept"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark window."""
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where("n_hit > 0"))
+
+
+def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a placeholder; n_chars follows the text."""
+    return secret_scan.redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their token ids, placed in sequences."""
+    return packing.pack(docs, tokenizer_path(), group=PACK_GROUP, with_ids=True)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("secret_scan", secret_scan_stage),
+    ("packing", packing_stage),
+]
 #: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages in order, each result but the last written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = minhash.settled(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
