@@ -9,9 +9,9 @@ A document's set holds the distinct ``shingle``-word shingles of its text (the w
 3. In each bucket the member that meets most others in all buckets is the centre of a star: candidate edges
    are bounded by members.  Edges pass a bound on sizes and on signatures (five standard deviations below the
    threshold), then the exact test on full sets.
-4. What stars can't say is settled exactly: in buckets of three or more that still hold several components, members
-   outside the bucket's largest component meet all members of other components, in blocks of BLOCK rows,
-   and only pairs that pass the signatures' bound leave a block.  They get the exact test as well.
+4. What stars can't say is settled exactly.  In buckets of three or more that still hold several components, members
+   outside the bucket's largest component meet each other, and once, not bucket by bucket, all members of that
+   component.  They meet in blocks of about BLOCK rows a side, with their full sets; only links leave a block.
 5. Components come from alternating large and small stars over the verified links, each round checkpointed.
 
 Copies never multiply: equal sets meet in a partial minimum, groups of near copies in their stars.  Links between
@@ -139,9 +139,9 @@ def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return map_rows(both, run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    some = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, s (the sorted set's bytes) of the documents of the given ids."""
+    some = ids.distinct()
     if some.count() <= BROADCAST_ROWS:
         some = F.broadcast(some)
     texts = docs.select("doc_id", "text").join(some, "doc_id", "left_semi")
@@ -151,16 +151,22 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
         for b in batches:
             yield {"doc_id": b["doc_id"], "s": [f(t).astype("<u8").tobytes() for t in b["text"]]}
 
-    full = map_rows(texts, sets, "doc_id bigint, s binary", rows=256).where(F.octet_length("s") > 0)
+    return map_rows(texts, sets, "doc_id bigint, s binary", rows=256).where(F.octet_length("s") > 0)
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    full = full_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), shingle)
     both = pairs.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b")
 
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b["sa"], b["sb"]):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            keep = [similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(b["sa"], b["sb"])]
             yield {k: [x for x, ok in zip(b[k], keep) if ok] for k in "ab"}
 
     return map_rows(both, run, "a bigint, b bigint", rows=512).distinct()
@@ -186,43 +192,64 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def remaining(rows: DataFrame, found: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a bucket of three or more and pass the signatures' bound."""
+def blocks(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows (key, doc_id, component) of two sides, dealt so that any left and right row of a key meet in one (key, i, j).
+
+    A side is split by a hash into parts of about BLOCK rows and copied once for each part of the other.
+    """
+
+    def parts(x: DataFrame, name: str) -> DataFrame:
+        return x.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+
+    n = parts(left, "n_left").join(parts(right, "n_right"), "key")
+    own = F.xxhash64("doc_id")
+
+    def deal(x: DataFrame, side: int, mine: str, other: str) -> DataFrame:
+        part, copy = F.pmod(own, F.col(mine)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        i, j = (part, copy) if side == 0 else (copy, part)
+        return x.join(n, "key").select("key", "doc_id", "component", F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
+
+    return deal(left, 0, "n_left", "n_right").unionByName(deal(right, 1, "n_right", "n_left"))
+
+
+def remaining(rows: DataFrame, found: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components that share a bucket of three or more."""
     labelled = rows.where("members > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     labelled = labelled.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    mixed = sizes.groupBy("key").agg(
-        F.max(F.struct("size", F.negative("component").alias("c"))).alias("top"), F.sum("size").alias("members"), F.count(F.lit(1)).alias("kinds")
-    )
-    mixed = mixed.where("kinds > 1").select("key", F.negative("top.c").alias("top"), "members", (F.col("members") - F.col("top.size")).alias("others"))
-    dealt = labelled.join(mixed, "key").join(reps.select("doc_id", "n", "signature"), "doc_id")
-    # The outsiders' blocks and all members' blocks; each pair of blocks is one group of at most 2 x BLOCK rows or so.
-    n_out = F.ceil(F.col("others") / BLOCK).cast("int")
-    n_all = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.xxhash64("doc_id")
-    columns = ("key", "doc_id", "component", "n", "signature")
-    left = dealt.where("component != top").select(
-        *columns, F.pmod(own, n_out).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), F.lit(0).alias("side")
-    )
-    right = dealt.select(
-        *columns, F.explode(F.sequence(F.lit(0), n_out - 1)).alias("i"), F.pmod(own, n_all).cast("int").alias("j"), F.lit(1).alias("side")
-    )
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("size", F.negative("component").alias("c"))).alias("top"), F.count(F.lit(1)).alias("kinds"))
+    mixed = mixed.where("kinds > 1").select("key", F.negative("top.c").alias("top"), F.col("top.size").alias("size"))
+    dealt = settled(labelled.join(mixed, "key"))
+    # Outsiders meet each other bucket by bucket, and all of the component that fills most of their bucket once.
+    outside = dealt.where("component != top or size = 1").select("key", "doc_id", "component")
+    meets = dealt.where("component != top and size > 1").select(F.col("top").alias("key"), "doc_id", "component").distinct()
+    whole = found.select(F.col("component").alias("key"), F.col("node").alias("doc_id")).union(meets.select("key", F.col("key").alias("doc_id")).distinct())
+    whole = whole.join(meets.select("key").distinct(), "key", "left_semi").select("key", "doc_id", F.col("key").alias("component"))
+    each = blocks(outside, outside).withColumn("kind", F.lit(0)).unionByName(blocks(meets, whole).withColumn("kind", F.lit(1)))
+    each = settled(each)
+    full = full_sets(docs, each.select("doc_id"), shingle)
     least = least_agreement(percent)
 
     def meet(t: pa.Table) -> pa.Table:
-        side, ids, comp, n = (t[c].to_numpy() for c in ("side", "doc_id", "component", "n"))
-        sig = np.frombuffer(b"".join(t["signature"].to_pylist()), "<u2").reshape(-1, BINS)
-        a, b = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
+        side, ids, comp = (t[c].to_numpy() for c in ("side", "doc_id", "component"))
+        sets = [np.frombuffer(x, "<u8") for x in t["s"].to_pylist()]
+        n = np.array([len(x) for x in sets])
+        sig = np.array([signature(x) for x in sets]).astype(np.uint16)
+        both_ways = t["kind"][0].as_py() == 0
         out = {"a": [], "b": []}
-        for x in a.tolist():
-            low, high = np.minimum(n[x], n[b]), np.maximum(n[x], n[b])
-            y = b[(comp[b] != comp[x]) & (100 * low >= percent * high)]
-            y = y[(sig[y] == sig[x]).sum(axis=1) >= least]
-            out["a"] += np.minimum(ids[x], ids[y]).tolist()
-            out["b"] += np.maximum(ids[x], ids[y]).tolist()
+        right = np.nonzero(side == 1)[0]
+        for x in np.nonzero(side == 0)[0].tolist():
+            y = right[comp[right] != comp[x]]
+            if both_ways:
+                y = y[ids[y] > ids[x]]
+            y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
+            for z in y[(sig[y] == sig[x]).sum(axis=1) >= least].tolist():
+                if similar(sets[x], sets[z], percent):
+                    out["a"].append(min(ids[x], ids[z]))
+                    out["b"].append(max(ids[x], ids[z]))
         return flat_table(out, "a bigint, b bigint")
 
-    return left.unionByName(right).groupBy("key", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
+    return each.join(full, "doc_id").groupBy("kind", "key", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -241,9 +268,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     stars = stars.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
     links = settled(verified(settled(agreeing(stars, reps, percent)), docs, shingle, percent))
     found = components(links)
-    more = settled(remaining(rows, found, reps, percent).join(links, ["a", "b"], "left_anti"))
+    more = settled(remaining(rows, found, docs, shingle, percent))
     if not more.isEmpty():
-        found = components(links.union(verified(more, docs, shingle, percent)))
+        found = components(links.union(more))
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "h1", "h2", F.coalesce("component", "rep").alias("component_id")
     )
