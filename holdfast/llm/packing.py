@@ -24,49 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, pieces
+from .word_bpe import WordTokenizer
 
 CAPACITY, END_ID, GROUP = 4096, 1, 1 << 16
-CACHE = 300_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PLACED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
 
-class WordTokenizer:
-    """A tokenizer of which white space always ends a token, applied word by word and remembered.
-
-    White space here is space and \\t \\n \\v \\f \\r: the tokenizer's own patterns never join what stands on both
-    sides of it, so the ids of a text are its words' ids in order.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    @staticmethod
-    def _parts(w: bytes) -> tuple[bytes, ...]:
-        """A word in lower case, which the tokenizer ignores outside its special strings, less a last point or comma."""
-        if b"<|" in w:
-            return (w,)
-        w = w.lower()
-        return (w[:-1], w[-1:]) if w[-1] in b".," and w[-2:-1].isalnum() else (w,)
-
-    def ids(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = {w: self._parts(w) for w in set(words).difference(known)}
-        plain = list({p for parts in new.values() for p in parts}.difference(known))
-        if plain:
-            texts = [p.decode("utf-8", "replace") for p in plain]
-            for p, e in zip(plain, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        for w, parts in new.items():
-            known[w] = b"".join([known[p] for p in parts])
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
-
-
 def cut(ids: np.ndarray, capacity: int) -> list[np.ndarray]:
     return [ids[at : at + capacity] for at in range(0, len(ids), capacity)]
 
@@ -78,8 +42,8 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_id
         t = WordTokenizer(tokenizer)
         for b in batches:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")} | ({"ids": []} if with_ids else {})
-            for i, text in zip(b["doc_id"], b["text"]):
-                ids, start = np.append(t.ids(text), np.array([END_ID], "<u4")), 0
+            for i, ids in zip(b["doc_id"], t.ids(b["text"])):
+                ids, start = np.append(ids, np.array([END_ID], "<u4")), 0
                 for k, piece in enumerate(cut(ids, capacity)):
                     data = piece.astype("<u4").tobytes()
                     for name, x in (("doc_id", i), ("piece", k), ("start", start), ("length", len(piece)), ("ids_crc32", zlib.crc32(data)), ("ids", data)):
@@ -88,7 +52,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_id
                     start += len(piece)
             yield out
 
-    return map_rows(docs, run, PIECES + (", ids binary" if with_ids else ""), rows=256)
+    return map_rows(docs, run, PIECES + (", ids binary" if with_ids else ""), rows=512)
 
 
 def pack_sizes(sizes, capacity: int = CAPACITY) -> list[tuple[int, int]]:
