@@ -1,0 +1,207 @@
+"""DataFrame operators over archives: scanning, packing, copying, and the relations between members.
+
+Scans read ``path, content`` rows, such as Spark's binaryFile source gives from any store it can read; a task takes one
+archive at a time.  Whatever only needs members' columns is an expression or a window and stays in the JVM.
+"""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from ..functions.names import name_mask, refused
+from ..functions.status import ArchiveError
+from ..sources.archives import read_archive, write_archive
+from ..sources.member import ARCHIVE, MEMBER, Limits
+
+PART_BYTES = 32 << 20
+
+
+def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """path, content of the files below a path in any store that Spark reads."""
+    r = spark.read.format("binaryFile")
+    return (r.option("pathGlobFilter", glob) if glob else r).load(path).select("path", "content")
+
+
+def members(archives: DataFrame, limits: Limits | None = None, mode: str = "permissive", **options) -> DataFrame:
+    """Member rows of (path, content) archives.  failfast: a walk's error raises; permissive: rows before it stand."""
+    target = to_arrow_schema(StructType.fromDDL(MEMBER))
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                path, data, archive, out = b.column("path")[i].as_py(), b.column("content")[i].as_py(), {}, []
+                held = 0
+                for row in read_archive(path, data or b"", archive, limits, **options):
+                    out.append(row)
+                    held += len(row["content"] or b"")
+                    if len(out) >= 1000 or held > 16 << 20:
+                        yield pa.RecordBatch.from_pylist(out, schema=target)
+                        out, held = [], 0
+                if mode == "failfast" and archive["status"] != "END":
+                    raise ArchiveError(archive["status"], path)
+                yield pa.RecordBatch.from_pylist(out, schema=target)
+
+    return archives.select("path", "content").mapInArrow(run, MEMBER)
+
+
+def walks(archives: DataFrame, limits: Limits | None = None, **options) -> DataFrame:
+    """A row an archive: format, counts and the status in which its walk ends."""
+    target = to_arrow_schema(StructType.fromDDL(ARCHIVE))
+    names = target.names
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                archive: dict = {}
+                for _ in read_archive(path, data or b"", archive, limits, with_content=False, **options):
+                    pass
+                out.append({k: archive.get(k) for k in names})
+            yield pa.RecordBatch.from_pylist(out, schema=target)
+
+    return archives.select("path", "content").mapInArrow(run, ARCHIVE)
+
+
+def parted(rows: DataFrame, key: Column, name: Column, content: Column, part_bytes: int = PART_BYTES) -> DataFrame:
+    """rows with ``path``: a key's archive, cut by a hash of the name into as many parts as its bytes ask for.
+
+    However many rows a key has, a part's bytes are bounded, so that one task can write it.
+    """
+    sized = rows.withColumn("_key", key)
+    parts = sized.groupBy("_key").agg(F.greatest(F.ceil(F.sum(F.octet_length(content)) / part_bytes), F.lit(1)).alias("_parts"))
+    spread = sized.join(F.broadcast(parts) if parts.limit(100_001).count() <= 100_000 else parts, sized["_key"].eqNullSafe(parts["_key"])).drop(parts["_key"])
+    part = F.pmod(F.xxhash64(name), F.col("_parts"))
+    return spread.withColumn("path", F.concat(F.coalesce(F.col("_key").cast("string"), F.lit("null")), F.lit("-"), part)).drop("_key", "_parts")
+
+
+def pack(rows: DataFrame, format: str, codec: str | None = None, **options) -> DataFrame:
+    """(path, content) archives from rows of path, name BINARY, content BINARY and any of the members' columns.
+
+    Members are ordered by name within an archive, so equal rows give equal bytes.
+    """
+    schema = "path string, content binary"
+    columns = [c for c in rows.columns if c != "content"]
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("name", "ascending")])
+        data = t["content"]
+        pairs = ((m, data[i].as_py() or b"") for i, m in enumerate(t.select(columns).to_pylist()))
+        return pa.table({"path": [t["path"][0].as_py()], "content": [write_archive(format, pairs, codec, **options)]})
+
+    return rows.groupBy("path").applyInArrow(run, schema)
+
+
+def capped(rows: DataFrame, limits: Limits) -> DataFrame:
+    """Members before the first that breaks a cap, and the cap's status on each archive: all by windows.
+
+    Columns added: status (END, or the cap that ends the archive).  Asked in the order name, size, count, total.
+    """
+    order = Window.partitionBy("path").orderBy("idx")
+    total = F.sum(F.coalesce("size", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+
+    def over(cap: int, value: Column) -> Column:
+        return (value > cap) if cap else F.lit(False)
+
+    status = (
+        F.when(over(limits.max_name_bytes, F.octet_length("name")), "LIMIT_NAME_BYTES")
+        .when(over(limits.max_member_bytes, F.col("size")), "LIMIT_MEMBER_BYTES")
+        .when(over(limits.max_members, F.row_number().over(order)), "LIMIT_MEMBERS")
+        .when(over(limits.max_total_bytes, total), "LIMIT_TOTAL_BYTES")
+    )
+    first = F.first("_broken", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    seen = F.first("_broken", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    marked = rows.withColumn("_broken", status).withColumn("status", F.coalesce(first, F.lit("END"))).withColumn("_seen", seen)
+    return marked.where("_seen is null").drop("_broken", "_seen")
+
+
+def find(rows: DataFrame, name: bytes) -> DataFrame:
+    """The first member of a name in each archive."""
+    hit = rows.where(F.col("name") == F.lit(name))
+    first = hit.groupBy("path").agg(F.min("idx").alias("idx"))
+    return hit.join(first, ["path", "idx"], "left_semi")
+
+
+def duplicates(rows: DataFrame) -> DataFrame:
+    """Names that an archive holds more than once."""
+    return rows.groupBy("path", "name").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
+def collisions(rows: DataFrame) -> DataFrame:
+    """Names that differ, but not where case is ignored."""
+    lower = F.lower(F.decode("name", "UTF-8"))
+    return rows.groupBy("path", lower.alias("folded")).agg(F.count_distinct("name").alias("names")).where("names > 1")
+
+
+def update(old: DataFrame, deletes: DataFrame | None = None, adds: DataFrame | None = None) -> DataFrame:
+    """An archive's members without some names, and with others in place of equal ones or behind the last."""
+    out = old
+    if deletes is not None:
+        out = out.join(deletes.select("path", "name").distinct(), ["path", "name"], "left_anti")
+    if adds is not None:
+        out = out.join(adds.select("path", "name").distinct(), ["path", "name"], "left_anti").unionByName(adds, allowMissingColumns=True)
+    return out
+
+
+def copy(archives: DataFrame, format: str, rename: Column | None = None, codec: str | None = None, **options) -> DataFrame:
+    """Archives of another format from the same members; rename is an expression over member columns."""
+    rows = members(archives)
+    if rename is not None:
+        rows = rows.withColumn("name", rename.cast("binary"))
+    kept = rows.select("path", "name", "type", "link_target", "mtime_seconds", "mtime_ns", "mode", "uid", "gid", "content")
+    return pack(kept, format, codec, **options)
+
+
+def crc_verdicts(rows: DataFrame) -> DataFrame:
+    """path, idx and whether the content's CRC-32 is the declared one."""
+    declared = F.coalesce(F.col("zip.crc32"), F.col("sevenz.crc32"))
+    return rows.where(declared.isNotNull() & F.col("content").isNotNull()).select("path", "idx", (F.crc32("content") == declared).alias("intact"))
+
+
+def volume_offsets(parts: DataFrame) -> DataFrame:
+    """set, part_no, length and the offset at which each part of a split archive begins."""
+    before = Window.partitionBy("set").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+
+
+def hardlinks(tree: DataFrame) -> DataFrame:
+    """Files of one (device, inode): the first keeps the data, later ones link to it; more links than seen are refused."""
+    same = Window.partitionBy("device", "inode")
+    order = same.orderBy("idx")
+    first, seen = F.first("name").over(order), F.count(F.lit(1)).over(same)
+    return tree.withColumn("link_target", F.when(F.row_number().over(order) > 1, first)).withColumn("refused", F.col("links") > seen)
+
+
+def sparse_regions(blocks: DataFrame) -> DataFrame:
+    """Runs of full blocks (path, block_no) as regions: gaps and islands."""
+    order = Window.partitionBy("path").orderBy("block_no")
+    island = F.col("block_no") - F.row_number().over(order)
+    return blocks.distinct().withColumn("island", island).groupBy("path", "island").agg(F.min("block_no").alias("first_block"), F.count(F.lit(1)).alias("blocks")).drop("island")
+
+
+def disagreements(local: DataFrame, central: DataFrame) -> DataFrame:
+    """Members on which a zip's local headers and its directory differ, by ordinal."""
+    keys, facts = ["path", "idx"], ["name", "method", "crc32", "compressed_size", "size"]
+    both = local.select(*keys, F.struct(*facts).alias("l")).join(central.select(*keys, F.struct(*facts).alias("c")), keys, "full")
+    return both.where(~F.col("l").eqNullSafe(F.col("c"))).select(*keys)
+
+
+def extract_plan(rows: DataFrame, allow_links: bool = False, portable: bool = True) -> DataFrame:
+    """What extraction would do with each member, in order: extract up to an archive's first refusal, nothing behind.
+
+    A member is refused for its name, its type (links need leave), or because its place is already taken.
+    """
+    folded = F.regexp_replace(F.decode("name", "ISO-8859-1"), r"/\z", "")
+    taken = F.row_number().over(Window.partitionBy("path", folded, F.col("type") == "directory").orderBy("idx"))
+    types = ["file", "directory"] + (["symlink", "hardlink"] if allow_links else [])
+    refusal = (
+        F.when(refused(name_mask(F.col("name")), portable), "name").when(~F.col("type").isin(*types), "type").when((taken > 1) & (F.col("type") != "directory"), "exists")
+    )
+    order = Window.partitionBy("path").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    planned = rows.withColumn("refusal", refusal).withColumn("stopped", F.coalesce(F.max(F.col("refusal").isNotNull()).over(order), F.lit(False)))
+    action = F.when(F.col("stopped"), "skip").when(F.col("refusal").isNotNull(), "refuse").otherwise("extract")
+    return planned.select("path", "idx", "name", "refusal", action.alias("action"))
+
