@@ -212,10 +212,12 @@ def order_members(spark, sf_dir):
     return items.select(
         F.date_format("l_shipdate", "yyyy-MM").alias("path"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("idx"), F.concat(F.lit("Part"), F.col("l_partkey") % 50).cast("binary").alias("name"),
         (F.col("l_quantity") * 1000).cast("bigint").alias("size"),
-    )
+    ).groupBy("path", "idx").agg(F.min("name").alias("name"), F.sum("size").alias("size"))
 
 
-ITEMS = "SELECT strftime(l_shipdate, '%Y-%m') AS path, l_orderkey * 8 + l_linenumber AS idx, 'Part' || (l_partkey % 50) AS name, (l_quantity * 1000)::BIGINT AS size FROM lineitem"
+ITEMS = (
+    "SELECT strftime(l_shipdate, '%Y-%m') AS path, l_orderkey * 8 + l_linenumber AS idx, min('Part' || (l_partkey % 50)) AS name, sum((l_quantity * 1000)::BIGINT)::BIGINT AS size FROM lineitem GROUP BY 1, 2"
+)
 
 
 @query(
