@@ -218,7 +218,7 @@ def remaining(rows: DataFrame, found: DataFrame, docs: DataFrame, shingle: int,
     labelled = labelled.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("size", F.negative("component").alias("c"))).alias("top"), F.count(F.lit(1)).alias("kinds"))
-    mixed = mixed.where("kinds > 1").select("key", F.negative("top.c").alias("top"), F.col("top.size").alias("size"))
+    mixed = settled(mixed.where("kinds > 1").select("key", F.negative("top.c").alias("top"), F.col("top.size").alias("size")))
     dealt = settled(labelled.join(mixed, "key"))
     # Outsiders meet each other bucket by bucket, and all of the component that fills most of their bucket once.
     outside = dealt.where("component != top or size = 1").select("key", "doc_id", "component")
@@ -261,10 +261,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     reps = reps.select("doc_id", "n", "signature", "bands")
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = settled(shared)  # apart from its join, which Spark can then split where a bucket is large
     rows = settled(banded.join(shared, "key"))
     met = rows.groupBy("doc_id").agg(F.sum("members").alias("met"))
     centres = rows.join(met, "doc_id").groupBy("key").agg(F.max(F.struct("met", F.negative("doc_id").alias("c"))).alias("top"))
-    stars = rows.join(centres.select("key", F.negative("top.c").alias("centre")), "key").where("doc_id != centre")
+    centres = settled(centres.select("key", F.negative("top.c").alias("centre")))
+    stars = rows.join(centres, "key").where("doc_id != centre")
     stars = stars.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
     links = settled(verified(settled(agreeing(stars, reps, percent)), docs, shingle, percent))
     found = components(links)
