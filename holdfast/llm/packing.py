@@ -39,7 +39,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_id
     """PIECES' rows (and ids) of every document.  tokenizer: the path of its file, as workers see it."""
 
     def run(batches):
-        t = WordTokenizer(tokenizer)
+        t = WordTokenizer.shared(tokenizer)
         for b in batches:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")} | ({"ids": []} if with_ids else {})
             for i, ids in zip(b["doc_id"], t.ids(b["text"])):

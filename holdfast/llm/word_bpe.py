@@ -9,13 +9,17 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
+import re
+import sys
+import types
 import unicodedata
 
 import numpy as np
 
 NONE = np.int64(1) << 40
 CHECK_EVERY = 128
-CACHE = 1_000_000
+CACHE = 800_000
 #: Longer runs of letters go to the library, so that no matrix is wide for one word's sake.
 LONGEST = 48
 
@@ -105,43 +109,53 @@ class BatchBpe:
         return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
+#: A point or comma behind an ASCII letter or digit and before white space starts a token of its own.
+STOP = re.compile(rb"(?<=[a-z0-9])[.,](?=[ \t-\r])")
+
+
 class WordTokenizer:
     """A tokenizer of which white space always ends a token, applied word by word and remembered.
 
     White space here is space and \\t \\n \\v \\f \\r: the tokenizer's own patterns never join what stands on both
-    sides of it, so the ids of a text are its words' ids in order.
+    sides of it, so the ids of a text are its words' ids in order.  It ignores the case of ASCII letters, except in its
+    special strings, and cuts a point or comma off a letter or digit; so does this class, for fewer distinct words.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer, self.batch, self.known = Tokenizer.from_file(path), BatchBpe(path), {}
 
-    @staticmethod
-    def _parts(w: bytes) -> tuple[bytes, ...]:
-        """A word in lower case, which the tokenizer ignores outside its special strings, less a last point or comma."""
-        if b"<|" in w:
-            return (w,)
-        w = w.lower()
-        return (w[:-1], w[-1:]) if w[-1] in b".," and w[-2:-1].isalnum() else (w,)
+    @classmethod
+    def shared(cls, path: str) -> WordTokenizer:
+        """One a worker process and path: what it has learnt serves the next task."""
+        kept = sys.modules.setdefault("_holdfast_worker_state", types.ModuleType("_holdfast_worker_state"))
+        if path not in kept.__dict__:
+            kept.__dict__[path] = cls(path)
+        return kept.__dict__[path]
 
     def _by_library(self, parts: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
-    def _learn(self, parts: list[bytes]) -> None:
-        runs, names, rest = [], [], []
-        for p in parts:
-            if not self.batch.usable:
-                rest.append(p)
-                continue
-            text = p.decode("utf-8", "replace")
-            if not p.isascii():
-                text = unicodedata.normalize("NFC", text)
+    def _learn(self, new) -> None:
+        runs, names, rest, ended = [], [], [], []
+        for p in new:
+            if p.isalpha():  # of ASCII letters
+                run = p.lower()
+            elif p.isascii():
+                run = b""
+            else:
+                text = unicodedata.normalize("NFC", p.decode("utf-8", "replace"))
+                if text[-1] in ".," and text[-2:-1].isalnum():
+                    ended.append(p)
+                    continue
                 # Python lowers a final sigma by its place, the library letter by letter.
                 text = "" if "Σ" in text else text.lower()
-            if text.isalpha() and len(text) <= LONGEST:
-                runs.append(text.encode())
+                run = text.encode() if text.isalpha() else b""
+            if run and len(run) <= LONGEST and self.batch.usable:
+                runs.append(run)
                 names.append(p)
             else:
                 rest.append(p)
@@ -152,15 +166,19 @@ class WordTokenizer:
             self.known.update(zip(names, ids))
         if rest:
             self.known.update(zip(rest, self._by_library(rest)))
+        if ended:
+            known = self.known
+            self._learn({x for p in ended for x in (p[:-1], p[-1:])}.difference(known))
+            for p in ended:
+                known[p] = known[p[:-1]] + known[p[-1:]]
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        words = []
+        for t in texts:
+            data = (t or "").encode("utf-8", "surrogatepass")
+            words.append(data.split() if b"<|" in data else STOP.sub(rb" \g<0>", data.lower()).split())
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        new = {w: self._parts(w) for w in set(itertools.chain.from_iterable(words)).difference(known)}
-        self._learn(list({p for parts in new.values() for p in parts}.difference(known)))
-        for w, parts in new.items():
-            if len(parts) > 1 or parts[0] != w:
-                known[w] = b"".join([known[p] for p in parts])
+        self._learn(set().union(*words).difference(known))
         return [np.frombuffer(b"".join(map(known.__getitem__, x)), "<u4") for x in words]
