@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 from ..functions.status import ArchiveError
+from . import decoders
 from .member import Limits
 from .streams import Source, compress, decompress
 
@@ -16,7 +17,8 @@ MAGIC = b"7z\xbc\xaf\x27\x1c"
 HEADER_CAP = 64 << 20
 EPOCH = 11644473600
 #: Coder ids.
-COPY, LZMA1, LZMA2, BZIP2, DEFLATE, DELTA, AES, BCJ2 = b"\0", b"\3\1\1", b"\x21", b"\4\2\2", b"\4\1\x08", b"\3", b"\6\xf1\7\1", b"\3\3\1\x1b"
+COPY, LZMA1, LZMA2, BZIP2, DEFLATE, DEFLATE64, DELTA = b"\0", b"\3\1\1", b"\x21", b"\4\2\2", b"\4\1\x08", b"\4\1\x09", b"\3"
+AES, BCJ2, ARM64 = b"\6\xf1\7\1", b"\3\3\1\x1b", b"\x0a"
 BRANCH = {
     b"\4": lzma.FILTER_X86, b"\3\3\1\3": lzma.FILTER_X86, b"\5": lzma.FILTER_POWERPC, b"\3\3\2\5": lzma.FILTER_POWERPC, b"\6": lzma.FILTER_IA64, b"\3\3\4\1": lzma.FILTER_IA64,
     b"\7": lzma.FILTER_ARM, b"\3\3\5\1": lzma.FILTER_ARM, b"\x08": lzma.FILTER_ARMTHUMB, b"\3\3\7\1": lzma.FILTER_ARMTHUMB, b"\x09": lzma.FILTER_SPARC, b"\3\3\x08\5": lzma.FILTER_SPARC,
@@ -169,10 +171,50 @@ class SevenZipWalk:
         self.s, self.limits, self.keys = source, limits, {}
         self.password = None if password is None else password.decode("utf-8").encode("utf-16-le")
 
+    def _graph(self, f: Folder) -> bytes:
+        """A folder whose coders take several streams: each output is made from its inputs, back to packed streams."""
+        packed, at = {}, 32 + f.pack_offset
+        for i, n in zip(f.packed, f.pack_sizes):
+            self.s.seek(at)
+            packed[i] = self.s.exact(n)
+            at += n
+        firsts = [sum(c[2] for c in f.coders[:k]) for k in range(len(f.coders))]
+        if any(o != 1 for _, _, _, o in f.coders):
+            raise ArchiveError("UNSUPPORTED", "coder with several outputs")
+        feeds = dict(f.binds)
+
+        def made(k: int, depth: int = 0) -> bytes:
+            if k >= len(f.coders) or depth > len(f.coders):
+                raise ArchiveError("CORRUPT", "coder graph")
+            coder, props, n_in, _ = f.coders[k]
+            inputs = [packed[i] if i in packed else made(feeds[i], depth + 1) if i in feeds else None for i in range(firsts[k], firsts[k] + n_in)]
+            if None in inputs:
+                raise ArchiveError("CORRUPT", "coder graph")
+            if coder == BCJ2:
+                if n_in != 4:
+                    raise ArchiveError("CORRUPT", "BCJ2 inputs")
+                return decoders.bcj2(*inputs, f.sizes[k])
+            if n_in != 1:
+                raise ArchiveError("UNSUPPORTED", f"coder {coder.hex()}")
+            return self._run([(coder, props, f.sizes[k])], inputs[0], f)
+
+        bound = {o for _, o in f.binds}
+        data = made(next(i for i in range(f.outs) if i not in bound))
+        if f.crc is not None and zlib.crc32(data) != f.crc:
+            raise ArchiveError("CORRUPT", "folder CRC")
+        return data
+
     def _decode(self, f: Folder) -> bytes:
+        if any(c[2] != 1 for c in f.coders):
+            return self._graph(f)
         self.s.seek(32 + f.pack_offset)
         data = self.s.exact(f.pack_sizes[0])
-        chain = f.chain()
+        data = self._run(f.chain(), data, f)
+        if f.crc is not None and zlib.crc32(data) != f.crc:
+            raise ArchiveError("PASSWORD_OR_CORRUPT" if f.encrypted else "CORRUPT", "folder CRC")
+        return data
+
+    def _run(self, chain: list[tuple[bytes, bytes, int]], data: bytes, f: Folder) -> bytes:
         i = 0
         try:
             while i < len(chain):
@@ -194,8 +236,14 @@ class SevenZipWalk:
                     data = decompress("bzip2", data, max(size, 1))
                 elif coder == DEFLATE:
                     data = decompress("deflate", data, max(size, 1))
+                elif coder == DEFLATE64:
+                    data = decompress("deflate64", data, max(size, 1))
                 elif coder == DELTA:
                     data = undelta(data, props[0] + 1)
+                elif coder == ARM64:
+                    data = decoders.arm64(data)
+                elif coder in BRANCH:
+                    data = decoders.branch(data, BRANCH[coder])
                 else:
                     raise ArchiveError("UNSUPPORTED", f"coder {coder.hex()}")
                 if len(data) != size:
@@ -207,8 +255,6 @@ class SevenZipWalk:
             if f.encrypted and e.status in ("CORRUPT", "LIMIT_CODEC_BYTES"):
                 raise ArchiveError("PASSWORD_OR_CORRUPT") from None
             raise
-        if f.crc is not None and zlib.crc32(data) != f.crc:
-            raise ArchiveError("PASSWORD_OR_CORRUPT" if f.encrypted else "CORRUPT", "folder CRC")
         return data
 
     def _aes(self, data: bytes, props: bytes) -> bytes:

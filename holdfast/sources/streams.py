@@ -139,6 +139,10 @@ def decompress(codec: str, data: bytes, cap: int = CODEC_CAP) -> bytes:
                 if not d.eof:
                     raise ArchiveError("CORRUPT", "the frame is cut")
                 left = d.unused_data
+        elif codec in ("lz4", "deflate64"):
+            from . import decoders
+
+            add(getattr(decoders, codec)(left, cap))
         else:
             raise ArchiveError("UNSUPPORTED", f"codec {codec}")
     except (zlib.error, lzma.LZMAError, OSError, EOFError) as e:

@@ -17,7 +17,7 @@ from .streams import Source, compress, decompress
 #: Signatures.
 LOCAL, CENTRAL, END, END64, LOCATOR, DESCRIPTOR, SPAN = b"PK\3\4", b"PK\1\2", b"PK\5\6", b"PK\6\6", b"PK\6\7", b"PK\7\x08", b"PK00PK"
 SEARCH = 65557
-CODECS = {0: None, 8: "deflate", 12: "bzip2", 93: "zstd", 95: "xz"}
+CODECS = {0: None, 8: "deflate", 9: "deflate64", 12: "bzip2", 93: "zstd", 95: "xz"}
 METHODS = {"stored": 0, "deflate": 8, "bzip2": 12, "lzma": 14, "zstd": 93, "xz": 95}
 VERSIONS = {0: 20, 8: 20, 12: 46, 14: 63, 93: 63, 95: 63}
 TOP = 0xFFFFFFFF

@@ -150,3 +150,59 @@ def test_damaged_bytes_never_crash(noise, kind, at, value):
             rows, archive = read(x, access=access)
             assert archive["status"] in ("END", "CORRUPT", "UNSUPPORTED", "FORMAT", "NOT_SEEKABLE") or archive["status"].startswith("LIMIT")
             assert all(r["content"] is None or len(r["content"]) <= r["size"] for r in rows)
+
+
+def test_deflate64_agrees_with_deflate_where_they_are_alike():
+    import random
+    import zlib
+
+    from holdfast.sources.decoders import deflate64
+
+    r = random.Random(1)
+    for level in (0, 1, 6, 9):
+        data = b"".join(bytes(r.choices(b"abcdef", k=r.randint(1, 9))) for _ in range(3000))  # no match of 258 bytes
+        c = zlib.compressobj(level, zlib.DEFLATED, -15)
+        assert deflate64(c.compress(data) + c.flush(), len(data)) == data
+    for strategy in (zlib.Z_FIXED, zlib.Z_HUFFMAN_ONLY):
+        c = zlib.compressobj(6, zlib.DEFLATED, -15, 8, strategy)
+        assert deflate64(c.compress(data) + c.flush(), len(data)) == data
+    with pytest.raises(ArchiveError):
+        deflate64(b"\xff\xff", 10)
+
+
+@pytest.mark.skipif(not shutil.which("lz4"), reason="lz4 is an optional writer")
+def test_lz4(tmp_path):
+    data = b"".join(b"%d hello %d\n" % (i % 17, i) for i in range(20000)) + bytes(100000)
+    coded = subprocess.run(["lz4", "-c"], input=data, capture_output=True).stdout
+    assert decompress("lz4", coded) == data
+    for damaged in (coded[:-9], coded + b"x"):
+        with pytest.raises(ArchiveError):
+            decompress("lz4", damaged)
+    rows, archive = read(subprocess.run(["lz4", "-c"], input=write_archive("tar", iter(MEMBERS)), capture_output=True).stdout)
+    assert archive["codec"] == "lz4" and len(rows) == 4
+
+
+def test_branch_filters():
+    import lzma
+    import struct
+
+    from holdfast.sources.decoders import arm64, branch
+
+    code = bytes([0xE8, 1, 2, 0, 0, 0x90] * 500)
+    plain = [{"id": lzma.FILTER_LZMA2, "preset": 0}]
+    moved = lzma.decompress(lzma.compress(code, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_X86}, *plain]), lzma.FORMAT_RAW, filters=plain)
+    assert moved != code and branch(moved, lzma.FILTER_X86) == code
+    words = struct.pack("<4I", 0x94000010, 0xD503201F, 0x94000011, 0x14000001)
+    assert struct.unpack("<4I", arm64(words)) == (0x94000010, 0xD503201F, 0x9400000F, 0x14000001)
+
+
+def test_bcj2_of_its_parts():
+    from holdfast.sources.decoders import bcj2
+
+    # No branch opcode: nothing is asked of the range coder.
+    assert bcj2(b"plain text", b"", b"", bytes(5), 10) == b"plain text"
+    for bad in ((b"plain", b"x", b"", bytes(5), 5), (b"plain", b"", b"", b"\0\xff\xff\xff\xff", 5), (b"plai", b"", b"", bytes(5), 5)):
+        with pytest.raises(ArchiveError):
+            bcj2(*bad)
+    # An E8 whose bit is zero stays in the main stream.
+    assert bcj2(b"\xe8abcd", b"", b"", bytes(5), 5) == b"\xe8abcd"
