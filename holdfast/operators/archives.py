@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..functions.names import name_mask, refused
+from ..functions.names import escaped, name_mask, refused
 from ..functions.status import ArchiveError
 from ..sources.archives import read_archive, write_archive
 from ..sources.member import ARCHIVE, MEMBER, Limits
@@ -205,3 +205,54 @@ def extract_plan(rows: DataFrame, allow_links: bool = False, portable: bool = Tr
     action = F.when(F.col("stopped"), "skip").when(F.col("refusal").isNotNull(), "refuse").otherwise("extract")
     return planned.select("path", "idx", "name", "refusal", action.alias("action"))
 
+
+
+def joined_volumes(parts: DataFrame) -> DataFrame:
+    """(path, content) archives from (path, content) files: parts of split sets end to end, other files as they are.
+
+    Sets are told by their names: x.001, x.002 ... and x.z01, x.z02 ... x.zip.  A set with a gap isn't joined.
+    """
+    numbered = F.regexp_extract("path", r"\A(?s)(.+)\.(\d{3,5})\z", 1)
+    zipped = F.regexp_extract("path", r"\A(?s)(.+)\.[zZ](\d{2,5})\z", 1)
+    number = F.regexp_extract("path", r"\.[zZ]?(\d{2,5})\z", 1)
+    key = F.when(numbered != "", numbered).when(zipped != "", F.concat(zipped, F.lit(".zip"))).otherwise(F.col("path"))
+    part = F.when(number != "", number.cast("bigint")).otherwise(F.lit(1 << 20))
+    rows = parts.select(key.alias("set"), part.alias("part"), "path", "content")
+    grouped = rows.groupBy("set").agg(F.array_sort(F.collect_list(F.struct("part", "path", "content"))).alias("p"))
+    numbers = F.filter(F.transform("p", lambda x: x.part), lambda n: n < 1 << 20)
+    whole = numbers == F.when(F.size(numbers) > 0, F.sequence(F.lit(1).cast("bigint"), F.size(numbers).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    sets = grouped.withColumn("whole", whole)
+    content = F.aggregate(F.transform("p", lambda x: x.content), F.lit(b""), lambda a, b: F.concat(a, b))
+    joined = sets.where("whole").select(F.col("set").alias("path"), content.alias("content"))
+    single = sets.where("not whole").select(F.explode("p").alias("x")).select("x.path", "x.content")
+    return joined.unionByName(single)
+
+
+def dump(rows: DataFrame) -> DataFrame:
+    """A line of text a member: index, type, size, escaped name and, for links, the target."""
+    target = F.when(F.col("link_target").isNotNull(), F.concat(F.lit(" -> "), escaped(F.col("link_target")))).otherwise(F.lit(""))
+    size = F.when(F.col("size_unknown"), F.lit("?")).otherwise(F.coalesce(F.col("size").cast("string"), F.lit("?")))
+    return rows.select("path", "idx", F.concat(F.col("idx"), F.lit(" "), F.col("type"), F.lit(" "), size, F.lit(" "), escaped(F.col("name")), target).alias("line"))
+
+
+def extract(archives: DataFrame, root: str, portable: bool = True, links: bool = False, **options) -> DataFrame:
+    """Writes each archive's members below root, a folder that all executors share, in a folder of its own.
+
+    A task takes a whole archive, since order decides what is refused.  Rows: path, idx, status.
+    """
+    import hashlib
+    import os
+
+    schema = "path string, idx bigint, status string"
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        from ..sources.tree import extract as write
+
+        for b in batches:
+            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                own = os.path.join(root, hashlib.sha256(path.encode()).hexdigest()[:16])
+                done = list(write(read_archive(path, data or b"", {}, **options), own, portable, links))
+                yield pa.RecordBatch.from_pydict({"path": [path] * len(done), "idx": [i for i, _ in done], "status": [s for _, s in done]}, schema=target)
+
+    return archives.select("path", "content").mapInArrow(run, schema)

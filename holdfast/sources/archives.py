@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import zlib
 from collections.abc import Iterator
 
 from ..functions.status import ArchiveError
@@ -54,6 +55,18 @@ def identify(block: bytes) -> str | None:
     return "zip" if zips.identify(block) else None
 
 
+def self_extracting(data: bytes) -> int | None:
+    """Where a 7z begins behind a program: in its first 8 MiB, with a valid start header."""
+    if not data.startswith((b"MZ", b"\x7fELF", b"\xfe\xed\xfa", b"\xcf\xfa\xed\xfe", b"\xce\xfa\xed\xfe", b"\xca\xfe\xba\xbe")):
+        return None
+    at = data.find(sevenz.MAGIC, 0, 8 << 20)
+    while at >= 0:
+        if len(data) >= at + 32 and zlib.crc32(data[at + 12 : at + 32]) == int.from_bytes(data[at + 8 : at + 12], "little"):
+            return at
+        at = data.find(sevenz.MAGIC, at + 1, 8 << 20)
+    return None
+
+
 def read_archive(path: str, data: bytes, archive: dict, limits: Limits | None = None, access: str = "random", codec: str = "auto", password: str | None = None, with_content: bool = True) -> Iterator[dict]:
     """Member rows of one archive; ``archive`` becomes its own row.  access: random, or sequential as from a pipe."""
     limits = limits or Limits()
@@ -69,6 +82,8 @@ def read_archive(path: str, data: bytes, archive: dict, limits: Limits | None =
             kind = identify(data[:512])
             if not data:
                 raise ArchiveError("CORRUPT", "empty")
+        if kind is None and random and (at := self_extracting(data)) is not None:
+            archive["base_offset"], data, kind = at, data[at:], "7z"
         if kind is None and random:
             # A stub may stand in front of a zip: its end record decides.
             source = Source(io.BytesIO(data))

@@ -129,3 +129,53 @@ def test_works_without_the_training_data_subpackage(tmp_path):
             shutil.copy(source, tmp_path / name)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'tar_pax_scan' in q and not any(k.startswith('op') for k in q), list(q); assert set(e.oracle_sql()) == set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_volumes_dump_and_extraction(spark, tmp_path):
+    from holdfast.sources import tree
+    from holdfast.sources.archives import write_archive
+
+    data = write_archive("zip", iter([({"name": b"a\n", "type": "file"}, b"x" * 9000), ({"name": b"d/b"}, b"y" + bytes(9000))]))
+    parts = [(f"s/x.zip.{i + 1:03d}", bytearray(p)) for i, p in enumerate(tree.split(data, 100))] + [("s/y.002", bytearray(b"gap")), ("s/z.zip", bytearray(data))]
+    files = spark.createDataFrame(parts, "path string, content binary")
+    joined = {r.path: bytes(r.content) for r in ops.joined_volumes(files).collect()}
+    assert joined == {"s/x.zip": data, "s/y.002": b"gap", "s/z.zip": data}
+    archives = ops.joined_volumes(files).where("path = 's/x.zip'")
+    assert [r.line for r in ops.dump(ops.members(archives)).collect()] == ["0 file 9000 a\\x0A", "1 file 9001 d/b"]
+    got = [(r.idx, r.status) for r in ops.extract(archives, str(tmp_path / "out")).collect()]
+    assert got == [(0, "REFUSED")]
+    got = [(r.idx, r.status) for r in ops.extract(archives, str(tmp_path / "out2"), portable=False).collect()]
+    assert got == [(0, "OK"), (1, "OK")]
+    (own,) = (tmp_path / "out2").iterdir()
+    assert (own / "d" / "b").read_bytes() == b"y" + bytes(9000)
+    again = [r.status for r in ops.extract(archives, str(tmp_path / "out2"), portable=False).collect()]
+    assert again == ["REFUSED"]
+    assert tree.volume_set(["x.001", "x.002", "y.z01", "y.zip", "g.002"]) == {"x": ["x.001", "x.002"], "y.zip": ["y.z01", "y.zip"]}
+
+
+def test_tree_round_trip(tmp_path):
+    from holdfast.sources import tree
+    from holdfast.sources.archives import read_archive, write_archive
+
+    (tmp_path / "in/d").mkdir(parents=True)
+    (tmp_path / "in/d/f").write_bytes(b"data")
+    os.link(tmp_path / "in/d/f", tmp_path / "in/d/g")
+    os.symlink("f", tmp_path / "in/d/s")
+    members = [(m, open(p, "rb").read() if p else b"") for m, p in tree.tree_members(str(tmp_path / "in"))]
+    data = write_archive("tar", iter(members))
+    assert [s for _, s in tree.extract(read_archive("p", data, {}), str(tmp_path / "no"))] == ["OK", "OK", "REFUSED"]
+    assert {s for _, s in tree.extract(read_archive("p", data, {}), str(tmp_path / "out"), links=True)} == {"OK"}
+    assert (tmp_path / "out/d/g").read_bytes() == b"data" and os.readlink(tmp_path / "out/d/s") == "f"
+    assert os.stat(tmp_path / "out/d/f").st_ino == os.stat(tmp_path / "out/d/g").st_ino
+    hostile = write_archive("tar", iter([({"name": b"l", "type": "symlink", "link_target": b"../.."}, b"")]))
+    assert [s for _, s in tree.extract(read_archive("p", hostile, {}), str(tmp_path / "x"), links=True)] == ["REFUSED"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(ALPHABET, max_size=8).map(b"".join))
+def test_masks_agree_with_the_plain_loops(name):
+    from holdfast.sources.tree import name_mask
+
+    assert name_mask(name) == mask(name)
+    if mask(name) & names.ESCAPES & ~names.BIT["DRIVE_LETTER"] and not name.startswith((b"/", b"\\")):
+        assert mask(b"safe/../" + name) & names.ESCAPES
