@@ -13,7 +13,7 @@ from .streams import Source, compress, decompress, sniff_codec
 
 WRITERS = {
     "tar": lambda out, o: tar.TarWriter(out, o.get("variant", "pax"), int(o.get("blocking", 1))),
-    "zip": lambda out, o: zips.ZipWriter(out, o.get("method", "deflate"), o.get("level"), bool(o.get("descriptors", False)), o.get("comment", b"")),
+    "zip": lambda out, o: zips.ZipWriter(out, o.get("method", "deflate"), o.get("level"), bool(o.get("descriptors", False)), o.get("comment", b""), o.get("password")),
     "7z": lambda out, o: sevenz.SevenZipWriter(out, o.get("method", "lzma2"), bool(o.get("solid", True)), o.get("level")),
     "ar": lambda out, o: unix.ArWriter(out),
     "cpio": lambda out, o: unix.CpioWriter(out, o.get("variant", "newc")),

@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import hmac
 import lzma
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
 from ..functions.status import ArchiveError
+from . import legacy
 from .member import Limits
 from .streams import Source, compress, decompress
 
@@ -124,7 +126,7 @@ class ZipWalk:
         actual = struct.unpack_from("<H", aes, 5)[0] if aes and len(aes) >= 7 else method
         if method == 99 and not aes:
             m["data_status"] = "CORRUPT"
-        elif flags & 0x40 or (actual not in CODECS and actual != 14):
+        elif flags & 0x40 or (actual not in CODECS and actual != 14 and not 1 <= actual <= 6):
             m["data_status"] = "UNSUPPORTED"
         elif encryption != "none" and self.password is None:
             m["data_status"] = "PASSWORD_REQUIRED"
@@ -160,6 +162,8 @@ class ZipWalk:
         try:
             if actual == 0:
                 data = raw
+            elif 1 <= actual <= 6:
+                data = legacy.unshrink(raw, m["size"]) if actual == 1 else legacy.explode(raw, m["size"], z["flags"]) if actual == 6 else legacy.expand(raw, m["size"], actual - 1)
             elif actual == 14:
                 n = struct.unpack_from("<H", raw, 2)[0]
                 props, dictionary = raw[4], struct.unpack_from("<I", raw, 5)[0]
@@ -377,11 +381,20 @@ class ZipWalk:
 class ZipWriter:
     """Members with a method each; zip64 where a size or an offset needs it; descriptors on request."""
 
-    def __init__(self, out, method: str = "deflate", level: int | None = None, descriptors: bool = False, comment: bytes = b""):
+    def __init__(self, out, method: str = "deflate", level: int | None = None, descriptors: bool = False, comment: bytes = b"", password: str | None = None):
         if method not in METHODS:
             raise ArchiveError("UNSUPPORTED", method)
         self.out, self.method, self.level, self.descriptors, self.comment = out, method, level, descriptors, comment
-        self.at, self.central = 0, []
+        self.at, self.central, self.password = 0, [], None if password is None else password.encode()
+
+    def _lock(self, coded: bytes) -> bytes:
+        """WinZip's AES-256: salt, verifier, counter mode, and ten bytes of authentication."""
+        from .aes import ctr_little_endian
+
+        salt = os.urandom(16)
+        key = hashlib.pbkdf2_hmac("sha1", self.password, salt, 1000, 66)
+        body = ctr_little_endian(coded, key[:32])
+        return salt + key[-2:] + body + hmac.digest(key[32:64], body, "sha1")[:10]
 
     def _write(self, data: bytes) -> None:
         self.out.write(data)
@@ -404,6 +417,9 @@ class ZipWriter:
         else:
             coded = compress(CODECS[method], data, self.level) if method else data
         crc, stamp = zlib.crc32(data), epoch_dos(m.get("mtime_seconds") or 0)
+        locked = self.password is not None and kind == "file" and data
+        if locked:
+            coded = self._lock(coded)
         utf8 = 0
         if not name.isascii():
             try:
@@ -411,15 +427,19 @@ class ZipWriter:
                 utf8 = 0x800
             except UnicodeDecodeError:
                 pass
-        late = self.descriptors and method in (8, 12, 95)
-        flags = utf8 | (8 if late else 0) | (2 if method == 14 else 0)
+        late = self.descriptors and method in (8, 12, 95) and not locked
+        flags = utf8 | (8 if late else 0) | (2 if method == 14 else 0) | (1 if locked else 0)
         large = max(len(data), len(coded)) >= TOP
         extra = b""
         s = m.get("mtime_seconds")
         if s is not None and dos_epoch(stamp) != s and -(1 << 31) <= s < 1 << 31:
             extra = struct.pack("<HHBi", 0x5455, 5, 1, s)
+        if locked:  # the second vendor version leaves the CRC out
+            extra += struct.pack("<HHHHBH", 0x9901, 7, 2, 0x4541, 3, method)
+            crc = 0
         zip64 = struct.pack("<HHQQ", 1, 16, len(data), len(coded)) if large else b""
         version = max(VERSIONS[method], 45 if large or self.at >= TOP else 20)
+        version, method = (51, 99) if locked else (version, method)
         sizes = (0, 0, 0) if late else (crc, TOP if large else len(coded), TOP if large else len(data))
         offset = self.at
         self._write(LOCAL + struct.pack("<HHHHHIIIHH", version, flags, method, stamp & 0xFFFF, stamp >> 16, *sizes, len(name), len(zip64 + extra)) + name + zip64 + extra)

@@ -206,3 +206,95 @@ def test_bcj2_of_its_parts():
             bcj2(*bad)
     # An E8 whose bit is zero stays in the main stream.
     assert bcj2(b"\xe8abcd", b"", b"", bytes(5), 5) == b"\xe8abcd"
+
+
+@pytest.mark.parametrize("method", ["stored", "deflate", "zstd"])
+def test_aes_members(method, tmp_path):
+    data = write_archive("zip", iter(MEMBERS), method=method, password="pä55")
+    rows, archive = read(data, password="pä55")
+    assert [r["content"] or b"" for r in rows] == [d for _, d in MEMBERS] and rows[0]["zip"]["method"] == 99
+    assert read(data)[0][0]["data_status"] == "PASSWORD_REQUIRED"
+    assert read(data, password="no")[0][0]["data_status"] in ("PASSWORD_REJECTED", "CORRUPT")
+    cut = bytearray(data)
+    cut[70] ^= 1
+    assert read(bytes(cut), password="pä55")[0][0]["data_status"] == "CORRUPT"
+    if shutil.which("bsdtar") and method == "deflate":
+        (tmp_path / "x.zip").write_bytes(data)
+        assert subprocess.run(["bsdtar", "--passphrase", "pä55", "-xOf", str(tmp_path / "x.zip"), "a/b.txt"], capture_output=True).stdout == MEMBERS[0][1]
+
+
+def zip_of(method, coded, plain, flags=0):
+    """A zip of one member in a method that no writer here has."""
+    import struct
+    import zlib
+
+    facts = struct.pack("<HHHHIII", flags, method, 0, 0x21, zlib.crc32(plain), len(coded), len(plain))
+    local = b"PK\3\4" + struct.pack("<H", 20) + facts + struct.pack("<HH", 1, 0) + b"f" + coded
+    central = b"PK\1\2" + struct.pack("<HH", 20, 20) + facts + struct.pack("<HHHHHII", 1, 0, 0, 0, 0, 0, 0) + b"f"
+    return local + central + b"PK\5\6" + struct.pack("<HHHHIIH", 0, 0, 1, 1, len(central), len(local), 0)
+
+
+class Put:
+    def __init__(self):
+        self.value = self.n = 0
+
+    def bits(self, value, n):
+        self.value |= value << self.n
+        self.n += n
+
+    def bytes(self):
+        return self.value.to_bytes((self.n + 7) // 8, "little")
+
+
+def check_legacy(method, coded, plain, tmp_path, flags=0):
+    data = zip_of(method, coded, plain, flags)
+    rows, archive = read(data)
+    assert (archive["status"], rows[0]["data_status"], rows[0]["content"]) == ("END", "OK", plain)
+    if shutil.which("unzip"):
+        (tmp_path / "x.zip").write_bytes(data)
+        got = subprocess.run(["unzip", "-p", str(tmp_path / "x.zip")], capture_output=True)
+        assert got.returncode == 81 or got.stdout == plain  # 81: a method that this unzip lacks
+
+
+def test_shrink(tmp_path):
+    p, table, free, word, text, width = Put(), {bytes([i]): i for i in range(256)}, iter(range(257, 8192)), b"", b"abababababcabcabcabcabcabc" * 9, 9
+    for b in text:
+        if word + bytes([b]) in table:
+            word += bytes([b])
+            continue
+        p.bits(table[word], width)
+        table[word + bytes([b])] = next(free)
+        word = bytes([b])
+    p.bits(table[word], width)
+    assert max(table.values()) < 512
+    check_legacy(1, p.bytes(), text, tmp_path)
+
+
+def test_reduce(tmp_path):
+    p, text = Put(), b"hello hello\x90!"
+    for _ in range(256):
+        p.bits(0, 6)
+    for b in (*b"hello ", 144, 2 | 0 << 7, 5, *b"\x90\x00!"):  # a copy of 5 from 6 back; a literal 144
+        p.bits(b, 8)
+    check_legacy(2, p.bytes(), text, tmp_path)
+
+
+def test_implode(tmp_path):
+    p, text = Put(), b"abcabcabcabc"
+    for _ in range(2):  # 64 codes of six bits
+        p.bits(3, 8)
+        for _ in range(4):
+            p.bits(5 | 15 << 4, 8)
+    for b in b"abc":
+        p.bits(1, 1)
+        p.bits(b, 8)
+    p.bits(0, 1)
+    p.bits(2, 6)  # low distance bits: three back
+
+    def code(symbol):
+        # Longest first from zero and higher symbols first: symbol s has the code 63 - s.
+        p.bits(int(f"{63 - symbol:06b}"[::-1], 2), 6)
+
+    code(0)
+    code(7)  # nine bytes
+    check_legacy(6, p.bytes(), text, tmp_path)
