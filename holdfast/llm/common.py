@@ -32,6 +32,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy() -> None:
+    """Gives a finished task's memory back: workers wait for later tasks, and several may wait beside one another."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_rows(df: DataFrame, f: Callable[[Iterator[dict]], Iterator[dict]], schema: str, rows: int = 2000) -> DataFrame:
     """mapInArrow over dictionaries of columns.  f gets ``{name: list}`` batches, yields such batches."""
     from pyspark.sql.types import StructType
@@ -47,6 +60,7 @@ def map_rows(df: DataFrame, f: Callable[[Iterator[dict]], Iterator[dict]], schem
 
         for out in f(cut()):
             yield pa.RecordBatch.from_pydict(out, schema=target)
+        tidy()
 
     return df.mapInArrow(run, schema)
 

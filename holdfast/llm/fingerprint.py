@@ -29,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FLAT, alnum_words, map_rows, pieces, text_bytes
+from .common import FLAT, alnum_words, map_rows, pieces, text_bytes, tidy
 
 LEAST_SHARE, MOST_SHARE, MIN_TERMS = 0.0005, 0.1, 4
 RATES, SUBSETS, ENOUGH = (1 / 4, 1 / 16, 1 / 64, 1 / 256), 32, 12
-BUCKET_BYTES, CACHE = 16 << 20, 400_000
+BUCKET_BYTES, CACHE = 16 << 20, 200_000
 SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, len(RATES) * SUBSETS, dtype=np.uint64) | np.uint64(1)
 LIMITS = np.repeat(np.array([int(r * (1 << 32)) for r in RATES], np.uint64), SUBSETS)
 RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -157,6 +157,7 @@ def fingerprints(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame
                 yield pa.RecordBatch.from_pydict(out, schema=target)
                 out = {n: [] for n in target.names}
         yield pa.RecordBatch.from_pydict(out, schema=target)
+        tidy()
 
     def inside(batches):
         """All but each bucket's last row, from sorted partitions of whole buckets."""

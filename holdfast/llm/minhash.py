@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import FLAT, flat_table, map_rows, settled
 
 BINS, BANDS, ROWS = 200, 40, 5
-BLOCK, BROADCAST_ROWS, CACHE = 512, 1 << 21, 400_000
+BLOCK, BROADCAST_ROWS, CACHE = 512, 1 << 21, 200_000
 SETS = "doc_id bigint, n bigint, h1 bigint, h2 bigint, signature binary, bands array<bigint>"
 _rng = np.random.default_rng(977)
 #: For each bin a random order of all bins: where it borrows from when it is empty.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, pieces
+from .common import map_rows, pieces, tidy
 from .word_bpe import WordTokenizer
 
 CAPACITY, END_ID, GROUP = 4096, 1, 1 << 16
@@ -102,6 +102,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int =
         got = pack_sizes(t["length"].to_pylist(), capacity)
         t = t.append_column("sequence_id", pa.array([b * groups + g for b, _ in got], pa.int64()))
         t = t.append_column("offset", pa.array([o for _, o in got], pa.int64()))
+        tidy()
         return t.select([x.split()[0] for x in schema.split(",")])
 
     return done.groupBy("group").applyInArrow(place, schema)

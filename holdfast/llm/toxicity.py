@@ -32,10 +32,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import alnum_words, map_rows
+from .common import alnum_words, map_rows, tidy
 
 ORDER, SPAN, DISCOUNT, MAX_NODES = 8, 20, 0.75, 1 << 18
-BROADCAST_BYTES, LABEL_BYTES, CACHE = 64 << 20, 32, 400_000
+BROADCAST_BYTES, LABEL_BYTES, CACHE = 64 << 20, 32, 200_000
 THRESHOLD = 0.3
 
 
@@ -231,6 +231,7 @@ def score(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:
                 z = -99.0 if weights is None else weights[0] + sum(a * x for a, x in zip(weights[1:], s.features(t.as_py())))
                 out.append(1 / (1 + math.exp(-z)) if z > -60 else 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, column])
+        tidy()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 

@@ -19,7 +19,7 @@ import numpy as np
 
 NONE = np.int64(1) << 40
 CHECK_EVERY = 128
-CACHE = 800_000
+CACHE = 500_000
 #: Longer runs of letters go to the library, so that no matrix is wide for one word's sake.
 LONGEST = 48
 
