@@ -15,8 +15,8 @@ from holdfast.llm.queries import tokenizer_path
 
 #: Ids of dropped documents are broadcast up to this number, and joined by a shuffle beyond it.
 BROADCAST_ROWS = 1 << 21
-#: Documents whose pieces, with their ids, are packed together: a group stays under about 100 MB.
-PACK_GROUP = 1 << 14
+#: Documents whose pieces, with their ids, are packed together: a group stays under about 50 MB.
+PACK_GROUP = 1 << 13
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
