@@ -13,8 +13,9 @@ the sum of log P_toxic - log P_ordinary over its bytes; per-word means of it, wh
 log-likelihood differences, are taken over the best word, the best SPAN consecutive words and the whole text.
 A logistic regression turns these three into a score.
 
-Fitting uses rows with crc32(doc_id) mod 4 in (0, 1) for counts and a sample of at most ``calibration_rows`` of the
-rows with remainder 3 for the regression, so that it meets words as unseen as the scored ones.  The
+Fitting uses labelled rows whose crc32(doc_id) mod 4 isn't 2.  The regression is fitted on a sample of at most
+``calibration_rows`` of those with remainder 3, by evidence from counts of remainders 0 and 1 alone, so that it meets words as
+unseen as the scored ones; the counts that score are over all three.  The
 broadcast model keeps at most MAX_NODES prefixes, by a floor on counts read off a histogram; rarer prefixes fall to
 the backoff mass of their parent, as rare expressions do.  Labels are broadcast if their measured size allows
 and joined by a shuffle if not.
@@ -56,12 +57,13 @@ def _labelled(docs: DataFrame, labels: DataFrame, remainders: list[int]) -> Data
 
 
 def _count(batches):
-    """Prefix counts of a partition: words are counted first, so that prefixes are cut once a distinct word."""
-    words: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
+    """Prefix counts of a partition by class and fold: words are counted first, so that prefixes are cut once a word."""
+    words: dict[bytes, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
     for b in batches:
-        for text, toxic in zip(b["text"], b["toxic"]):
+        for text, toxic, held in zip(b["text"], b["toxic"], b["held"]):
+            slot = (toxic > 0) + 2 * held
             for w in set(words_of(text)):
-                words[w][toxic > 0] += 1
+                words[w][slot] += 1
         if len(words) > 1_000_000:
             yield from _prefixes(words)
             words.clear()
@@ -69,22 +71,22 @@ def _count(batches):
 
 
 def _prefixes(words):
-    nodes: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
-    for w, (o, t) in words.items():
+    nodes: dict[bytes, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    for w, counts in words.items():
         w = (w + b" ")[:ORDER]
         for i in range(1, len(w) + 1):
             n = nodes[w[:i]]
-            n[0] += o
-            n[1] += t
+            for k, c in enumerate(counts):
+                n[k] += c
     keys = list(nodes)
     for at in range(0, len(keys), 50_000):
         k = keys[at : at + 50_000]
-        yield {"node": k, "o": [nodes[x][0] for x in k], "t": [nodes[x][1] for x in k]}
+        yield {"node": k} | {c: [nodes[x][i] for x in k] for i, c in enumerate(("o", "t", "held_o", "held_t"))}
 
 
 def _floor(nodes: DataFrame, most: int) -> int:
     """The least count, a power of two, that at most ``most`` nodes reach."""
-    bins = {r[0]: r[1] for r in nodes.groupBy(F.floor(F.log2(F.col("o") + F.col("t"))).alias("b")).count().collect()}
+    bins = {r[0]: r[1] for r in nodes.groupBy(F.floor(F.log2(F.col("all_o") + F.col("all_t"))).alias("b")).count().collect()}
     floor, kept = max(bins, default=0) + 1, 0
     while floor > 0 and kept + bins.get(floor - 1, 0) <= most:
         floor -= 1
@@ -94,32 +96,38 @@ def _floor(nodes: DataFrame, most: int) -> int:
 
 def fit(docs: DataFrame, labels: DataFrame, max_nodes: int = MAX_NODES, calibration_rows: int = 20_000, seed: int = 7) -> dict:
     """A model: evidence by prefix, and the regression's weights."""
-    counted = map_rows(_labelled(docs, labels, [0, 1]).select("text", "toxic"), _count, "node binary, o bigint, t bigint")
-    nodes = counted.groupBy("node").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
+    seen = _labelled(docs, labels, [0, 1, 3]).select("text", "toxic", (remainder() == 3).cast("int").alias("held"))
+    counted = map_rows(seen, _count, "node binary, o bigint, t bigint, held_o bigint, held_t bigint")
+    counts = ("o", "t", "all_o", "all_t")
+    nodes = counted.groupBy("node").agg(
+        F.sum("o").alias("o"), F.sum("t").alias("t"), F.sum(F.col("o") + F.col("held_o")).alias("all_o"), F.sum(F.col("t") + F.col("held_t")).alias("all_t")
+    )
     nodes = nodes.withColumn("length", F.octet_length("node"))
     parent = F.substring(F.col("node"), F.lit(1), F.col("length") - 1)
     tail = F.substring(F.col("node"), F.greatest(F.lit(1), F.col("length") - 2), F.lit(3))
     w = Window.partitionBy("parent")
-    nodes = nodes.select("node", "o", "t", "length", parent.alias("parent"), tail.alias("tail"))
-    rows = nodes.select(
-        "*",
-        *(F.sum(k).over(w).alias(f"n_{k}") for k in "ot"),
-        *(F.sum((F.col(k) > 0).cast("int")).over(w).alias(f"t_{k}") for k in "ot"),
+    rows = nodes.select("node", *counts, parent.alias("parent"), tail.alias("tail")).select(
+        "node", "tail", *counts, *(F.sum(k).over(w).alias(f"n_{k}") for k in counts), *(F.sum((F.col(k) > 0).cast("int")).over(w).alias(f"t_{k}") for k in counts)
     ).persist()
     try:
         # Shared continuation counts: distinct prefixes by their last three bytes, a table of the alphabet's size.
         tails = {bytes(r[0]): r[1] for r in rows.groupBy("tail").count().collect()}
         floor = _floor(rows, max_nodes)
-        kept = rows.where(F.col("o") + F.col("t") >= floor).select("node", "o", "t", "n_o", "n_t", "t_o", "t_t").toPandas()
+        kept = rows.where(F.col("all_o") + F.col("all_t") >= floor).drop("tail").toPandas()
     finally:
         rows.unpersist()
-    evidence = _evidence(kept, tails)
-    model = {"evidence": evidence, "weights": None}
-    model["weights"] = _calibrate(docs, labels, model, calibration_rows, seed) if evidence else None
-    return model
 
+    def part(prefix: str):
+        columns = [f"{a}{prefix}{k}" for a in ("", "n_", "t_") for k in "ot"]
+        return kept[["node", *columns]].itertuples(index=False)
+
+    # The regression must meet words as unseen as the scored ones: its evidence leaves its fold out.
+    evidence = _evidence(part("all_"), tails)
+    weights = _calibrate(docs, labels, _evidence(part(""), tails), calibration_rows, seed) if evidence else None
+    return {"evidence": evidence, "weights": weights}
 
-def _evidence(kept, tails: dict[bytes, int]) -> dict[bytes, tuple[float, float]]:
+
+def _evidence(rows, tails: dict[bytes, int]) -> dict[bytes, tuple[float, float]]:
     """prefix -> (sum of log ratios down to it, log ratio of the backoff masses below it)."""
     context: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
     for t, n in tails.items():
@@ -138,7 +146,7 @@ def _evidence(kept, tails: dict[bytes, int]) -> dict[bytes, tuple[float, float]]
     out: dict[bytes, tuple[float, float]] = {b"": (0.0, 0.0)}
     below: dict[bytes, float] = {}
     step: dict[bytes, float] = {}
-    for node, o, t, n_o, n_t, t_o, t_t in kept.itertuples(index=False):
+    for node, o, t, n_o, n_t, t_o, t_t in rows:
         node = bytes(node)
         p = shared(node)
         p_t = (max(t - DISCOUNT, 0) + DISCOUNT * t_t * p) / n_t if n_t else p
@@ -185,12 +193,12 @@ class Scorer:
         return [float(x.max()), float((c[n:] - c[:-n]).max()) / SPAN, float(x.mean())]
 
 
-def _calibrate(docs, labels, model, rows: int, seed: int):
+def _calibrate(docs, labels, evidence, rows: int, seed: int):
     """Newton's method on a bounded sample (by hash of the id) of labelled rows that the counts did not see."""
     held = _labelled(docs, labels, [3])
     if (n := held.count()) > rows:
         held = held.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * rows / n))
-    sent = docs.sparkSession.sparkContext.broadcast(model["evidence"])
+    sent = docs.sparkSession.sparkContext.broadcast(evidence)
 
     def run(batches):
         s = Scorer(sent.value)
