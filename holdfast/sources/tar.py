@@ -165,8 +165,12 @@ class TarWalk:
                         raise ArchiveError("CORRUPT", "two extended headers")
                     local = records
                 continue
-            if flag in b"MV":
-                raise ArchiveError("UNSUPPORTED", "multi-volume")
+            if flag == 86:  # a volume label in front
+                self.s.skip(size + -size % BLOCK)
+                carrier = None
+                continue
+            if flag == 77:
+                raise ArchiveError("UNSUPPORTED", "the set begins inside a member")
             m, start = self._member(block, flag, size, carrier, local, long_name, long_link, stated != plain)
             yield m, self._reader(m, start)
             end = start + m["stored_size"] + (-m["stored_size"] % BLOCK)
@@ -381,3 +385,42 @@ class TarWriter:
         self.out.write(ZERO * 2)
         self.n += 2 * BLOCK
         self.out.write(bytes(-self.n % (BLOCK * self.blocking)))
+
+
+def join_volumes(parts: list[bytes]) -> bytes:
+    """One archive from the volumes of a set: a member cut at a volume's end goes on behind the next one's header.
+
+    The continuation must name the member, and its offset and rest must be what is owing.
+    """
+    out, owing = bytearray(), None
+    for k, data in enumerate(parts):
+        at = 0
+        while at + BLOCK <= len(data):
+            block = data[at : at + BLOCK]
+            if block == ZERO:
+                break
+            if not identify(block):
+                raise ArchiveError("CORRUPT", "checksum")
+            flag, size = block[156], number(field(block, "size"))
+            if flag == 86:
+                at += BLOCK + size + -size % BLOCK
+                continue
+            at += BLOCK
+            if flag == 77:
+                if not owing or (text(block, "name"), number(block[369:381]), size) != owing:
+                    raise ArchiveError("CORRUPT", "continuation")
+            elif owing:
+                raise ArchiveError("CORRUPT", "a continuation is owing")
+            else:
+                out += block
+            done = number(block[369:381]) if flag == 77 else 0
+            carried = flag in b"\0" b"0" b"7" b"LKxgM" or TYPES.get(flag) is None
+            have = min(size, len(data) - at) if carried else 0
+            out += data[at : at + have]
+            at += have + (-size % BLOCK if have == size and carried else 0)
+            owing = (text(block, "name"), done + have, size - have) if carried and have < size else None
+            if carried and have == size:
+                out += bytes(-(done + size) % BLOCK)
+            if owing and k == len(parts) - 1:
+                raise ArchiveError("CORRUPT", "the last volume ends inside a member")
+    return bytes(out) + 2 * ZERO

@@ -92,6 +92,7 @@ def zipcrypto(data: bytes, password: bytes) -> bytes:
 class ZipWalk:
     def __init__(self, source: Source, limits: Limits, password: bytes | None = None, archive: dict | None = None):
         self.s, self.limits, self.password, self.archive = source, limits, password, {} if archive is None else archive
+        self.keep_raw = False  # members then carry their stored bytes, for copies that decode nothing
 
     # Both walks make members of the same parts.
     def _member(self, made, flags, method, stamp, crc, csize, size, name, extra, eattr, offset, zip64):
@@ -276,6 +277,9 @@ class ZipWalk:
             if m["type"] == "symlink" and actual == 0 and not flags & 1 and fsize <= (self.limits.max_name_bytes or fsize):
                 self.s.seek(start)
                 m["link_target"] = self.s.exact(csize)
+            if self.keep_raw:
+                self.s.seek(start)
+                m["raw"] = (self.s.exact(csize), head, extra)
             yield m, self._lazy(start, csize, m, actual, aes, (time >> 8) if flags & 8 else crc >> 24)
 
     def _lazy(self, start, csize, m, actual, aes, check):
@@ -454,6 +458,26 @@ class ZipWriter:
             CENTRAL + struct.pack("<HHHHHHIIIHHHHHII", 0x031E, version, flags, method, stamp & 0xFFFF, stamp >> 16, crc, TOP if large else len(coded), TOP if large else len(data), len(name), len(extra), 0, 0, 0, attributes, min(offset, TOP)) + name + extra
         )
 
+    def add_raw(self, raw: tuple[bytes, bytes, bytes], name: bytes, crc: int, size: int) -> None:
+        """A member as another zip stores it: its bytes, method, times, attributes and extra fields stay."""
+        coded, head, extra = raw
+        made, version, flags, method, time, date = struct.unpack_from("<HHHHHH", head, 4)
+        attributes = struct.unpack_from("<I", head, 38)[0]
+        flags &= ~8 if not flags & 1 else ~0  # sizes are known; an encrypted member's check byte hangs on the flag
+        parts, at = b"", 0
+        while at + 4 <= len(extra):
+            key, n = struct.unpack_from("<HH", extra, at)
+            parts += extra[at : at + 4 + n] if key != 1 else b""
+            at += 4 + n
+        if max(size, len(coded)) >= TOP or self.at >= TOP:
+            raise ArchiveError("UNSUPPORTED", "raw zip64")
+        offset = self.at
+        facts = struct.pack("<HHHHIII", flags, method, time, date, crc, len(coded), size)
+        self._write(LOCAL + struct.pack("<H", version) + facts + struct.pack("<HH", len(name), len(parts)) + name + parts + coded)
+        if flags & 8:
+            self._write(DESCRIPTOR + struct.pack("<III", crc, len(coded), size))
+        self.central.append(CENTRAL + struct.pack("<HH", made, version) + facts + struct.pack("<HHHHHII", len(name), len(parts), 0, 0, 0, attributes, offset) + name + parts)
+
     def finish(self) -> None:
         start, n = self.at, len(self.central)
         for entry in self.central:
@@ -463,3 +487,19 @@ class ZipWriter:
             record = self.at
             self._write(END64 + struct.pack("<QHHIIQQQQ", 44, 0x031E, 45, 0, 0, n, n, size, start) + LOCATOR + struct.pack("<IQI", 0, record, 1))
         self._write(END + struct.pack("<HHHHIIH", 0, 0, min(n, 0xFFFF), min(n, 0xFFFF), min(size, TOP), min(start, TOP), len(self.comment)) + self.comment)
+
+
+def copy_raw(data: bytes, rename=lambda name: name, keep=lambda member: True) -> bytes:
+    """A zip of another zip's members, some left out or renamed, without decoding or decrypting any."""
+    import io
+
+    walk = ZipWalk(Source(io.BytesIO(data)), Limits())
+    walk.keep_raw = True
+    out = io.BytesIO()
+    writer = ZipWriter(out)
+    for m, _ in walk:
+        if keep(m):
+            writer.add_raw(m["raw"], rename(m["name"]), m["zip"]["crc32"], m["size"])
+    writer.comment = walk.archive.get("zip_comment") or b""
+    writer.finish()
+    return out.getvalue()

@@ -298,3 +298,33 @@ def test_implode(tmp_path):
     code(0)
     code(7)  # nine bytes
     check_legacy(6, p.bytes(), text, tmp_path)
+
+
+def test_raw_copies_decode_nothing():
+    from holdfast.sources.zips import copy_raw
+
+    data = write_archive("zip", iter(MEMBERS), method="zstd", password="secret")
+    copied = copy_raw(data, lambda n: b"in/" + n, lambda m: m["name"] != b"empty")
+    rows, archive = read(copied, password="secret")
+    assert archive["status"] == "END" and [(r["name"], r["content"]) for r in rows if r["type"] == "file"] == [(b"in/" + m["name"], d) for m, d in MEMBERS if d]
+    mixed = copy_raw(write_archive("zip", iter(MEMBERS), descriptors=True))
+    assert zipfile.ZipFile(io.BytesIO(mixed)).testzip() is None and [r["content"] or b"" for r in read(mixed)[0]] == [d for _, d in MEMBERS]
+
+
+@pytest.mark.skipif(not shutil.which("tar"), reason="tar is an optional writer")
+def test_volumes_of_a_tar(tmp_path):
+    from holdfast.sources.tar import join_volumes
+
+    (tmp_path / "a").write_bytes(bytes(range(256)) * 100)
+    (tmp_path / "b").write_bytes(b"small")
+    done = subprocess.run(["tar", "-c", "-M", "-L", "11", *(x for i in range(6) for x in ("-f", f"v{i}")), "a", "b"], cwd=tmp_path, capture_output=True)
+    if done.returncode:
+        pytest.skip("another tar")
+    parts = [(tmp_path / f"v{i}").read_bytes() for i in range(6) if (tmp_path / f"v{i}").exists()]
+    assert len(parts) > 1
+    rows, archive = read(join_volumes(parts))
+    assert archive["status"] == "END" and [r["content"] for r in rows] == [bytes(range(256)) * 100, b"small"]
+    with pytest.raises(ArchiveError):
+        join_volumes(parts[:1])
+    with pytest.raises(ArchiveError):
+        join_volumes([parts[0], parts[0]])

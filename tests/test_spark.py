@@ -179,3 +179,15 @@ def test_masks_agree_with_the_plain_loops(name):
     assert name_mask(name) == mask(name)
     if mask(name) & names.ESCAPES & ~names.BIT["DRIVE_LETTER"] and not name.startswith((b"/", b"\\")):
         assert mask(b"safe/../" + name) & names.ESCAPES
+
+
+def test_table_functions(spark):
+    from holdfast.operators import sql
+    from holdfast.sources.archives import write_archive
+
+    sql.register(spark)
+    data = write_archive("tar", iter([({"name": b"a"}, b"1"), ({"name": b"b"}, b"22")]))
+    spark.createDataFrame([("p", bytearray(data))], "path string, content binary").createOrReplaceTempView("files")
+    rows = spark.sql("SELECT m.idx, m.size FROM files, LATERAL archive_members(path, content) m ORDER BY 1").collect()
+    assert [tuple(r) for r in rows] == [(0, 1), (1, 2)]
+    assert bytes(spark.sql("SELECT r.content FROM files, LATERAL archive_read(content, 1) r").first().content) == b"22"
