@@ -10,7 +10,6 @@ from __future__ import annotations
 import itertools
 import json
 import os
-import re
 import sys
 import types
 import unicodedata
@@ -19,7 +18,7 @@ import numpy as np
 
 NONE = np.int64(1) << 40
 CHECK_EVERY = 128
-CACHE = 500_000
+CACHE = 1_000_000
 #: Longer runs of letters go to the library, so that no matrix is wide for one word's sake.
 LONGEST = 48
 
@@ -109,8 +108,8 @@ class BatchBpe:
         return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
-#: A point or comma behind an ASCII letter or digit and before white space starts a token of its own.
-STOP = re.compile(rb"(?<=[a-z0-9])[.,](?=[ \t-\r])")
+#: ASCII characters that are neither letters, digits nor white space.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
 class WordTokenizer:
@@ -118,7 +117,7 @@ class WordTokenizer:
 
     White space here is space and \\t \\n \\v \\f \\r: the tokenizer's own patterns never join what stands on both
     sides of it, so the ids of a text are its words' ids in order.  It ignores the case of ASCII letters, except in its
-    special strings, and cuts a point or comma off a letter or digit; so does this class, for fewer distinct words.
+    special strings, and cuts marks off behind letters; so does this class, for fewer words to merge.
     """
 
     def __init__(self, path: str):
@@ -140,43 +139,42 @@ class WordTokenizer:
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
     def _learn(self, new) -> None:
-        runs, names, rest, ended = [], [], [], []
+        runs, names, rest, ended = [], [], [], {}
         for p in new:
             if p.isalpha():  # of ASCII letters
                 run = p.lower()
-            elif p.isascii():
-                run = b""
             else:
-                text = unicodedata.normalize("NFC", p.decode("utf-8", "replace"))
-                if text[-1] in ".," and text[-2:-1].isalnum():
-                    ended.append(p)
+                stem = p.rstrip(MARKS)
+                if len(stem) < len(p) and stem and b"<|" not in p and (stem.isalpha() or (not stem.isascii() and stem.decode("utf-8", "replace").isalpha())):
+                    ended[p] = stem, p[len(stem) :]
                     continue
                 # Python lowers a final sigma by its place, the library letter by letter.
-                text = "" if "Σ" in text else text.lower()
-                run = text.encode() if text.isalpha() else b""
+                text = "" if p.isascii() or "Σ" in p.decode("utf-8", "replace") else unicodedata.normalize("NFC", p.decode("utf-8", "replace")).lower()
+                run = text.encode() if text.isalpha() and "Σ" not in text else b""
             if run and len(run) <= LONGEST and self.batch.usable:
                 runs.append(run)
                 names.append(p)
             else:
                 rest.append(p)
+        known = self.known
         if runs:
             ids = self.batch.encode(runs)
             if ids[::CHECK_EVERY] != self._by_library(names[::CHECK_EVERY]):
                 raise ValueError("the tokenizers library encodes a word in another way")
-            self.known.update(zip(names, ids))
+            known.update(zip(names, ids))
         if rest:
-            self.known.update(zip(rest, self._by_library(rest)))
+            known.update(zip(rest, self._by_library(rest)))
         if ended:
-            known = self.known
-            self._learn({x for p in ended for x in (p[:-1], p[-1:])}.difference(known))
-            for p in ended:
-                known[p] = known[p[:-1]] + known[p[-1:]]
+            if parts := {x for both in ended.values() for x in both}.difference(known):
+                self._learn(parts)
+            for p, (stem, marks) in ended.items():
+                known[p] = known[stem] + known[marks]
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         words = []
         for t in texts:
             data = (t or "").encode("utf-8", "surrogatepass")
-            words.append(data.split() if b"<|" in data else STOP.sub(rb" \g<0>", data.lower()).split())
+            words.append(data.split() if b"<|" in data else data.lower().split())
         known = self.known
         if len(known) > CACHE:
             known.clear()
