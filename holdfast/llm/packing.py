@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, pieces, tidy
-from .word_bpe import WordTokenizer
+from .word_bpe import CACHE, WordTokenizer
 
 CAPACITY, END_ID, GROUP = 4096, 1, 1 << 16
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -35,11 +35,11 @@ def cut(ids: np.ndarray, capacity: int) -> list[np.ndarray]:
     return [ids[at : at + capacity] for at in range(0, len(ids), capacity)]
 
 
-def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, remember: int = CACHE) -> DataFrame:
     """PIECES' rows (and ids) of every document.  tokenizer: the path of its file, as workers see it."""
 
     def run(batches):
-        t = WordTokenizer.shared(tokenizer)
+        t = WordTokenizer.shared(tokenizer, remember)
         for b in batches:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")} | ({"ids": []} if with_ids else {})
             for i, ids in zip(b["doc_id"], t.ids(b["text"])):
@@ -86,11 +86,11 @@ def pack_sizes(sizes, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int = GROUP, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int = GROUP, with_ids: bool = True, remember: int = CACHE) -> DataFrame:
     """PLACED's rows, and each piece's ids if asked for."""
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     groups = pieces(docs.count(), group)
-    done = tokenized(docs, tokenizer, capacity, with_ids).withColumn(
+    done = tokenized(docs, tokenizer, capacity, with_ids, remember).withColumn(
         "group", F.pmod(F.xxhash64("doc_id", "length", "ids_crc32"), F.lit(groups))
     )
     # Full pieces take part without travelling far: they are placed as the rest, but cost no search.

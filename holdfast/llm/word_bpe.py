@@ -18,6 +18,7 @@ import numpy as np
 
 NONE = np.int64(1) << 40
 CHECK_EVERY = 128
+#: Words remembered, at about 200 bytes each.
 CACHE = 1_000_000
 #: Longer runs of letters go to the library, so that no matrix is wide for one word's sake.
 LONGEST = 48
@@ -120,18 +121,20 @@ class WordTokenizer:
     special strings, and cuts marks off behind letters; so does this class, for fewer words to merge.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer, self.batch, self.known = Tokenizer.from_file(path), BatchBpe(path), {}
+        self.remember = remember
 
     @classmethod
-    def shared(cls, path: str) -> WordTokenizer:
+    def shared(cls, path: str, remember: int = CACHE) -> WordTokenizer:
         """One a worker process and path: what it has learnt serves the next task."""
         kept = sys.modules.setdefault("_holdfast_worker_state", types.ModuleType("_holdfast_worker_state"))
         if path not in kept.__dict__:
             kept.__dict__[path] = cls(path)
+        kept.__dict__[path].remember = remember
         return kept.__dict__[path]
 
     def _by_library(self, parts: list[bytes]) -> list[bytes]:
@@ -176,7 +179,7 @@ class WordTokenizer:
             data = (t or "").encode("utf-8", "surrogatepass")
             words.append(data.split() if b"<|" in data else data.lower().split())
         known = self.known
-        if len(known) > CACHE:
+        if len(known) > self.remember:
             known.clear()
         self._learn(set().union(*words).difference(known))
         return [np.frombuffer(b"".join(map(known.__getitem__, x)), "<u4") for x in words]
