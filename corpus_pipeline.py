@@ -17,6 +17,8 @@ from holdfast.llm.queries import tokenizer_path
 BROADCAST_ROWS = 1 << 21
 #: Documents whose pieces, with their ids, are packed together: a group stays under about 50 MB.
 PACK_GROUP = 1 << 13
+#: Words that a packing worker remembers: fewer than alone, since its neighbours of earlier stages may still wait.
+REMEMBER = 250_000
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their token ids, placed in sequences."""
-    return packing.pack(docs, tokenizer_path(), group=PACK_GROUP, with_ids=True)
+    return packing.pack(docs, tokenizer_path(), group=PACK_GROUP, with_ids=True, remember=REMEMBER)
 
 
 STAGES = [
