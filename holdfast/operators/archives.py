@@ -121,8 +121,7 @@ def capped(rows: DataFrame, limits: Limits) -> DataFrame:
 def find(rows: DataFrame, name: bytes) -> DataFrame:
     """The first member of a name in each archive."""
     hit = rows.where(F.col("name") == F.lit(name))
-    first = hit.groupBy("path").agg(F.min("idx").alias("idx"))
-    return hit.join(first, ["path", "idx"], "left_semi")
+    return hit.groupBy("path").agg(F.min_by(F.struct(*rows.columns), "idx").alias("first")).select("first.*")
 
 
 def duplicates(rows: DataFrame) -> DataFrame:

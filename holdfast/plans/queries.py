@@ -209,14 +209,15 @@ def extract_plan(spark, sf_dir):
 def order_members(spark, sf_dir):
     """Line items as members of one archive a ship month."""
     items = table(spark, sf_dir, "lineitem")
-    return items.select(
-        F.date_format("l_shipdate", "yyyy-MM").alias("path"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("idx"), F.concat(F.lit("Part"), F.col("l_partkey") % 50).cast("binary").alias("name"),
-        (F.col("l_quantity") * 1000).cast("bigint").alias("size"),
-    ).groupBy("path", "idx").agg(F.min("name").alias("name"), F.sum("size").alias("size"))
+    keyed = items.select(
+        F.date_format("l_shipdate", "yyyy-MM").alias("path"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("idx"), (F.col("l_partkey") % 50).alias("part"), (F.col("l_quantity") * 1000).cast("bigint").alias("size")
+    )
+    once = keyed.groupBy("path", "idx").agg(F.min("part").alias("part"), F.sum("size").alias("size"))
+    return once.select("path", "idx", F.concat(F.lit("Part"), "part").cast("binary").alias("name"), "size")
 
 
 ITEMS = (
-    "SELECT strftime(l_shipdate, '%Y-%m') AS path, l_orderkey * 8 + l_linenumber AS idx, min('Part' || (l_partkey % 50)) AS name, sum((l_quantity * 1000)::BIGINT)::BIGINT AS size FROM lineitem GROUP BY 1, 2"
+    "SELECT strftime(l_shipdate, '%Y-%m') AS path, l_orderkey * 8 + l_linenumber AS idx, 'Part' || min(l_partkey % 50) AS name, sum((l_quantity * 1000)::BIGINT)::BIGINT AS size FROM lineitem GROUP BY 1, 2"
 )
 
 
