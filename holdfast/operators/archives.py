@@ -154,6 +154,29 @@ def copy(archives: DataFrame, format: str, rename: Column | None = None, codec:
     return pack(kept, format, codec, **options)
 
 
+def copy_raw(archives: DataFrame, prefix: bytes = b"") -> DataFrame:
+    """zip archives of the same stored bytes: nothing is decoded or decrypted.  Names may get a prefix."""
+    from ..sources.zips import copy_raw as raw
+
+    schema = "path string, content binary"
+
+    def run(batches):
+        for b in batches:
+            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                yield pa.RecordBatch.from_pydict({"path": [path], "content": [raw(data or b"", lambda n: prefix + n)]})
+
+    return archives.select("path", "content").mapInArrow(run, schema)
+
+
+def volumes(archives: DataFrame, size: int) -> DataFrame:
+    """(path.NNN, content) parts of ``size`` bytes each, numbered from 001."""
+    n = F.greatest(F.ceil(F.octet_length("content") / size), F.lit(1)).cast("int")
+    parts = archives.select("path", "content", F.explode(F.sequence(F.lit(1), n)).alias("part"))
+    return parts.select(
+        F.concat("path", F.lit("."), F.lpad(F.col("part").cast("string"), 3, "0")).alias("path"), F.substring("content", (F.col("part") - 1) * size + 1, F.lit(size)).alias("content")
+    )
+
+
 def crc_verdicts(rows: DataFrame) -> DataFrame:
     """path, idx and whether the content's CRC-32 is the declared one."""
     declared = F.coalesce(F.col("zip.crc32"), F.col("sevenz.crc32"))

@@ -121,6 +121,30 @@ def update_delete_add(spark, sf_dir):
     return back.select(F.substring_index("path", "-", 1).alias("path"), F.decode("name", "UTF-8").alias("name"), "size")
 
 
+@query(DOCUMENTS_SQL.replace("source || '/'", "'raw/' || source || '/'"))
+def zip_raw_copy(spark, sf_dir):
+    rows = ops.members(ops.copy_raw(ops.pack(documents(spark, sf_dir), "zip", method="bzip2"), b"raw/"))
+    return rows.select(F.decode("name", "UTF-8").alias("name"), "size", F.sha2("content", 256).alias("sha256"), F.col("mtime_seconds").alias("mtime"))
+
+
+@query(DOCUMENTS_SQL)
+def volumes_scan(spark, sf_dir):
+    """Archives cut into numbered volumes, joined by name and read."""
+    parts = ops.volumes(ops.pack(documents(spark, sf_dir), "zip"), 100_000)
+    rows = ops.members(ops.joined_volumes(parts))
+    return rows.select(F.decode("name", "UTF-8").alias("name"), "size", F.sha2("content", 256).alias("sha256"), F.col("mtime_seconds").alias("mtime"))
+
+
+@query("SELECT source || '/' || doc_id || '.txt' AS name, octet_length(encode(coalesce(text, ''))) AS size FROM documents")
+def sql_members(spark, sf_dir):
+    """The table function, from SQL."""
+    from ..operators import sql
+
+    sql.register(spark)
+    packed = ops.pack(documents(spark, sf_dir), "cpio")
+    return spark.sql("SELECT decode(m.name, 'UTF-8') AS name, m.size FROM {packed} p, LATERAL archive_members(p.path, p.content) m", packed=packed)
+
+
 @query("SELECT 0::BIGINT AS differences, count(*) AS members FROM documents")
 def central_vs_local(spark, sf_dir):
     """A zip by its local headers and by its directory, joined on ordinals."""

@@ -67,7 +67,7 @@ def self_extracting(data: bytes) -> int | None:
     return None
 
 
-def read_archive(path: str, data: bytes, archive: dict, limits: Limits | None = None, access: str = "random", codec: str = "auto", password: str | None = None, with_content: bool = True) -> Iterator[dict]:
+def read_archive(path: str, data: bytes, archive: dict, limits: Limits | None = None, access: str = "random", codec: str = "auto", password: str | None = None, with_content: bool = True, name_hint: bool = False) -> Iterator[dict]:
     """Member rows of one archive; ``archive`` becomes its own row.  access: random, or sequential as from a pipe."""
     limits = limits or Limits()
     secret = None if password is None else password.encode()
@@ -76,7 +76,7 @@ def read_archive(path: str, data: bytes, archive: dict, limits: Limits | None =
         if not data:
             raise ArchiveError("CORRUPT", "empty")
         kind, random = identify(data[:512]), access == "random"
-        if kind is None and codec == "auto" and (found := sniff_codec(data[:64], path)) or codec not in ("auto", "none"):
+        if kind is None and codec == "auto" and (found := sniff_codec(data[:64], path, name_hint)) or codec not in ("auto", "none"):
             archive["codec"] = found = codec if codec not in ("auto", "none") else found
             data, random = decompress(found, data), False
             kind = identify(data[:512])
@@ -107,13 +107,17 @@ def read_archive(path: str, data: bytes, archive: dict, limits: Limits | None =
         archive["status"] = e.status
 
 
-def write_archive(format: str, members: Iterator[tuple[dict, bytes]], codec: str | None = None, **options) -> bytes:
-    """The bytes of an archive; a member that the format refuses raises."""
+def write_archive(format: str, members: Iterator[tuple[dict, bytes]], codec: str | None = None, on_refusal: str = "fail", **options) -> bytes:
+    """The bytes of an archive.  A member that the format refuses has written nothing: it raises, or is skipped if asked."""
     if format not in WRITERS:
         raise ArchiveError("UNSUPPORTED", format)
     out = io.BytesIO()
     writer = WRITERS[format](out, options)
     for m, data in members:
-        writer.add(m, data)
+        try:
+            writer.add(m, data)
+        except ArchiveError:
+            if on_refusal != "skip":
+                raise
     writer.finish()
     return compress(codec, out.getvalue()) if codec else out.getvalue()
