@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FLAT, flat_table, map_rows, settled
+from .common import flat_table, map_rows, settled
 
 BINS, BANDS, ROWS = 200, 40, 5
 BLOCK, BROADCAST_ROWS, CACHE = 512, 1 << 21, 200_000
@@ -172,11 +172,11 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     return map_rows(both, run, "a bigint, b bigint", rows=512).distinct()
 
 
-def components(links: DataFrame, rounds: int = 100) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component (least node reachable) of all nodes of links (a, b)."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     edges, before = settled(edges), None
-    for _ in range(rounds):
+    while True:  # the number of rounds grows as the logarithm of the nodes
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("bigint"))).first()
         if now == before or not now[0]:
             break
