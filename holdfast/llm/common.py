@@ -72,7 +72,10 @@ def settled(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="holdfast-")
         )
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # Shuffle files of finished steps go when the driver's JVM collects what referred to them; many small steps would pile up.
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 FLAT = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}

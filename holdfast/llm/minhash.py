@@ -36,7 +36,7 @@ from .common import flat_table, map_rows, settled
 
 BINS, BANDS, ROWS = 200, 40, 5
 BLOCK, BROADCAST_ROWS, CACHE = 512, 1 << 21, 200_000
-SETS = "doc_id bigint, n bigint, h1 bigint, h2 bigint, signature binary, bands array<bigint>"
+SETS = "doc_id bigint, n bigint, h1 bigint, h2 bigint, signature binary"
 _rng = np.random.default_rng(977)
 #: For each bin a random order of all bins: where it borrows from when it is empty.
 PROBES = np.stack([_rng.permutation(BINS) for _ in range(BINS)], axis=1)
@@ -84,32 +84,27 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
-def band_keys(sig: np.ndarray) -> list[int]:
-    with np.errstate(over="ignore"):
-        x = np.arange(1, BANDS + 1, dtype=np.uint64) * C2
-        for i in range(ROWS):
-            x = (x ^ sig[i::ROWS][:BANDS].astype(np.uint64)) * C1
-            x ^= x >> np.uint64(31)
-        return (x * C3).view(np.int64).tolist()
+def band_keys():
+    """Keys of a signature's bands: hashes of ROWS bins of 16 bits each, and of the band's number."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.substring(F.col("signature"), k * (2 * ROWS) + 1, F.lit(2 * ROWS)), k))
 
 
 def described(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         f = Shingler(shingle)
         for b in batches:
-            out = {k: [] for k in ("doc_id", "n", "h1", "h2", "signature", "bands")}
+            out = {k: [] for k in ("doc_id", "n", "h1", "h2", "signature")}
             for i, text in zip(b["doc_id"], b["text"]):
                 s = f(text)
                 out["doc_id"].append(i)
                 out["n"].append(len(s))
                 if len(s) and i is not None:
-                    d, sig = xxhash.xxh3_128_digest(s.tobytes()), signature(s)
+                    d = xxhash.xxh3_128_digest(s.tobytes())
                     out["h1"].append(int.from_bytes(d[:8], "little", signed=True))
                     out["h2"].append(int.from_bytes(d[8:], "little", signed=True))
-                    out["signature"].append(sig.astype("<u2").tobytes())
-                    out["bands"].append(band_keys(sig))
+                    out["signature"].append(signature(s).astype("<u2").tobytes())
                 else:
-                    for k in ("h1", "h2", "signature", "bands"):
+                    for k in ("h1", "h2", "signature"):
                         out[k].append(None)
             yield out
 
@@ -256,10 +251,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """doc_id, n_shingles, component_id, kept of every row."""
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     sets = settled(described(docs, shingle))
-    classes = sets.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = sets.where("h1 is not null").join(classes.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["h1", "h2"])
-    reps = reps.select("doc_id", "n", "signature", "bands")
-    banded = reps.select("doc_id", F.explode("bands").alias("key"))
+    # One row a set: equal sets meet in partial minima, so a set that many documents have costs a row a task.
+    least = sets.where("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "signature")).alias("x"))
+    reps = settled(least.select("h1", "h2", "x.*"))
+    classes = reps.select("h1", "h2", F.col("doc_id").alias("rep"))
+    reps = reps.select("doc_id", "n", "signature")
+    banded = reps.select("doc_id", F.explode(band_keys()).alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = settled(shared)  # apart from its join, which Spark can then split where a bucket is large
     rows = settled(banded.join(shared, "key"))
