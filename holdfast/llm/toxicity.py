@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import alnum_words, map_rows, tidy
 
-ORDER, SPAN, DISCOUNT, MAX_NODES = 8, 20, 0.75, 1 << 18
+ORDER, SPAN, DISCOUNT, MAX_NODES = 8, 20, 0.75, 1 << 17
 BROADCAST_BYTES, LABEL_BYTES, CACHE = 64 << 20, 32, 200_000
 THRESHOLD = 0.3
 
