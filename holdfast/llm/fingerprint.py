@@ -29,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FLAT, alnum_words, map_rows, pieces, text_bytes, tidy
+from .common import FLAT, alnum_words, map_rows, pieces, settled, text_bytes, tidy
 
 LEAST_SHARE, MOST_SHARE, MIN_TERMS = 0.0005, 0.1, 4
 RATES, SUBSETS, ENOUGH = (1 / 4, 1 / 16, 1 / 64, 1 / 256), 32, 12
-BUCKET_BYTES, CACHE = 16 << 20, 200_000
+BUCKET_BYTES, CACHE = 4 << 20, 200_000
 SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, len(RATES) * SUBSETS, dtype=np.uint64) | np.uint64(1)
 LIMITS = np.repeat(np.array([int(r * (1 << 32)) for r in RATES], np.uint64), SUBSETS)
 RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -123,7 +123,7 @@ def bucketed(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, text, bucket: ascending ranges of ids, of about as many bytes each.  Null ids are in the first."""
     n = pieces(text_bytes(docs)[1], bucket_bytes)
     shares = [i / n for i in range(1, n)]
-    bounds = np.unique(np.array((docs.agg(F.percentile_approx("doc_id", shares, 100 * n)).first()[0] if shares else None) or [], np.int64))
+    bounds = np.unique(np.array((docs.agg(F.percentile_approx("doc_id", shares, min(100 * n, 100_000))).first()[0] if shares else None) or [], np.int64))
     schema = "doc_id bigint, text string, bucket int"
 
     def run(batches):
@@ -140,7 +140,7 @@ def fingerprints(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(lexicon(docs))
-    ranged = bucketed(docs, bucket_bytes).repartition("bucket")
+    dealt = bucketed(docs, bucket_bytes)
     target = pa.schema([(n, FLAT[t]) for n, t in map(str.split, RESULT.split(","))])
 
     def pairs(rows):
@@ -180,15 +180,14 @@ def fingerprints(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame
 
         yield from pairs(rows())
 
-    within = ranged.sortWithinPartitions("bucket", "doc_id", "text").mapInArrow(inside, RESULT)
+    within = dealt.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "text").mapInArrow(inside, RESULT)
     row = F.struct("doc_id", "text")
-    edges = ranged.groupBy("bucket").agg(F.min(row).alias("head"), F.max(row).alias("tail"))
-    # A row a bucket, which are few: one ordered window over them, and the first again after the last.
+    # Partial minima and maxima before any shuffle: two rows a bucket and task travel.
+    edges = settled(dealt.groupBy("bucket").agg(F.min(row).alias("head"), F.max(row).alias("tail")))
+    # Which bucket follows is settled on their numbers alone, which are narrow; the texts join by them.
     order = Window.orderBy("bucket")
-    everything = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    joints = edges.select(
-        F.col("tail.doc_id").alias("doc_id"),
-        F.col("tail.text").alias("text"),
-        F.coalesce(F.lead("head").over(order), F.first("head").over(everything)).getField("text").alias("following"),
-    )
+    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    numbers = edges.select("bucket").select("bucket", F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(everything)).alias("after"))
+    tails = edges.select("bucket", F.col("tail.doc_id").alias("doc_id"), F.col("tail.text").alias("text")).join(numbers, "bucket")
+    joints = tails.join(edges.select(F.col("bucket").alias("after"), F.col("head.text").alias("following")), "after").select("doc_id", "text", "following")
     return within.unionByName(joints.mapInArrow(given, RESULT))
