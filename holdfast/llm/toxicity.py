@@ -15,10 +15,12 @@ A logistic regression turns these three into a score.
 
 Fitting uses labelled rows whose crc32(doc_id) mod 4 isn't 2.  The regression is fitted on a sample of at most
 ``calibration_rows`` of those with remainder 3, by evidence from counts of remainders 0 and 1 alone, so that it meets words as
-unseen as the scored ones; the counts that score are over all three.  The
-broadcast model keeps at most MAX_NODES prefixes, by a floor on counts read off a histogram; rarer prefixes fall to
-the backoff mass of their parent, as rare expressions do.  Labels are broadcast if their measured size allows
-and joined by a shuffle if not.
+unseen as the scored ones; the counts that score are over all three.
+
+The model keeps every prefix, as a distributed table.  Documents are dealt in compressed blocks to chunks of about
+CHUNK_BYTES of text; each chunk asks for the nodes its own words have, and gets their part of the model by a join.  A node (at
+most eight bytes, none of them zero) is one number, exactly.  Labels are broadcast if their measured size allows and
+joined by a shuffle if not.
 
 Null and empty texts, and texts without words, have all evidence zero; rows with null id are scored, never
 learnt; several labels of a row each count; if a class has no row, every score is 0; repeated rows are scored each.
@@ -26,17 +28,17 @@ learnt; several labels of a row each count; if a class has no row, every score i
 
 from __future__ import annotations
 
-import math
+import gc
 from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import alnum_words, map_rows, tidy
+from .common import alnum_words, map_rows, pieces, settled, text_bytes, tidy
 
-ORDER, SPAN, DISCOUNT, MAX_NODES = 8, 20, 0.75, 1 << 17
-BROADCAST_BYTES, LABEL_BYTES, CACHE = 64 << 20, 32, 200_000
+ORDER, SPAN, DISCOUNT = 8, 20, 0.75
+BROADCAST_BYTES, LABEL_BYTES, CACHE, CHUNK_BYTES, BLOCK_BYTES = 64 << 20, 32, 200_000, 32 << 20, 4 << 20
 THRESHOLD = 0.3
 
 
@@ -56,156 +58,222 @@ def _labelled(docs: DataFrame, labels: DataFrame, remainders: list[int]) -> Data
     return docs.select(F.col("doc_id").cast("bigint"), "text").join(labels, "doc_id").select("doc_id", "text", "toxic")
 
 
+def _packed(words: list[bytes]):
+    """The nodes of words, one after another, and the number that each word has."""
+    flat = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    nodes = flat.copy()
+    for j in range(1, ORDER):
+        nodes[j:] |= np.where(place[j:] >= j, flat[:-j] << np.uint64(8 * j), np.uint64(0))
+    return nodes.view(np.int64)[place < ORDER], np.minimum(lengths, ORDER)
+
+
 def _count(batches):
-    """Prefix counts of a partition by class and fold: words are counted first, so that prefixes are cut once a word."""
+    """Node counts of a partition by class and fold: words are counted first, so that nodes are cut once a word."""
     words: dict[bytes, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
     for b in batches:
         for text, toxic, held in zip(b["text"], b["toxic"], b["held"]):
             slot = (toxic > 0) + 2 * held
             for w in set(words_of(text)):
                 words[w][slot] += 1
-        if len(words) > 1_000_000:
-            yield from _prefixes(words)
+        if len(words) > CACHE:
+            yield from _nodes(words)
             words.clear()
-    yield from _prefixes(words)
-
-
-def _prefixes(words):
-    nodes: dict[bytes, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
-    for w, counts in words.items():
-        w = (w + b" ")[:ORDER]
-        for i in range(1, len(w) + 1):
-            n = nodes[w[:i]]
-            for k, c in enumerate(counts):
-                n[k] += c
-    keys = list(nodes)
-    for at in range(0, len(keys), 50_000):
-        k = keys[at : at + 50_000]
-        yield {"node": k} | {c: [nodes[x][i] for x in k] for i, c in enumerate(("o", "t", "held_o", "held_t"))}
-
-
-def _floor(nodes: DataFrame, most: int) -> int:
-    """The least count, a power of two, that at most ``most`` nodes reach."""
-    bins = {r[0]: r[1] for r in nodes.groupBy(F.floor(F.log2(F.col("all_o") + F.col("all_t"))).alias("b")).count().collect()}
-    floor, kept = max(bins, default=0) + 1, 0
-    while floor > 0 and kept + bins.get(floor - 1, 0) <= most:
-        floor -= 1
-        kept += bins.get(floor, 0)
-    return 1 << floor
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_nodes: int = MAX_NODES, calibration_rows: int = 20_000, seed: int = 7) -> dict:
-    """A model: evidence by prefix, and the regression's weights."""
+    yield from _nodes(words)
+
+
+def _nodes(words):
+    if not words:
+        return
+    nodes, lengths = _packed(list(words))
+    keys, at = np.unique(nodes, return_inverse=True)
+    counts = np.array(list(words.values()))
+    sums = [np.bincount(at, np.repeat(counts[:, k], lengths), len(keys)).astype(np.int64) for k in range(4)]
+    for i in range(0, len(keys), 50_000):
+        yield {"node": keys[i : i + 50_000]} | {c: n[i : i + 50_000] for c, n in zip(("o", "t", "held_o", "held_t"), sums)}
+
+
+def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = 20_000, seed: int = 7) -> dict:
+    """A model: log ratios by node and context, as a table, and the regression's weights."""
+    nodes = _table(docs, labels)
+    _release(docs)
+    weights = None if nodes is None else _calibrate(docs, labels, nodes, calibration_rows, seed)
+    _release(docs)
+    return {"nodes": nodes, "weights": weights}
+
+
+def _release(docs: DataFrame) -> None:
+    """Shuffle files of finished steps go when neither Python nor the driver's JVM refers to them."""
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+
+
+def _table(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
     seen = _labelled(docs, labels, [0, 1, 3]).select("text", "toxic", (remainder() == 3).cast("int").alias("held"))
-    counted = map_rows(seen, _count, "node binary, o bigint, t bigint, held_o bigint, held_t bigint")
+    counted = map_rows(seen, _count, "node bigint, o bigint, t bigint, held_o bigint, held_t bigint")
     counts = ("o", "t", "all_o", "all_t")
     nodes = counted.groupBy("node").agg(
         F.sum("o").alias("o"), F.sum("t").alias("t"), F.sum(F.col("o") + F.col("held_o")).alias("all_o"), F.sum(F.col("t") + F.col("held_t")).alias("all_t")
     )
-    nodes = nodes.withColumn("length", F.octet_length("node"))
-    parent = F.substring(F.col("node"), F.lit(1), F.col("length") - 1)
-    tail = F.substring(F.col("node"), F.greatest(F.lit(1), F.col("length") - 2), F.lit(3))
-    w = Window.partitionBy("parent")
-    rows = nodes.select("node", *counts, parent.alias("parent"), tail.alias("tail")).select(
-        "node", "tail", *counts, *(F.sum(k).over(w).alias(f"n_{k}") for k in counts), *(F.sum((F.col(k) > 0).cast("int")).over(w).alias(f"t_{k}") for k in counts)
+    w = Window.partitionBy("context")
+    rows = nodes.select("node", *counts, F.shiftrightunsigned("node", 8).alias("context"), F.col("node").bitwiseAND(F.lit(0xFFFFFF)).alias("tail")).select(
+        "node", "context", "tail", (F.col("node") == F.min("node").over(w)).alias("first"), *counts,
+        *(F.sum(k).over(w).alias(f"n_{k}") for k in counts), *(F.sum((F.col(k) > 0).cast("int")).over(w).alias(f"t_{k}") for k in counts)
     ).persist()
     try:
         # Shared continuation counts: distinct prefixes by their last three bytes, a table of the alphabet's size.
-        tails = {bytes(r[0]): r[1] for r in rows.groupBy("tail").count().collect()}
-        floor = _floor(rows, max_nodes)
-        kept = rows.where(F.col("all_o") + F.col("all_t") >= floor).drop("tail").toPandas()
+        tails = {r[0]: r[1] for r in rows.groupBy("tail").count().collect()}
+        if not tails:
+            return None
+        shared = docs.sparkSession.createDataFrame(_shared(tails), "tail bigint, p double")
+        # The regression must meet words as unseen as the scored ones: its evidence leaves its fold out.
+        ratios = [c for fold in ("", "all_") for c in _ratios(fold)]
+        return settled(rows.join(F.broadcast(shared), "tail").select("context", "node", "first", *ratios))
     finally:
         rows.unpersist()
 
-    def part(prefix: str):
-        columns = [f"{a}{prefix}{k}" for a in ("", "n_", "t_") for k in "ot"]
-        return kept[["node", *columns]].itertuples(index=False)
 
-    # The regression must meet words as unseen as the scored ones: its evidence leaves its fold out.
-    evidence = _evidence(part("all_"), tails)
-    weights = _calibrate(docs, labels, _evidence(part(""), tails), calibration_rows, seed) if evidence else None
-    return {"evidence": evidence, "weights": weights}
-
-
-def _evidence(rows, tails: dict[bytes, int]) -> dict[bytes, tuple[float, float]]:
-    """prefix -> (sum of log ratios down to it, log ratio of the backoff masses below it)."""
-    context: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
-    for t, n in tails.items():
-        context[t[:-1]][0] += n
-        context[t[:-1]][1] += 1
+def _shared(tails: dict[int, int]) -> list[tuple[int, float]]:
+    """P(last byte | the two before it) by the last three bytes."""
+    context: dict[int, list[int]] = defaultdict(lambda: [0, 0])
     unigram: dict[int, int] = defaultdict(int)
     for t, n in tails.items():
-        unigram[t[-1]] += n
+        context[t >> 8][0] += n
+        context[t >> 8][1] += 1
+        unigram[t & 255] += n
     total = sum(unigram.values())
+    return [(t, (n - DISCOUNT + DISCOUNT * context[t >> 8][1] * unigram[t & 255] / total) / context[t >> 8][0]) for t, n in tails.items()]
+
+
+def _ratios(fold: str) -> list:
+    """The log ratio of a node, and that of the backoff masses of its context, which unseen nodes have."""
 
-    def shared(node: bytes) -> float:
-        t = node[-3:]
-        n, kinds = context[t[:-1]]
-        return (tails[t] - DISCOUNT + DISCOUNT * kinds * unigram[t[-1]] / total) / n
-
-    out: dict[bytes, tuple[float, float]] = {b"": (0.0, 0.0)}
-    below: dict[bytes, float] = {}
-    step: dict[bytes, float] = {}
-    for node, o, t, n_o, n_t, t_o, t_t in rows:
-        node = bytes(node)
-        p = shared(node)
-        p_t = (max(t - DISCOUNT, 0) + DISCOUNT * t_t * p) / n_t if n_t else p
-        p_o = (max(o - DISCOUNT, 0) + DISCOUNT * t_o * p) / n_o if n_o else p
-        step[node] = math.log(p_t / p_o)
-        below[node[:-1]] = (math.log(DISCOUNT * t_t / n_t) if n_t else 0.0) - (math.log(DISCOUNT * t_o / n_o) if n_o else 0.0)
-    if not step:
-        return {}
-    for node in sorted(step, key=lambda x: (len(x), x)):
-        out[node] = (out[node[:-1]][0] + step[node], below.get(node, 0.0))
-    out[b""] = (0.0, below.get(b"", 0.0))
-    return out
+    def of(k: str):
+        k, n, kinds = (F.col(f"{a}{fold}{k}") for a in ("", "n_", "t_"))
+        p = F.when(n > 0, (F.greatest(k - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * F.col("p")) / n).otherwise(F.col("p"))
+        return p, F.when(n > 0, F.log(DISCOUNT * kinds / n)).otherwise(0.0)
+
+    (p_t, below_t), (p_o, below_o) = of("t"), of("o")
+    return [F.log(p_t / p_o).alias(f"{fold}step"), (below_t - below_o).alias(f"{fold}below")]
 
 
 class Scorer:
-    """Evidence of words, remembered for the most recent CACHE distinct ones."""
-
-    def __init__(self, evidence):
-        self.evidence, self.known = evidence, {}
-
-    def word(self, w: bytes) -> float:
-        p = (w + b" ")[:ORDER]
-        full = self.evidence.get(p)
-        if full is not None:
-            return full[0]
-        for i in range(len(p) - 1, -1, -1):
-            x = self.evidence.get(p[:i])
-            if x is not None:
-                return x[0] + x[1]
-        return 0.0
-
-    def features(self, text: str | None) -> list[float]:
-        words = words_of(text)
-        if not words or not self.evidence:
-            return [0.0, 0.0, 0.0]
+    """Evidence of words by a part of the model that has all their contexts, remembered for the most recent CACHE distinct ones."""
+
+    def __init__(self, nodes, step, below):
+        order = np.argsort(nodes)
+        self.nodes, self.step, self.known = nodes[order], step[order], {}
+        self.contexts, first = np.unique(self.nodes.view(np.uint64) >> np.uint64(8), return_index=True)
+        self.below = below[order][first]
+
+    def learn(self, words) -> None:
+        """Remembers evidence of the words that are not known yet."""
         if len(self.known) > CACHE:
             self.known.clear()
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = self.word(w)
-        x = np.fromiter(map(known.__getitem__, words), float, len(words))
+        new = list(set(words).difference(self.known))
+        if not new:
+            return
+        nodes, lengths = _packed(new)
+        at = np.minimum(np.searchsorted(self.nodes, nodes), len(self.nodes) - 1)
+        contexts = nodes.view(np.uint64) >> np.uint64(8)
+        up = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
+        ratio = np.where(self.nodes[at] == nodes, self.step[at], np.where(self.contexts[up] == contexts, self.below[up], 0.0))
+        self.known.update(zip(new, np.add.reduceat(ratio, np.cumsum(lengths) - lengths).tolist()))
+
+    def features(self, words: list[bytes]) -> list[float]:
+        if not words:
+            return [0.0, 0.0, 0.0]
+        x = np.fromiter(map(self.known.__getitem__, words), float, len(words))
         c = np.concatenate(([0.0], np.cumsum(x)))
         n = min(SPAN, len(words))
         return [float(x.max()), float((c[n:] - c[:-n]).max()) / SPAN, float(x.mean())]
 
 
-def _calibrate(docs, labels, evidence, rows: int, seed: int):
+def _features(docs: DataFrame, nodes: DataFrame, fold: str, column: str) -> DataFrame:
+    """All columns of docs, and the three features under the name ``column``."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    schema = StructType([*docs.schema.fields, StructField(column, ArrayType(DoubleType()))])
+    chunks = pieces(text_bytes(docs)[1], CHUNK_BYTES)
+
+    def deal(batches):
+        held, size, at = [], 0, TaskContext.get().partitionId()
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                held.append(b.slice(i, 500))
+                size += held[-1].nbytes
+                if size > BLOCK_BYTES:
+                    yield block(held, at % chunks)
+                    held, size, at = [], 0, at + 1
+        if held:
+            yield block(held, at % chunks)
+        tidy()
+
+    def block(held, chunk):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(pa.Table.from_batches(held).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "block"])
+
+    def tables(t):
+        for x in t.column("block"):
+            yield pa.ipc.open_stream(x.as_buffer()).read_all()
+
+    def asked(key, t):
+        found, words = [np.zeros(0, np.uint64)], set()
+
+        def cut():
+            if words:
+                found.append(np.unique(_packed(list(words))[0].view(np.uint64)))
+                words.clear()
+
+        for docs in tables(t):
+            for text in docs.column("text"):
+                words.update(words_of(text.as_py()))
+                if len(words) > CACHE:
+                    cut()
+        cut()
+        wanted = np.unique(np.concatenate(found))
+        # The numbers of one context lie side by side; a chunk asks for 0 in any case, so that its part isn't empty.
+        contexts, first = np.unique(wanted >> np.uint64(8), return_index=True)
+        last = pa.ListArray.from_arrays(pa.array([*first.tolist(), len(wanted)], pa.int32()), pa.array((wanted & np.uint64(255)).astype(np.int16)))
+        if not len(contexts):
+            contexts, last = np.zeros(1, np.uint64), pa.array([[]], pa.list_(pa.int16()))
+        out = pa.table({"chunk": pa.array(np.full(len(contexts), key[0].as_py(), np.int32)), "context": contexts.view(np.int64), "wanted": last})
+        tidy()
+        return out
+
+    def run(t, part):
+        s = Scorer(*(part.column(c).to_numpy() for c in ("node", "step", "below")))
+        out = []
+        for docs in tables(t):
+            x, texts = [], docs.column("text")
+            for at in range(0, len(texts), 500):
+                words = [words_of(text) for text in texts.slice(at, 500).to_pylist()]
+                s.learn(w for ws in words for w in ws)
+                x += map(s.features, words)
+            out.append(docs.append_column(column, pa.array(x, pa.list_(pa.float64()))))
+        del s
+        tidy()
+        return pa.concat_tables(out)
+
+    dealt = docs.mapInArrow(deal, "chunk int, block binary")
+    asks = dealt.groupBy("chunk").applyInArrow(asked, "chunk int, context bigint, wanted array<smallint>")
+    nodes = nodes.select("context", "node", "first", F.col(f"{fold}step").alias("step"), F.col(f"{fold}below").alias("below"))
+    last = F.col("node").bitwiseAND(F.lit(255)).cast("smallint")
+    parts = asks.join(nodes, "context").where(F.col("first") | F.array_contains("wanted", last)).select("chunk", "node", "step", "below")
+    return dealt.groupBy("chunk").cogroup(parts.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def _calibrate(docs, labels, nodes, rows: int, seed: int):
     """Newton's method on a bounded sample (by hash of the id) of labelled rows that the counts did not see."""
     held = _labelled(docs, labels, [3])
     if (n := held.count()) > rows:
         held = held.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * rows / n))
-    sent = docs.sparkSession.sparkContext.broadcast(evidence)
-
-    def run(batches):
-        s = Scorer(sent.value)
-        for b in batches:
-            yield {"x": [s.features(t) for t in b["text"]], "y": b["toxic"]}
-
-    got = map_rows(held.select("text", "toxic"), run, "x array<double>, y int").toPandas()
+    got = _features(held, nodes, "", "x").select("x", F.col("toxic").alias("y")).toPandas()
     y = (got.y.to_numpy() > 0).astype(float)
     if not 0 < y.sum() < len(y):
         return None
@@ -223,25 +291,13 @@ def _calibrate(docs, labels, evidence, rows: int, seed: int):
 
 def score(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:
     """All columns of docs, and the score under the name ``column`` (replacing one of that name)."""
-    import pyarrow as pa
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     weights = model["weights"]
-    sent = docs.sparkSession.sparkContext.broadcast(model["evidence"])
     if column in docs.columns:
         docs = docs.drop(column)
-
-    def run(batches):
-        s = Scorer(sent.value)
-        for b in batches:
-            out = []
-            for t in b.column("text"):
-                z = -99.0 if weights is None else weights[0] + sum(a * x for a, x in zip(weights[1:], s.features(t.as_py())))
-                out.append(1 / (1 + math.exp(-z)) if z > -60 else 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, column])
-        tidy()
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+    if weights is None:
+        return docs.withColumn(column, F.lit(0.0))
+    z = sum((F.lit(a) * F.col("_x")[i] for i, a in enumerate(weights[1:])), F.lit(weights[0]))
+    return _features(docs, model["nodes"], "all_", "_x").withColumn(column, F.when(z > -60, 1 / (1 + F.exp(-z))).otherwise(0.0)).drop("_x")
 
 
 def predictions(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:

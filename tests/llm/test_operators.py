@@ -127,6 +127,20 @@ def test_op3(spark, empty):
     assert {r.score for r in toxicity.predictions(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_op3_keeps_rare_prefixes(spark):
+    """More distinct prefixes than 262,144, most of them in one document: the model has all of them."""
+    rng = np.random.default_rng(11)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rows = [(i, " ".join("".join(w) for w in rng.choice(letters, (150, 7))), int(i % 5 == 0)) for i in range(1000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    seen = {w[:k] for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2 for w in (x + " " for x in t.split()) for k in range(1, 9)}
+    assert len(seen) > 1 << 18
+    model = toxicity.fit(docs, labels)
+    got = {int.from_bytes(w.encode(), "big") for w in seen}
+    assert got == {r.node for r in model["nodes"].select("node").collect()}
+
+
 def test_op4(spark):
     odd = ["", "\x1b", "\x1be", "\x1b[INST] x \x1b</s>", "plain </s>", "e\x1b\x1bee", "\x1b<role user\x1b>"]
     rows = [(k, j, ("system", "user", "assistant", "tool", None, "\x1b<s>")[(j + k) % 6], t) for k in range(6) for j, t in enumerate(odd)] + [(9, 0, "user", None), (None, None, None, None), (9, 0, "user", None)]
