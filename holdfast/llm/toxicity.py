@@ -1,13 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models over the characters of words.
 
-A word, lower-cased and closed by a space, is predicted byte by byte from its own beginning, up to ORDER bytes.
-Each class k in (ordinary, toxic) has counts n_k(prefix) of documents' distinct words, over *all*
-labelled training rows; a byte c after prefix p has
+A word, lower-cased and closed by a space, is predicted byte by byte to its end, each byte from the ORDER - 1 bytes before it, or
+from the word's whole beginning where that is shorter.  Each class k in (ordinary, toxic) has counts n_k(p) of such
+strings p in documents' distinct words, over *all* labelled training rows; a byte c after p has
 
     P_k(c|p) = (max(n_k(pc) - D, 0) + D t_k(p) P(c|last two bytes of p)) / n_k(p),
 
 t_k(p) the number of bytes that class saw after p.  The lower order is shared: P comes from continuation counts
-(distinct prefixes that end so) over both classes together, so an expression that one class never
+(distinct strings that end so) over both classes together, so an expression that one class never
 showed is judged by what both know, and cancels where neither saw its beginning.  A word's evidence is
 the sum of log P_toxic - log P_ordinary over its bytes; per-word means of it, which are length-normalised
 log-likelihood differences, are taken over the best word, the best SPAN consecutive words and the whole text.
@@ -17,9 +17,9 @@ Fitting uses labelled rows whose crc32(doc_id) mod 4 isn't 2.  The regression is
 ``calibration_rows`` of those with remainder 3, by evidence from counts of remainders 0 and 1 alone, so that it meets words as
 unseen as the scored ones; the counts that score are over all three.
 
-The model keeps every prefix, as a distributed table.  Documents are dealt in compressed blocks to chunks of about
+The model keeps every such string (a node), as a distributed table.  Documents are dealt in compressed blocks to chunks of about
 CHUNK_BYTES of text; each chunk asks for the nodes its own words have, and gets their part of the model by a join.  A node (at
-most eight bytes, none of them zero) is one number, exactly.  Labels are broadcast if their measured size allows and
+most eight bytes, none of them zero, and shorter than eight only at a word's beginning) is one number, exactly.  Labels are broadcast if their measured size allows and
 joined by a shuffle if not.
 
 Null and empty texts, and texts without words, have all evidence zero; rows with null id are scored, never
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import alnum_words, map_rows, pieces, settled, text_bytes, tidy
 
 ORDER, SPAN, DISCOUNT = 8, 20, 0.75
-BROADCAST_BYTES, LABEL_BYTES, CACHE, CHUNK_BYTES, BLOCK_BYTES = 64 << 20, 32, 200_000, 32 << 20, 4 << 20
+BROADCAST_BYTES, LABEL_BYTES, CACHE, CHUNK_BYTES, BLOCK_BYTES = 64 << 20, 32, 200_000, 48 << 20, 4 << 20
 THRESHOLD = 0.3
 
 
@@ -59,14 +59,14 @@ def _labelled(docs: DataFrame, labels: DataFrame, remainders: list[int]) -> Data
 
 
 def _packed(words: list[bytes]):
-    """The nodes of words, one after another, and the number that each word has."""
+    """The nodes of words, one for each byte and the closing space, one after another, and the number that each word has."""
     flat = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     nodes = flat.copy()
     for j in range(1, ORDER):
         nodes[j:] |= np.where(place[j:] >= j, flat[:-j] << np.uint64(8 * j), np.uint64(0))
-    return nodes.view(np.int64)[place < ORDER], np.minimum(lengths, ORDER)
+    return nodes.view(np.int64), lengths
 
 
 def _count(batches):
@@ -122,7 +122,7 @@ def _table(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
         *(F.sum(k).over(w).alias(f"n_{k}") for k in counts), *(F.sum((F.col(k) > 0).cast("int")).over(w).alias(f"t_{k}") for k in counts)
     ).persist()
     try:
-        # Shared continuation counts: distinct prefixes by their last three bytes, a table of the alphabet's size.
+        # Shared continuation counts: distinct nodes by their last three bytes, a table of the alphabet's size.
         tails = {r[0]: r[1] for r in rows.groupBy("tail").count().collect()}
         if not tails:
             return None
@@ -214,7 +214,7 @@ def _features(docs: DataFrame, nodes: DataFrame, fold: str, column: str) -> Data
 
     def block(held, chunk):
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as out:
             out.write_table(pa.Table.from_batches(held).combine_chunks())
         return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "block"])
 

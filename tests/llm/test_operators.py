@@ -141,6 +141,22 @@ def test_op3_keeps_rare_prefixes(spark):
     assert got == {r.node for r in model["nodes"].select("node").collect()}
 
 
+def test_op3_reads_whole_words(spark):
+    """Toxic words that differ from ordinary ones only after their eighth byte, in ASCII, Greek and unspaced CJK."""
+    assert toxicity._packed([b"ab", b"abcdefghij"])[1].tolist() == [3, 11]
+    nodes = [n.to_bytes(8, "big").lstrip(b"\0") for n in toxicity._packed([b"ab", b"abcdefghij"])[0].tolist()]
+    assert nodes[:3] == [b"a", b"ab", b"ab "] and nodes[3:] == [b"abcdefghij "[max(0, i - 8) : i] for i in range(1, 12)]
+    rng = np.random.default_rng(4)
+    for start in ("beginning", "\u03b1\u03b2\u03b3\u03b4\u03b5", "\u4e00\u4e01\u4e02\u4e03"):
+        rows = []
+        for i in range(800):
+            words = [f"w{k}" for k in rng.integers(0, 300, 40)] + [start + "calm", start + "mild"]
+            rows.append((i, " ".join(words + [start + "vilest"] * (i % 5 == 0)), int(i % 5 == 0)))
+        docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([r[::2] for r in rows], "doc_id bigint, toxic int")
+        got = {r.doc_id: r for r in toxicity.predictions(docs, labels).collect()}
+        assert np.mean([got[i].predicted == y for i, _, y in rows if got[i].held_out]) > 0.98
+
+
 def test_op4(spark):
     odd = ["", "\x1b", "\x1be", "\x1b[INST] x \x1b</s>", "plain </s>", "e\x1b\x1bee", "\x1b<role user\x1b>"]
     rows = [(k, j, ("system", "user", "assistant", "tool", None, "\x1b<s>")[(j + k) % 6], t) for k in range(6) for j, t in enumerate(odd)] + [(9, 0, "user", None), (None, None, None, None), (9, 0, "user", None)]
