@@ -21,12 +21,17 @@ PACK_GROUP = 1 << 13
 REMEMBER = 250_000
 
 
+def _row():
+    """The key of a row, by which decisions come back: rows of one id, or of none, keep their own."""
+    return F.xxhash64("doc_id", "text")
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs less the ids in ``dropped``; null ids stay."""
-    dropped = dropped.select(F.col("doc_id")).where("doc_id is not null").distinct().persist()
+    """docs less the rows whose keys are the ids in ``dropped``."""
+    dropped = dropped.select(F.col("doc_id").alias("_row")).distinct().persist()
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return docs.withColumn("_row", _row()).join(dropped, "_row", "left_anti").select(docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +43,22 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more; equal rows once."""
-    judged = minhash.near_duplicates(docs, shingle=5, percent=80)
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1)
+    named = docs.select(_row().alias("doc_id"), "text")
+    moved = minhash.near_duplicates(named, shingle=5, percent=80).where("not kept").select("doc_id", "component_id").distinct().persist()
+    members = moved.union(moved.select(F.col("component_id").alias("doc_id"), "component_id").distinct())
+    # Keys have no order of their own: a group keeps its least id, and a row of no id only where it has no other.
+    ids = docs.select(_row().alias("doc_id"), F.col("doc_id").alias("id")).distinct()
+    least = members.join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("x"))
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1)
     if not repeated.isEmpty():
         docs = docs.dropDuplicates(["doc_id", "text"])
-    return _without(docs, judged.where("not kept"))
+    return _without(docs, members.join(least.select("x.doc_id"), "doc_id", "left_anti"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark window."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    named = docs.select(_row().alias("doc_id"), "text")
+    found = decontaminate.find_contamination(named, table(spark, sf_dir, "benchmark"))
     return _without(docs, found.where("n_hit > 0"))
 
 

@@ -41,6 +41,18 @@ def test_stages(spark, tmp_path):
     assert len(after) < len(before)
 
 
+def test_rows_of_no_id_or_one_id(spark):
+    """Decisions hold for rows: null ids are judged too, and a rejected text takes no other row of its id along."""
+    item = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    clean, other = (" ".join(f"{w}{k}" for k in range(60)) for w in "xy")
+    rows = [(None, item), (7, item), (7, clean), (None, other), (9, other), (None, other)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = corpus_pipeline.decontamination_stage(spark, docs, SF).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [r for r in rows if r[1] != item]))
+    got = corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(7, item), (7, clean), (9, other)]))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_twins(spark, name):
     c = duckdb.connect()
