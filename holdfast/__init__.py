@@ -1,4 +1,4 @@
-"""Holdfast: archive analytics on Spark.  Archives are tables of members; writing is the way back."""
+"""Holdfast: container analytics on Spark.  Containers are tables of members; writing is the way back."""
 
 import sys
 

@@ -1,4 +1,4 @@
-"""Times, numbers and sizes that archive headers hold, as Catalyst expressions."""
+"""Times, numbers and sizes that container headers hold, as Catalyst expressions."""
 
 from __future__ import annotations
 

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 #: Codes and their text.
 TEXT = {
     "OK": "No error",
-    "END": "End of archive",
+    "END": "End of container",
     "IO": "I/O error",
-    "FORMAT": "Not an archive format this library reads",
+    "FORMAT": "Not a container format this library reads",
     "UNSUPPORTED": "Unsupported feature",
-    "CORRUPT": "Corrupt archive",
+    "CORRUPT": "Corrupt container",
     "OOM": "Out of memory",
     "INVALID": "Invalid argument",
     "INTERNAL": "Internal error",
@@ -33,7 +33,7 @@ TEXT = {
 }
 
 
-class ArchiveError(Exception):
+class ContainerError(Exception):
     """A status other than OK and END, raised where an answer is impossible."""
 
     def __init__(self, status: str, detail: str = ""):

@@ -1,7 +1,7 @@
-"""DataFrame operators over archives: scanning, packing, copying, and the relations between members.
+"""DataFrame operators over containers: scanning, packing, copying, and the relations between members.
 
 Scans read ``path, content`` rows, such as Spark's binaryFile source gives from any store it can read; a task takes one
-archive at a time.  Whatever only needs members' columns is an expression or a window and stays in the JVM.
+container at a time.  Whatever only needs members' columns is an expression or a window and stays in the JVM.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.names import escaped, name_mask, refused
-from ..functions.status import ArchiveError
-from ..sources.archives import read_archive, write_archive
-from ..sources.member import ARCHIVE, MEMBER, Limits
+from ..functions.status import ContainerError
+from ..sources import tree, zips
+from ..sources.containers import read_container, write_container
+from ..sources.member import CONTAINER, MEMBER, Limits
 
 PART_BYTES = 32 << 20
 
@@ -26,48 +27,48 @@ def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     return (r.option("pathGlobFilter", glob) if glob else r).load(path).select("path", "content")
 
 
-def members(archives: DataFrame, limits: Limits | None = None, mode: str = "permissive", **options) -> DataFrame:
-    """Member rows of (path, content) archives.  failfast: a walk's error raises; permissive: rows before it stand."""
+def members(containers: DataFrame, limits: Limits | None = None, mode: str = "permissive", **options) -> DataFrame:
+    """Member rows of (path, content) containers.  failfast: a walk's error raises; permissive: rows before it stand."""
     target = to_arrow_schema(StructType.fromDDL(MEMBER))
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                path, data, archive, out = b.column("path")[i].as_py(), b.column("content")[i].as_py(), {}, []
+                path, data, container, out = b.column("path")[i].as_py(), b.column("content")[i].as_py(), {}, []
                 held = 0
-                for row in read_archive(path, data or b"", archive, limits, **options):
+                for row in read_container(path, data or b"", container, limits, **options):
                     out.append(row)
                     held += len(row["content"] or b"")
                     if len(out) >= 1000 or held > 16 << 20:
                         yield pa.RecordBatch.from_pylist(out, schema=target)
                         out, held = [], 0
-                if mode == "failfast" and archive["status"] != "END":
-                    raise ArchiveError(archive["status"], path)
+                if mode == "failfast" and container["status"] != "END":
+                    raise ContainerError(container["status"], path)
                 yield pa.RecordBatch.from_pylist(out, schema=target)
 
-    return archives.select("path", "content").mapInArrow(run, MEMBER)
+    return containers.select("path", "content").mapInArrow(run, MEMBER)
 
 
-def walks(archives: DataFrame, limits: Limits | None = None, **options) -> DataFrame:
-    """A row an archive: format, counts and the status in which its walk ends."""
-    target = to_arrow_schema(StructType.fromDDL(ARCHIVE))
+def walks(containers: DataFrame, limits: Limits | None = None, **options) -> DataFrame:
+    """A row a container: format, counts and the status in which its walk ends."""
+    target = to_arrow_schema(StructType.fromDDL(CONTAINER))
     names = target.names
 
     def run(batches):
         for b in batches:
             out = []
-            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                archive: dict = {}
-                for _ in read_archive(path, data or b"", archive, limits, with_content=False, **options):
+            for i in range(b.num_rows):  # one container's bytes at a time
+                container: dict = {}
+                for _ in read_container(b.column("path")[i].as_py(), b.column("content")[i].as_py() or b"", container, limits, with_content=False, **options):
                     pass
-                out.append({k: archive.get(k) for k in names})
+                out.append({k: container.get(k) for k in names})
             yield pa.RecordBatch.from_pylist(out, schema=target)
 
-    return archives.select("path", "content").mapInArrow(run, ARCHIVE)
+    return containers.select("path", "content").mapInArrow(run, CONTAINER)
 
 
 def parted(rows: DataFrame, key: Column, name: Column, content: Column, part_bytes: int = PART_BYTES) -> DataFrame:
-    """rows with ``path``: a key's archive, cut by a hash of the name into as many parts as its bytes ask for.
+    """rows with ``path``: a key's container, cut by a hash of the name into as many parts as its bytes ask for.
 
     However many rows a key has, a part's bytes are bounded, so that one task can write it.
     """
@@ -79,26 +80,28 @@ def parted(rows: DataFrame, key: Column, name: Column, content: Column, part_byt
 
 
 def pack(rows: DataFrame, format: str, codec: str | None = None, **options) -> DataFrame:
-    """(path, content) archives from rows of path, name BINARY, content BINARY and any of the members' columns.
+    """(path, content) containers from rows of path, name BINARY, content BINARY and any of the members' columns.
 
-    Members are ordered by name within an archive, so equal rows give equal bytes.
+    Members are ordered by idx where the rows have one (nulls last) and then by name within a container, so equal rows give equal
+    bytes, a link follows what it names, and the last of equal names stays the last.
     """
     schema = "path string, content binary"
     columns = [c for c in rows.columns if c != "content"]
+    order = [(c, "ascending") for c in ("idx", "name") if c in columns]
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("name", "ascending")])
+        t = t.sort_by(order)
         data = t["content"]
         pairs = ((m, data[i].as_py() or b"") for i, m in enumerate(t.select(columns).to_pylist()))
-        return pa.table({"path": [t["path"][0].as_py()], "content": [write_archive(format, pairs, codec, **options)]})
+        return pa.table({"path": [t["path"][0].as_py()], "content": [write_container(format, pairs, codec, **options)]})
 
     return rows.groupBy("path").applyInArrow(run, schema)
 
 
 def capped(rows: DataFrame, limits: Limits) -> DataFrame:
-    """Members before the first that breaks a cap, and the cap's status on each archive: all by windows.
+    """Members before the first that breaks a cap, and the cap's status on each container: all by windows.
 
-    Columns added: status (END, or the cap that ends the archive).  Asked in the order name, size, count, total.
+    Columns added: status (END, or the cap that ends the container).  Asked in the order name, size, count, total.
     """
     order = Window.partitionBy("path").orderBy("idx")
     total = F.sum(F.coalesce("size", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -119,24 +122,25 @@ def capped(rows: DataFrame, limits: Limits) -> DataFrame:
 
 
 def find(rows: DataFrame, name: bytes) -> DataFrame:
-    """The first member of a name in each archive."""
+    """The first member of a name in each container."""
     hit = rows.where(F.col("name") == F.lit(name))
     return hit.groupBy("path").agg(F.min_by(F.struct(*rows.columns), "idx").alias("first")).select("first.*")
 
 
 def duplicates(rows: DataFrame) -> DataFrame:
-    """Names that an archive holds more than once."""
+    """Names that a container holds more than once."""
     return rows.groupBy("path", "name").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
 def collisions(rows: DataFrame) -> DataFrame:
-    """Names that differ, but not where case is ignored."""
-    lower = F.lower(F.decode("name", "UTF-8"))
+    """Names that differ, but not where case is ignored.  One that isn't UTF-8 only equals itself: \\x and its bytes."""
+    text = F.col("name").cast("string")
+    lower = F.when(F.is_valid_utf8(text), F.lower(text)).otherwise(F.concat(F.lit("\\x"), F.hex("name")))
     return rows.groupBy("path", lower.alias("folded")).agg(F.count_distinct("name").alias("names")).where("names > 1")
 
 
 def update(old: DataFrame, deletes: DataFrame | None = None, adds: DataFrame | None = None) -> DataFrame:
-    """An archive's members without some names, and with others in place of equal ones or behind the last."""
+    """A container's members without some names, and with others in place of equal ones or behind the last."""
     out = old
     if deletes is not None:
         out = out.join(deletes.select("path", "name").distinct(), ["path", "name"], "left_anti")
@@ -145,33 +149,41 @@ def update(old: DataFrame, deletes: DataFrame | None = None, adds: DataFrame | N
     return out
 
 
-def copy(archives: DataFrame, format: str, rename: Column | None = None, codec: str | None = None, **options) -> DataFrame:
-    """Archives of another format from the same members; rename is an expression over member columns."""
-    rows = members(archives)
+def copy(containers: DataFrame, format: str, rename: Column | None = None, codec: str | None = None, on_error: str = "fail", **options) -> DataFrame:
+    """Containers of another format from the same members, in their order; rename is an expression over member columns.
+
+    A walk that doesn't end well and a member whose data can't be read raise; with on_error="skip" the members that can be
+    read are copied without them.
+    """
+    rows = members(containers, mode="failfast" if on_error == "fail" else "permissive")
     if rename is not None:
         rows = rows.withColumn("name", rename.cast("binary"))
-    kept = rows.select("path", "name", "type", "link_target", "mtime_seconds", "mtime_ns", "mode", "uid", "gid", "content")
-    return pack(kept, format, codec, **options)
+    if on_error == "fail":
+        lost = F.raise_error(F.concat(F.col("data_status"), F.lit(": "), F.col("path"), F.lit(" "), F.col("idx")))
+        rows = rows.withColumn("content", F.when(F.col("data_status") == "OK", F.col("content")).otherwise(lost.cast("binary")))
+    else:
+        rows = rows.where("data_status = 'OK'")
+    kept = ("path", "idx", "name", "type", "link_target", "mtime_seconds", "mtime_ns", "mtime_source", "mode", "uid", "gid", "uname", "gname", "device_major", "device_minor", "sparse_map", "content")
+    return pack(rows.select(*kept), format, codec, **options)
 
 
-def copy_raw(archives: DataFrame, prefix: bytes = b"") -> DataFrame:
-    """zip archives of the same stored bytes: nothing is decoded or decrypted.  Names may get a prefix."""
-    from ..sources.zips import copy_raw as raw
-
+def copy_raw(containers: DataFrame, prefix: bytes = b"") -> DataFrame:
+    """zip containers of the same stored bytes: nothing is decoded or decrypted.  Names may get a prefix."""
     schema = "path string, content binary"
 
     def run(batches):
         for b in batches:
-            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                yield pa.RecordBatch.from_pydict({"path": [path], "content": [raw(data or b"", lambda n: prefix + n)]})
+            for i in range(b.num_rows):
+                data = b.column("content")[i].as_py() or b""
+                yield pa.RecordBatch.from_pydict({"path": [b.column("path")[i].as_py()], "content": [zips.copy_raw(data, lambda n: prefix + n)]})
 
-    return archives.select("path", "content").mapInArrow(run, schema)
+    return containers.select("path", "content").mapInArrow(run, schema)
 
 
-def volumes(archives: DataFrame, size: int) -> DataFrame:
+def volumes(containers: DataFrame, size: int) -> DataFrame:
     """(path.NNN, content) parts of ``size`` bytes each, numbered from 001."""
     n = F.greatest(F.ceil(F.octet_length("content") / size), F.lit(1)).cast("int")
-    parts = archives.select("path", "content", F.explode(F.sequence(F.lit(1), n)).alias("part"))
+    parts = containers.select("path", "content", F.explode(F.sequence(F.lit(1), n)).alias("part"))
     return parts.select(
         F.concat("path", F.lit("."), F.lpad(F.col("part").cast("string"), 3, "0")).alias("path"), F.substring("content", (F.col("part") - 1) * size + 1, F.lit(size)).alias("content")
     )
@@ -184,7 +196,7 @@ def crc_verdicts(rows: DataFrame) -> DataFrame:
 
 
 def volume_offsets(parts: DataFrame) -> DataFrame:
-    """set, part_no, length and the offset at which each part of a split archive begins."""
+    """set, part_no, length and the offset at which each part of a split container begins."""
     before = Window.partitionBy("set").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
@@ -212,7 +224,7 @@ def disagreements(local: DataFrame, central: DataFrame) -> DataFrame:
 
 
 def extract_plan(rows: DataFrame, allow_links: bool = False, portable: bool = True) -> DataFrame:
-    """What extraction would do with each member, in order: extract up to an archive's first refusal, nothing behind.
+    """What extraction would do with each member, in order: extract up to a container's first refusal, nothing behind.
 
     A member is refused for its name, its type (links need leave), or because its place is already taken.
     """
@@ -230,7 +242,7 @@ def extract_plan(rows: DataFrame, allow_links: bool = False, portable: bool = Tr
 
 
 def joined_volumes(parts: DataFrame) -> DataFrame:
-    """(path, content) archives from (path, content) files: parts of split sets end to end, other files as they are.
+    """(path, content) containers from (path, content) files: parts of split sets end to end, other files as they are.
 
     Sets are told by their names: x.001, x.002 ... and x.z01, x.z02 ... x.zip.  A set with a gap isn't joined.
     """
@@ -240,14 +252,12 @@ def joined_volumes(parts: DataFrame) -> DataFrame:
     key = F.when(numbered != "", numbered).when(zipped != "", F.concat(zipped, F.lit(".zip"))).otherwise(F.col("path"))
     part = F.when(number != "", number.cast("bigint")).otherwise(F.lit(1 << 20))
     rows = parts.select(key.alias("set"), part.alias("part"), "path", "content")
-    grouped = rows.groupBy("set").agg(F.array_sort(F.collect_list(F.struct("part", "path", "content"))).alias("p"))
-    numbers = F.filter(F.transform("p", lambda x: x.part), lambda n: n < 1 << 20)
+    parts = rows.groupBy("set").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    numbers = F.filter("parts", lambda n: n < 1 << 20)
     whole = numbers == F.when(F.size(numbers) > 0, F.sequence(F.lit(1).cast("bigint"), F.size(numbers).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
-    sets = grouped.withColumn("whole", whole)
-    content = F.aggregate(F.transform("p", lambda x: x.content), F.lit(b""), lambda a, b: F.concat(a, b))
-    joined = sets.where("whole").select(F.col("set").alias("path"), content.alias("content"))
-    single = sets.where("not whole").select(F.explode("p").alias("x")).select("x.path", "x.content")
-    return joined.unionByName(single)
+    judged = rows.join(parts.select("set", whole.alias("whole")), "set")
+    joined = judged.where("whole").groupBy(F.col("set").alias("path")).agg(F.expr("listagg(content) WITHIN GROUP (ORDER BY part)").alias("content"))
+    return joined.unionByName(judged.where("not whole").select("path", "content"))
 
 
 def dump(rows: DataFrame) -> DataFrame:
@@ -257,24 +267,61 @@ def dump(rows: DataFrame) -> DataFrame:
     return rows.select("path", "idx", F.concat(F.col("idx"), F.lit(" "), F.col("type"), F.lit(" "), size, F.lit(" "), escaped(F.col("name")), target).alias("line"))
 
 
-def extract(archives: DataFrame, root: str, portable: bool = True, links: bool = False, **options) -> DataFrame:
-    """Writes each archive's members below root, a folder that all executors share, in a folder of its own.
+def extract(containers: DataFrame, root: str, portable: bool = True, links: bool = False, **options) -> DataFrame:
+    """Writes each container's members below root, a folder that all executors share, in a folder of its own.
 
-    A task takes a whole archive, since order decides what is refused.  Rows: path, idx, status.
+    A task takes a whole container, since order decides what is refused.  Rows: path, idx, status.  Members are written apart
+    and moved to the container's folder in one step, so a lost task leaves nothing there; the same extraction again, as by a retried
+    task, finds its own work (a mark beside the folder says whose it is) and answers as the first.  A folder of
+    other origin isn't touched: REFUSED at the first member.
     """
     import hashlib
     import os
+    import shutil
+    import uuid
 
     schema = "path string, idx bigint, status string"
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        from ..sources.tree import extract as write
-
         for b in batches:
-            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                own = os.path.join(root, hashlib.sha256(path.encode()).hexdigest()[:16])
-                done = list(write(read_archive(path, data or b"", {}, **options), own, portable, links))
+            for i in range(b.num_rows):
+                path, data = b.column("path")[i].as_py(), b.column("content")[i].as_py() or b""
+                name = hashlib.sha256(path.encode()).hexdigest()[:16]
+                own, mark, apart = (os.path.join(root, x) for x in (name, f".{name}.mark", f".{name}.{uuid.uuid4().hex}"))
+                said = hashlib.sha256(repr((hashlib.sha256(data).digest(), portable, links, sorted(options.items()))).encode()).hexdigest()
+                done = list(tree.extract(read_container(path, data, {}, **options), apart, portable, links))
+                try:
+                    if not os.path.exists(own):
+                        with open(f"{apart}.mark", "w") as f:
+                            f.write(said)
+                        os.replace(f"{apart}.mark", mark)
+                        os.rename(apart, own)
+                    elif not os.path.exists(mark) or open(mark).read() != said:
+                        done = [(0, "REFUSED")]
+                finally:
+                    shutil.rmtree(apart, ignore_errors=True)
                 yield pa.RecordBatch.from_pydict({"path": [path] * len(done), "idx": [i for i, _ in done], "status": [s for _, s in done]}, schema=target)
 
-    return archives.select("path", "content").mapInArrow(run, schema)
+    return containers.select("path", "content").mapInArrow(run, schema)
+
+
+def touched_parts(ranges: DataFrame, parts: DataFrame, step: int = 1 << 20) -> DataFrame:
+    """set, idx, part_no of every part (set, part_no, offset, length) that a range (set, idx, first, length) overlaps.
+
+    A range join by an equality: both sides are cut at multiples of ``step`` bytes, and a pair is kept in the first piece that it shares.
+    """
+
+    def cut(rows: DataFrame, begin: str, *columns: str) -> DataFrame:
+        last = F.col(begin) + F.col("length") - 1
+        return rows.where("length > 0").select("set", *columns, F.col(begin).alias(f"{begin}_at"), (last + 1).alias(f"{begin}_end"), F.explode(F.sequence(F.floor(F.col(begin) / step), F.floor(last / step))).alias("piece"))
+
+    both = cut(ranges, "first", "idx").join(cut(parts, "offset", "part_no"), ["set", "piece"]).where("first_at < offset_end and offset_at < first_end")
+    return both.where(F.col("piece") == F.floor(F.greatest("first_at", "offset_at") / step)).select("set", "idx", "part_no")
+
+
+def in_force(rows: DataFrame, records: DataFrame, value: str) -> DataFrame:
+    """rows (path, idx) with the value of the latest record (path, idx, value) before each: an as-of join by one window."""
+    both = rows.withColumn("_member", F.lit(True)).unionByName(records.select("path", "idx", value).withColumn("_member", F.lit(False)), allowMissingColumns=True)
+    before = Window.partitionBy("path").orderBy("idx", F.col("_member").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn(value, F.last(F.when(~F.col("_member"), F.col(value)), ignorenulls=True).over(before)).where("_member").drop("_member")

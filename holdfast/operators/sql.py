@@ -1,7 +1,7 @@
-"""Archives in SQL: table functions over binary columns.
+"""Containers in SQL: table functions over binary columns.
 
-    SELECT m.* FROM files, LATERAL archive_members(path, content) m
-    SELECT r.content FROM files, LATERAL archive_read(content, 3) r
+    SELECT m.* FROM files, LATERAL container_members(path, content) m
+    SELECT r.content FROM files, LATERAL container_read(content, 3) r
 """
 
 from __future__ import annotations
@@ -9,31 +9,31 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from ..sources.archives import read_archive
+from ..sources.containers import read_container
 
 LISTED = "idx bigint, name binary, type string, size bigint, mtime_seconds bigint, mode bigint, link_target binary, data_status string"
 
 
 @udtf(returnType=LISTED)
-class ArchiveMembers:
+class ContainerMembers:
     """A row a member, without its data."""
 
     def eval(self, path: str, content: bytes):
-        for m in read_archive(path or "", content or b"", {}, with_content=False):
+        for m in read_container(path or "", content or b"", {}, with_content=False):
             yield tuple(m[c.split()[0]] for c in LISTED.split(", "))
 
 
 @udtf(returnType="name binary, content binary, data_status string")
-class ArchiveRead:
+class ContainerRead:
     """The data of one member, by ordinal."""
 
     def eval(self, content: bytes, idx: int):
-        for m in read_archive("", content or b"", {}):
+        for m in read_container("", content or b"", {}, only=idx):
             if m["idx"] == idx:
                 yield m["name"], m["content"], m["data_status"]
                 return
 
 
 def register(spark: SparkSession) -> None:
-    spark.udtf.register("archive_members", ArchiveMembers)
-    spark.udtf.register("archive_read", ArchiveRead)
+    spark.udtf.register("container_members", ContainerMembers)
+    spark.udtf.register("container_read", ContainerRead)

@@ -1,6 +1,6 @@
 """Queries over the driver's tables, each with its SQL twin.
 
-The tables hold no archives, so the byte queries pack a table, read it back and must find the table again.
+The tables hold no containers, so the byte queries pack a table, read it back and must find the table again.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fields, names, status
-from ..operators import archives as ops
+from ..operators import containers as ops
 from ..sources.member import Limits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as members of one archive a language and part."""
+    """Documents as members of one container a language and part."""
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(
         "lang", F.concat(F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".txt")).cast("binary").alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"),
@@ -84,7 +84,7 @@ def tar_pax_summary(spark, sf_dir):
 
 
 @query("SELECT lang, count(*) AS members, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes, 'zip' AS format, true AS ended FROM documents GROUP BY lang")
-def archive_walks(spark, sf_dir):
+def container_walks(spark, sf_dir):
     walks = ops.walks(ops.pack(documents(spark, sf_dir), "zip"))
     return walks.groupBy(F.substring_index("path", "-", 1).alias("lang"), "format").agg(
         F.sum("member_count").alias("members"), F.sum("total_declared_bytes").alias("bytes"), F.min(F.col("status") == "END").alias("ended")
@@ -106,13 +106,13 @@ def copy_tar_to_zip(spark, sf_dir):
 
 @query(
     """
-SELECT lang AS path, source || '/' || doc_id || '.txt' AS name, octet_length(encode(text)) AS size FROM documents WHERE NOT contains(text, 'password')
+SELECT lang AS path, source || '/' || doc_id || '.txt' AS name, octet_length(encode(coalesce(text, ''))) AS size FROM documents WHERE NOT contains(coalesce(text, ''), 'password')
 UNION ALL SELECT DISTINCT lang, 'added.txt', 5 FROM documents
 """
 )
 def update_delete_add(spark, sf_dir):
-    """Documents that hold a password go, one member comes; the archives are read back."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    """Documents that hold a password go, one member comes; the containers are read back."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     rows = docs.select(F.col("lang").alias("path"), F.concat(F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".txt")).cast("binary").alias("name"), F.col("text").cast("binary").alias("content"))
     deletes = rows.where(F.contains(F.col("content"), F.lit(b"password")))
     adds = rows.select("path").distinct().select("path", F.lit(b"added.txt").alias("name"), F.lit(b"added").alias("content"))
@@ -129,7 +129,7 @@ def zip_raw_copy(spark, sf_dir):
 
 @query(DOCUMENTS_SQL)
 def volumes_scan(spark, sf_dir):
-    """Archives cut into numbered volumes, joined by name and read."""
+    """Containers cut into numbered volumes, joined by name and read."""
     parts = ops.volumes(ops.pack(documents(spark, sf_dir), "zip"), 100_000)
     rows = ops.members(ops.joined_volumes(parts))
     return rows.select(F.decode("name", "UTF-8").alias("name"), "size", F.sha2("content", 256).alias("sha256"), F.col("mtime_seconds").alias("mtime"))
@@ -142,7 +142,7 @@ def sql_members(spark, sf_dir):
 
     sql.register(spark)
     packed = ops.pack(documents(spark, sf_dir), "cpio")
-    return spark.sql("SELECT decode(m.name, 'UTF-8') AS name, m.size FROM {packed} p, LATERAL archive_members(p.path, p.content) m", packed=packed)
+    return spark.sql("SELECT decode(m.name, 'UTF-8') AS name, m.size FROM {packed} p, LATERAL container_members(p.path, p.content) m", packed=packed)
 
 
 @query("SELECT 0::BIGINT AS differences, count(*) AS members FROM documents")
@@ -191,10 +191,10 @@ FROM walked
 """
 
 
-@query("WITH forms AS (SELECT page_id AS id, 0 AS form, url AS name FROM pages WHERE url IS NOT NULL)" + MASK_SQL)
+@query("WITH forms AS (SELECT page_id AS id, 0 AS form, coalesce(url, '') AS name FROM pages)" + MASK_SQL)
 def name_check_urls(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").where("url is not null")
-    return pages.select(F.col("page_id").alias("id"), F.lit(0).alias("form"), names.name_mask(F.col("url").cast("binary")).alias("mask"))
+    pages = table(spark, sf_dir, "pages")
+    return pages.select(F.col("page_id").alias("id"), F.lit(0).alias("form"), names.name_mask(F.coalesce("url", F.lit("")).cast("binary")).alias("mask"))
 
 
 @query(f"WITH forms AS (SELECT id, f.form, f.name FROM (SELECT p_partkey AS id, replace(p_name, ' ', '_') AS n FROM part) s, LATERAL (SELECT * FROM (VALUES {_FORMS}) v(form, name)) f)" + MASK_SQL)
@@ -231,7 +231,7 @@ def extract_plan(spark, sf_dir):
 
 
 def order_members(spark, sf_dir):
-    """Line items as members of one archive a ship month."""
+    """Line items as members of one container a ship month."""
     items = table(spark, sf_dir, "lineitem")
     keyed = items.select(
         F.date_format("l_shipdate", "yyyy-MM").alias("path"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("idx"), (F.col("l_partkey") % 50).alias("part"), (F.col("l_quantity") * 1000).cast("bigint").alias("size")
@@ -275,7 +275,7 @@ def case_collisions(spark, sf_dir):
 
 
 @query("SELECT path, name, count(*) AS members, sum(size)::BIGINT AS bytes, grouping(path, name)::BIGINT AS level FROM (" + ITEMS + ") GROUP BY ROLLUP (path, name)")
-def archive_rollup(spark, sf_dir):
+def container_rollup(spark, sf_dir):
     rows = order_members(spark, sf_dir).select("path", F.decode("name", "UTF-8").alias("name"), "size")
     return rows.rollup("path", "name").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("bytes"), F.grouping_id().alias("level"))
 
@@ -354,14 +354,14 @@ def octal_fields(spark, sf_dir):
 
 @query(
     """
-WITH n AS (SELECT page_id, 'mirror/' || repeat(replace(regexp_replace(url, '[?#].*$', ''), '//', '/') || '/', 1 + (page_id % 4)::INTEGER) || 'index' AS name FROM pages WHERE url IS NOT NULL),
+WITH n AS (SELECT page_id, 'mirror/' || repeat(replace(regexp_replace(coalesce(url, ''), '[?#].*$', ''), '//', '/') || '/', 1 + (page_id % 4)::INTEGER) || 'index' AS name FROM pages),
 c AS (SELECT *, list_max(list_filter(range(2, strlen(name) + 1), lambda i: substring(name, i, 1) = '/' AND i - 1 <= 155 AND strlen(name) - i BETWEEN 1 AND 100)) AS cut FROM n)
 SELECT page_id, CASE WHEN strlen(name) <= 100 THEN '' ELSE substring(name, 1, cut - 1) END AS prefix, CASE WHEN strlen(name) <= 100 THEN name ELSE substring(name, cut + 1) END AS rest FROM c
 """
 )
 def ustar_split(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").where("url is not null").selectExpr(
-        "page_id", "concat('mirror/', repeat(concat(replace(regexp_replace(url, '[?#].*$', ''), '//', '/'), '/'), CAST(1 + page_id % 4 AS INT)), 'index') AS name"
+    pages = table(spark, sf_dir, "pages").selectExpr(
+        "page_id", "concat('mirror/', repeat(concat(replace(regexp_replace(coalesce(url, ''), '[?#].*$', ''), '//', '/'), '/'), CAST(1 + page_id % 4 AS INT)), 'index') AS name"
     )
     split = fields.ustar_split(F.col("name"))
     return pages.select("page_id", split.prefix.alias("prefix"), split["name"].alias("rest"))
@@ -369,12 +369,12 @@ def ustar_split(spark, sf_dir):
 
 @query(
     """
-WITH b AS (SELECT page_id, strlen(url) + 4 + 3 AS body FROM pages WHERE url IS NOT NULL), a AS (SELECT *, body + length(body::VARCHAR) AS one FROM b)
+WITH b AS (SELECT page_id, strlen(coalesce(url, '')) + 4 + 3 AS body FROM pages), a AS (SELECT *, body + length(body::VARCHAR) AS one FROM b)
 SELECT page_id, (body + length(one::VARCHAR))::INTEGER AS record FROM a
 """
 )
 def pax_record_length(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where("url is not null").select("page_id", fields.pax_record_length(F.lit("path"), F.col("url")).alias("record"))
+    return table(spark, sf_dir, "pages").select("page_id", fields.pax_record_length(F.lit("path"), F.coalesce("url", F.lit(""))).alias("record"))
 
 
 @query(
@@ -404,12 +404,12 @@ def status_texts(spark, sf_dir):
     """
 SELECT conv_id, sha256('#!/bin/sh' || chr(10) || '# This is a shell archive; run it with sh to extract.' || chr(10)
   || string_agg('echo x ''' || f || '''' || chr(10) || 'sed ''s/^X//'' > ''' || f || ''' << ''SHAR_END''' || chr(10)
-  || 'X' || replace(text, chr(10), chr(10) || 'X') || chr(10) || 'SHAR_END' || chr(10), '' ORDER BY f) || 'exit 0' || chr(10)) AS sha256
-FROM (SELECT conv_id, text, lpad(turn::VARCHAR, 6, '0') || '.txt' AS f FROM conversations WHERE text IS NOT NULL) GROUP BY conv_id
+  || 'X' || replace(coalesce(text, ''), chr(10), chr(10) || 'X') || chr(10) || 'SHAR_END' || chr(10), '' ORDER BY f) || 'exit 0' || chr(10)) AS sha256
+FROM (SELECT conv_id, text, lpad(turn::VARCHAR, 6, '0') || '.txt' AS f FROM conversations) GROUP BY conv_id
 """
 )
 def shar_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("text is not null").select(
-        F.col("conv_id").cast("string").alias("path"), F.concat(F.lpad(F.col("turn").cast("string"), 6, "0"), F.lit(".txt")).cast("binary").alias("name"), F.concat("text", F.lit("\n")).cast("binary").alias("content")
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("path"), F.concat(F.lpad(F.col("turn").cast("string"), 6, "0"), F.lit(".txt")).cast("binary").alias("name"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).cast("binary").alias("content")
     )
     return ops.pack(rows, "shar").select(F.col("path").cast("bigint").alias("conv_id"), F.sha2("content", 256).alias("sha256"))

@@ -1,20 +1,21 @@
-"""``spark.read.format("archive")``: one partition a file of a local or mounted path; and the writing side.
+"""``spark.read.format("container")``: one partition a file of a local or mounted path; and the writing side.
 
 Options: access (random, sequential), codec (auto, none or a name), password, withContent, mode (permissive, failfast), and the
-six caps by name.  For object stores use holdfast.operators.archives.files with members, which reads through Spark.
+six caps by name.  For object stores use holdfast.operators.containers.files with members, which reads through Spark.
 """
 
 from __future__ import annotations
 
 import glob
 import os
+import uuid
 from dataclasses import fields
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..functions.status import ArchiveError
-from .archives import read_archive, write_archive
+from ..functions.status import ContainerError
+from .containers import WRITERS, read_container, write_container
 from .member import MEMBER, Limits
 
 
@@ -22,10 +23,10 @@ def _limits(options) -> Limits:
     return Limits(**{f.name: int(options[f.name]) for f in fields(Limits) if f.name in options})
 
 
-class ArchiveDataSource(DataSource):
+class ContainerDataSource(DataSource):
     @classmethod
     def name(cls):
-        return "archive"
+        return "container"
 
     def schema(self):
         return MEMBER
@@ -34,7 +35,7 @@ class ArchiveDataSource(DataSource):
         return Reader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool):
-        return Writer(dict(self.options), schema.names)
+        return Writer(dict(self.options), schema.names, overwrite)
 
 
 class Reader(DataSourceReader):
@@ -45,20 +46,20 @@ class Reader(DataSourceReader):
         path = self.options["path"].removeprefix("file://")
         found = sorted(p for p in (glob.glob(os.path.join(path, "**"), recursive=True) if os.path.isdir(path) else glob.glob(path)) if os.path.isfile(p))
         if not found:
-            raise ArchiveError("NOT_FOUND", path)
+            raise ContainerError("NOT_FOUND", path)
         return [InputPartition(p) for p in found]
 
     def read(self, partition):
-        o, archive = self.options, {}
+        o, container = self.options, {}
         with open(partition.value, "rb") as f:
             data = f.read()
-        for row in read_archive(
-            partition.value, data, archive, _limits(o), o.get("access", "random"), o.get("codec", "auto"), o.get("password"), o.get("withcontent", o.get("withContent", "true")).lower() == "true"
+        for row in read_container(
+            partition.value, data, container, _limits(o), o.get("access", "random"), o.get("codec", "auto"), o.get("password"), o.get("withcontent", o.get("withContent", "true")).lower() == "true"
         ):
             row.pop("data_carried", None)
             yield _typed(row)
-        if o.get("mode") == "failfast" and archive["status"] != "END":
-            raise ArchiveError(archive["status"], partition.value)
+        if o.get("mode") == "failfast" and container["status"] != "END":
+            raise ContainerError(container["status"], partition.value)
 
 
 ORDER = (
@@ -71,35 +72,62 @@ def _typed(row: dict) -> tuple:
     return tuple(row[c] for c in ORDER)
 
 
+#: Options of the writing side.
+WRITE_OPTIONS = {"path", "container", "codec", "method", "variant"}
+
+
 class Writer(DataSourceWriter):
-    """Each task's rows become one archive, named by its partition; a temporary file is renamed at commit."""
+    """Each task's rows become one container, named by the job and its partition; a temporary file is renamed at commit.
 
-    def __init__(self, options, names):
-        self.options, self.names = options, names
+    append leaves earlier files alone; overwrite removes, at commit, the containers that were there before.
+    """
+
+    def __init__(self, options, names, overwrite: bool = False):
+        if unknown := set(options) - WRITE_OPTIONS:
+            raise ContainerError("INVALID", f"unknown options {sorted(unknown)}")
+        if options.get("container", "tar") not in WRITERS:
+            raise ContainerError("UNSUPPORTED", options["container"])
+        if "name" not in names:
+            raise ContainerError("INVALID", "rows need a name")
+        self.options, self.overwrite, self.job = options, overwrite, uuid.uuid4().hex
+        self.path, self.kind = options["path"].removeprefix("file://"), options.get("container", "tar")
 
     def write(self, iterator):
         from pyspark import TaskContext
 
-        o, rows = self.options, [r.asDict() for r in iterator]
-        path = o["path"].removeprefix("file://")
-        os.makedirs(path, exist_ok=True)
-        kind = o.get("archive", "tar")
-        data = write_archive(kind, ((r, bytes(r.get("content") or b"")) for r in rows), o.get("codec"), **{k: o[k] for k in ("method", "variant") if k in o})
+        o, count = self.options, 0
+
+        def rows():
+            nonlocal count
+            for r in iterator:
+                m = r.asDict()
+                count += 1
+                yield m, bytes(m.pop("content", None) or b"")
+
+        os.makedirs(self.path, exist_ok=True)
+        data = write_container(self.kind, rows(), o.get("codec"), **{k: o[k] for k in ("method", "variant") if k in o})
         task = TaskContext.get()
-        temporary = os.path.join(path, f".part-{task.partitionId():05d}.{task.taskAttemptId()}")
+        temporary = os.path.join(self.path, f".part-{self.job}-{task.partitionId():05d}.{task.taskAttemptId()}")
         with open(temporary, "wb") as f:
             f.write(data)
-        return Written(temporary, os.path.join(path, f"part-{task.partitionId():05d}.{kind}"), len(rows))
+        return Written(temporary, os.path.join(self.path, f"part-{task.partitionId():05d}-{self.job}.{self.kind}"), count)
 
     def commit(self, messages):
+        before = glob.glob(os.path.join(glob.escape(self.path), "part-*")) if self.overwrite else []
         for m in messages:
             if m is not None:
                 os.replace(m.temporary, m.final)
+        for name in before:
+            os.remove(name)
+        self._tidy()
 
     def abort(self, messages):
-        for m in messages:
-            if m is not None and os.path.exists(m.temporary):
-                os.remove(m.temporary)
+        self._tidy()
+
+    def _tidy(self) -> None:
+        """Files of this job's failed or doubled attempts."""
+        for name in glob.glob(os.path.join(glob.escape(self.path), f".part-{self.job}-*")):
+            os.remove(name)
 
 
 class Written(WriterCommitMessage):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import lzma
 import struct
 
-from ..functions.status import ArchiveError
+from ..functions.status import ContainerError
 
 #: Base and extra bits of deflate's lengths and distances; deflate64 changes the last length and adds two distances.
 LENGTH_EXTRA = [0] * 8 + [x for x in range(1, 6) for _ in range(4)] + [16]
@@ -34,7 +34,7 @@ class Bits:
     def need(self, n: int) -> None:
         while self.n < n:
             if self.at >= len(self.data) + 8:
-                raise ArchiveError("CORRUPT", "the stream is cut")
+                raise ContainerError("CORRUPT", "the stream is cut")
             self.hold |= (self.data[self.at] if self.at < len(self.data) else 0) << self.n
             self.at += 1
             self.n += 8
@@ -53,14 +53,14 @@ class Codes:
     def __init__(self, lengths: list[int]):
         self.width = max(lengths, default=0)
         if not self.width:
-            raise ArchiveError("CORRUPT", "no codes")
+            raise ContainerError("CORRUPT", "no codes")
         self.table = [-1] * (1 << self.width)
         code = 0
         for n in range(1, self.width + 1):
             for symbol, have in enumerate(lengths):
                 if have == n:
                     if code >> n:
-                        raise ArchiveError("CORRUPT", "too many codes")
+                        raise ContainerError("CORRUPT", "too many codes")
                     for i in range(int(f"{code:0{n}b}"[::-1], 2), 1 << self.width, 1 << n):
                         self.table[i] = symbol << 4 | n
                     code += 1
@@ -70,7 +70,7 @@ class Codes:
         bits.need(self.width)
         got = self.table[bits.hold & ((1 << self.width) - 1)]
         if got < 0:
-            raise ArchiveError("CORRUPT", "code")
+            raise ContainerError("CORRUPT", "code")
         bits.hold >>= got & 15
         bits.n -= got & 15
         return got >> 4
@@ -84,10 +84,10 @@ def deflate64(data: bytes, cap: int) -> bytes:
             bits.take(bits.n % 8)
             n, complement = bits.take(16), bits.take(16)
             if n ^ complement != 0xFFFF:
-                raise ArchiveError("CORRUPT", "stored block")
+                raise ContainerError("CORRUPT", "stored block")
             out += bytes(bits.take(8) for _ in range(n))
         elif kind == 3:
-            raise ArchiveError("CORRUPT", "block type")
+            raise ContainerError("CORRUPT", "block type")
         else:
             if kind == 1:
                 literals, distances = Codes([8] * 144 + [9] * 112 + [7] * 24 + [8] * 8), Codes([5] * 32)
@@ -100,7 +100,7 @@ def deflate64(data: bytes, cap: int) -> bytes:
                 while len(lengths) < n_literals + n_distances:
                     s = reader.next(bits)
                     if s == 16 and not lengths:
-                        raise ArchiveError("CORRUPT", "code lengths")
+                        raise ContainerError("CORRUPT", "code lengths")
                     lengths += [s] if s < 16 else [lengths[-1]] * (3 + bits.take(2)) if s == 16 else [0] * (3 + bits.take(3) if s == 17 else 11 + bits.take(7))
                 literals = Codes(lengths[:n_literals])
                 distances = Codes(lengths[n_literals : n_literals + n_distances]) if any(lengths[n_literals:]) else None
@@ -109,19 +109,19 @@ def deflate64(data: bytes, cap: int) -> bytes:
                     out.append(s)
                 else:
                     if s > 285 or distances is None:
-                        raise ArchiveError("CORRUPT", "length code")
+                        raise ContainerError("CORRUPT", "length code")
                     n = LENGTH_BASE[s - 257] + bits.take(LENGTH_EXTRA[s - 257])
                     d = distances.next(bits)
                     back = DISTANCE_BASE[d] + bits.take(DISTANCE_EXTRA[d])
                     if back > len(out):
-                        raise ArchiveError("CORRUPT", "distance")
+                        raise ContainerError("CORRUPT", "distance")
                     _repeat(out, back, n)
                 if len(out) > cap:
-                    raise ArchiveError("LIMIT_CODEC_BYTES")
+                    raise ContainerError("LIMIT_CODEC_BYTES")
         if len(out) > cap:
-            raise ArchiveError("LIMIT_CODEC_BYTES")
+            raise ContainerError("LIMIT_CODEC_BYTES")
     if bits.at - bits.n // 8 < len(data) or bits.at - bits.n // 8 > len(data):
-        raise ArchiveError("CORRUPT", "the stream's end")
+        raise ContainerError("CORRUPT", "the stream's end")
     return bytes(out)
 
 
@@ -135,7 +135,7 @@ def lz4(data: bytes, cap: int) -> bytes:
     """One lz4 frame; bytes behind it are CORRUPT.  Checksums are read over, sizes are enforced."""
     try:
         if data[:4] != b"\x04\x22\x4d\x18" or data[4] >> 6 != 1:
-            raise ArchiveError("CORRUPT", "frame")
+            raise ContainerError("CORRUPT", "frame")
         flags, at = data[4], 6
         size = None
         if flags & 8:
@@ -147,19 +147,19 @@ def lz4(data: bytes, cap: int) -> bytes:
             raw, n = n >> 31, n & 0x7FFFFFFF
             block = data[at : at + n]
             if len(block) < n:
-                raise ArchiveError("CORRUPT", "the frame is cut")
+                raise ContainerError("CORRUPT", "the frame is cut")
             at += n + (4 if flags & 16 else 0)
             if raw:
                 out += block
             else:
                 _lz4_block(block, out, cap)
             if len(out) > cap:
-                raise ArchiveError("LIMIT_CODEC_BYTES")
+                raise ContainerError("LIMIT_CODEC_BYTES")
         at += 8 if flags & 4 else 4
     except (IndexError, struct.error):
-        raise ArchiveError("CORRUPT", "the frame is cut") from None
+        raise ContainerError("CORRUPT", "the frame is cut") from None
     if at != len(data) or size not in (None, len(out)):
-        raise ArchiveError("CORRUPT", "the frame's end")
+        raise ContainerError("CORRUPT", "the frame's end")
     return bytes(out)
 
 
@@ -189,10 +189,10 @@ def _lz4_block(block: bytes, out: bytearray, cap: int) -> None:
         at += 2
         n = longer(token & 15) + 4
         if not 0 < back <= len(out):
-            raise ArchiveError("CORRUPT", "offset")
+            raise ContainerError("CORRUPT", "offset")
         _repeat(out, back, n)
         if len(out) > cap:
-            raise ArchiveError("LIMIT_CODEC_BYTES")
+            raise ContainerError("LIMIT_CODEC_BYTES")
 
 
 def branch(data: bytes, filter_id: int) -> bytes:
@@ -224,14 +224,14 @@ def bcj2(main: bytes, call: bytes, jump: bytes, coded: bytes, size: int) -> byte
     """x86 branches from their own streams; a range coder says which branches were moved there."""
     out = bytearray()
     if len(coded) < 5 or coded[0]:
-        raise ArchiveError("CORRUPT", "range coder")
+        raise ContainerError("CORRUPT", "range coder")
     code, width, at = int.from_bytes(coded[1:5], "big"), 0xFFFFFFFF, 5
     if code == 0xFFFFFFFF:
-        raise ArchiveError("CORRUPT", "range coder")
+        raise ContainerError("CORRUPT", "range coder")
     odds, read, places, before = [1024] * 258, 0, [0, 0], 0
     while len(out) < size:
         if read >= len(main):
-            raise ArchiveError("CORRUPT", "main stream")
+            raise ContainerError("CORRUPT", "main stream")
         b = main[read]
         read += 1
         out.append(b)
@@ -246,20 +246,22 @@ def bcj2(main: bytes, call: bytes, jump: bytes, coded: bytes, size: int) -> byte
                 odds[slot] -= odds[slot] >> 5
             if width < 1 << 24:
                 if at >= len(coded):
-                    raise ArchiveError("CORRUPT", "range coder")
+                    raise ContainerError("CORRUPT", "range coder")
                 width, code, at = width << 8 & 0xFFFFFFFF, (code << 8 | coded[at]) & 0xFFFFFFFF, at + 1
             if moved:
                 which = 0 if b == 0xE8 else 1
                 source = (call, jump)[which]
                 word = source[places[which] : places[which] + 4]
                 if len(word) < 4:
-                    raise ArchiveError("CORRUPT", "branch stream")
+                    raise ContainerError("CORRUPT", "branch stream")
                 places[which] += 4
+                if size - len(out) < 4:
+                    raise ContainerError("CORRUPT", "a branch runs past the end")
                 target = int.from_bytes(word, "big") - (len(out) + 4) & 0xFFFFFFFF
-                out += target.to_bytes(4, "little")[: size - len(out)]
+                out += target.to_bytes(4, "little")
                 before = out[-1]
                 continue
         before = b
     if (read, places[0], places[1], at) != (len(main), len(call), len(jump), len(coded)) or code:
-        raise ArchiveError("CORRUPT", "unused input")
+        raise ContainerError("CORRUPT", "unused input")
     return bytes(out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.status import ArchiveError
+from ..functions.status import ContainerError
 from .decoders import Bits, _repeat
 
 
@@ -25,11 +25,11 @@ def unshrink(data: bytes, size: int) -> bytes:
                         parent[c] = -1
                 free = [c for c in range(8191, 256, -1) if parent[c] < 0]
             else:
-                raise ArchiveError("CORRUPT", "shrink order")
+                raise ContainerError("CORRUPT", "shrink order")
             continue
         if last is None:
             if code > 255:
-                raise ArchiveError("CORRUPT", "shrink code")
+                raise ContainerError("CORRUPT", "shrink code")
             out.append(code)
             last = first = code
             continue
@@ -39,7 +39,7 @@ def unshrink(data: bytes, size: int) -> bytes:
             c = last
         while c > 255:
             if parent[c] < 0 or len(word) > 8192:
-                raise ArchiveError("CORRUPT", "shrink code")
+                raise ContainerError("CORRUPT", "shrink code")
             word.append(suffix[c])
             c = parent[c]
         word.append(c)
@@ -59,7 +59,7 @@ def expand(data: bytes, size: int, factor: int) -> bytes:
     for c in range(255, -1, -1):
         n = bits.take(6)
         if n > 32:
-            raise ArchiveError("CORRUPT", "followers")
+            raise ContainerError("CORRUPT", "followers")
         followers[c] = [bits.take(8) for _ in range(n)]
 
     last = 0
@@ -72,7 +72,7 @@ def expand(data: bytes, size: int, factor: int) -> bytes:
         else:
             at = bits.take(max(1, (len(own) - 1).bit_length()))
             if at >= len(own):
-                raise ArchiveError("CORRUPT", "follower")
+                raise ContainerError("CORRUPT", "follower")
             last = own[at]
         return last
 
@@ -112,7 +112,7 @@ class Shannon:
             b = bits.take(8)
             lengths += [(b & 15) + 1] * ((b >> 4) + 1)
         if len(lengths) != count:
-            raise ArchiveError("CORRUPT", "implode tree")
+            raise ContainerError("CORRUPT", "implode tree")
         self.codes: dict[tuple[int, int], int] = {}
         code = step = width = 0
         for s in sorted(range(count), key=lambda i: (lengths[i], i), reverse=True):
@@ -121,7 +121,7 @@ class Shannon:
                 width = lengths[s]
                 step = 1 << (16 - width)
             if code >> 16:
-                raise ArchiveError("CORRUPT", "implode tree")
+                raise ContainerError("CORRUPT", "implode tree")
             self.codes[width, code >> (16 - width)] = s
 
     def next(self, bits: Bits) -> int:
@@ -130,7 +130,7 @@ class Shannon:
             code = code << 1 | bits.take(1)
             if (n, code) in self.codes:
                 return self.codes[n, code]
-        raise ArchiveError("CORRUPT", "implode code")
+        raise ContainerError("CORRUPT", "implode code")
 
 
 def explode(data: bytes, size: int, flags: int) -> bytes:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from ..functions.status import ArchiveError
+from ..functions.status import ContainerError
 
 MEMBER = (
     "path string, idx bigint, name binary, name_encoding string, link_target binary, type string, size bigint, stored_size bigint, size_unknown boolean, "
@@ -14,7 +14,7 @@ MEMBER = (
     "zip struct<method:int,flags:int,compressed_size:bigint,crc32:bigint,version_made_by:int,external_attributes:bigint,encryption:string,extra_length:int,used_zip64:boolean>, "
     "sevenz struct<folder:int,encrypted:boolean,crc32:bigint>, data_status string, content binary"
 )
-ARCHIVE = (
+CONTAINER = (
     "path string, format string, codec string, base_offset bigint, zip_declared_members bigint, zip_has_zip64_end boolean, zip_comment binary, "
     "member_count bigint, total_declared_bytes bigint, status string"
 )
@@ -47,13 +47,13 @@ class Account:
         limits, size = self.limits, m["size"] or 0
         names = max(len(m["name"] or b""), len(m.get("link_target") or b""))
         if limits.max_name_bytes and names > limits.max_name_bytes:
-            raise ArchiveError("LIMIT_NAME_BYTES")
+            raise ContainerError("LIMIT_NAME_BYTES")
         if limits.max_member_bytes and size > limits.max_member_bytes:
-            raise ArchiveError("LIMIT_MEMBER_BYTES")
+            raise ContainerError("LIMIT_MEMBER_BYTES")
         if limits.max_members and self.members + 1 > limits.max_members:
-            raise ArchiveError("LIMIT_MEMBERS")
+            raise ContainerError("LIMIT_MEMBERS")
         if limits.max_total_bytes and self.total + size > limits.max_total_bytes:
-            raise ArchiveError("LIMIT_TOTAL_BYTES")
+            raise ContainerError("LIMIT_TOTAL_BYTES")
         self.members += 1
         self.total += size
 
@@ -61,20 +61,20 @@ class Account:
 Data = Callable[[], bytes]
 
 
-def rows(path: str, walk: Iterator[tuple[dict, Data]], limits: Limits, with_content: bool, archive: dict) -> Iterator[dict]:
-    """Rows of a walk; ``archive`` gets its terminal status.  Data that can't be read is refused by row."""
+def rows(path: str, walk: Iterator[tuple[dict, Data]], limits: Limits, with_content: bool, container: dict, only: int | None = None) -> Iterator[dict]:
+    """Rows of a walk, with the data of all members or of one ordinal ``only``; ``container`` gets its terminal status.  Data that can't be read is refused by row."""
     account = Account(limits)
     status = "END"
     try:
         for m, data in walk:
             account.add(m)
             row = DEFAULTS | m | {"path": path, "idx": account.members - 1}
-            if with_content and row["data_status"] == "OK" and row["type"] in ("file", "other"):
+            if with_content and (only is None or row["idx"] == only) and row["data_status"] == "OK" and row["type"] in ("file", "other"):
                 try:
                     row["content"] = data()
-                except ArchiveError as e:
+                except ContainerError as e:
                     row["data_status"] = e.status
             yield row
-    except ArchiveError as e:
+    except ContainerError as e:
         status = e.status
-    archive.update(path=path, member_count=account.members, total_declared_bytes=account.total, status=status)
+    container.update(path=path, member_count=account.members, total_declared_bytes=account.total, status=status)

@@ -8,8 +8,9 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-from ..functions.status import ArchiveError
+from ..functions.status import ContainerError
 from . import decoders
+from .aes import cbc_decrypt
 from .member import Limits
 from .streams import Source, compress, decompress
 
@@ -31,7 +32,7 @@ class Cursor:
 
     def take(self, n: int) -> bytes:
         if n < 0 or self.at + n > len(self.data):
-            raise ArchiveError("CORRUPT", "the header ends early")
+            raise ContainerError("CORRUPT", "the header ends early")
         self.at += n
         return self.data[self.at - n : self.at]
 
@@ -47,13 +48,13 @@ class Cursor:
             value |= self.byte() << 8 * i
             mask >>= 1
         if value >= 1 << 63:
-            raise ArchiveError("CORRUPT", "number")
+            raise ContainerError("CORRUPT", "number")
         return value
 
     def count(self) -> int:
         n = self.number()
         if n > 8 * len(self.data):
-            raise ArchiveError("CORRUPT", "count")
+            raise ContainerError("CORRUPT", "count")
         return n
 
     def bits(self, n: int) -> list[bool]:
@@ -69,7 +70,7 @@ class Cursor:
     def expect(self, *ids: int) -> int:
         got = self.byte()
         if got not in ids:
-            raise ArchiveError("CORRUPT", f"property {got}")
+            raise ContainerError("CORRUPT", f"property {got}")
         return got
 
 
@@ -77,23 +78,23 @@ class Folder:
     def __init__(self, c: Cursor):
         n = c.number()
         if not 1 <= n <= 32:
-            raise ArchiveError("CORRUPT" if not n else "UNSUPPORTED", "coders")
+            raise ContainerError("CORRUPT" if not n else "UNSUPPORTED", "coders")
         self.coders, ins, outs = [], 0, 0
         for _ in range(n):
             flags = c.byte()
             if flags & 0x80:
-                raise ArchiveError("UNSUPPORTED", "coder flags")
+                raise ContainerError("UNSUPPORTED", "coder flags")
             coder = c.take(flags & 15)
             i, o = (c.number(), c.number()) if flags & 0x10 else (1, 1)
             props = c.take(c.number()) if flags & 0x20 else b""
             self.coders.append((coder, props, i, o))
             ins, outs = ins + i, outs + o
         if outs == 0 or ins > 1024:
-            raise ArchiveError("CORRUPT", "streams")
+            raise ContainerError("CORRUPT", "streams")
         self.binds = [(c.number(), c.number()) for _ in range(outs - 1)]
         packed = ins - len(self.binds)
         if packed < 1:
-            raise ArchiveError("CORRUPT", "packed streams")
+            raise ContainerError("CORRUPT", "packed streams")
         bound = {i for i, _ in self.binds}
         self.packed = [c.number() for _ in range(packed)] if packed > 1 else [i for i in range(ins) if i not in bound][:1]
         self.outs, self.sizes, self.crc, self.pack_offset, self.pack_sizes = outs, [], None, 0, []
@@ -110,18 +111,18 @@ class Folder:
     def chain(self) -> list[tuple[bytes, bytes, int]]:
         """Coders from the packed stream to the result; only a line of one-to-one coders."""
         if any((i, o) != (1, 1) for _, _, i, o in self.coders):
-            raise ArchiveError("UNSUPPORTED", "coder with several streams")
+            raise ContainerError("UNSUPPORTED", "coder with several streams")
         feeds = {o: i for i, o in self.binds}  # an output feeds the input of another coder
         at, out = self.packed[0], []
         while True:
             if at >= len(self.coders) or len(out) > len(self.coders):
-                raise ArchiveError("CORRUPT", "coder graph")
+                raise ContainerError("CORRUPT", "coder graph")
             out.append((self.coders[at][0], self.coders[at][1], self.sizes[at]))
             if at not in feeds:
                 break
             at = feeds[at]
         if len(out) != len(self.coders):
-            raise ArchiveError("CORRUPT", "coder graph")
+            raise ContainerError("CORRUPT", "coder graph")
         return out
 
 
@@ -130,14 +131,14 @@ def lzma_filter(coder: bytes, props: bytes) -> dict:
         if coder == LZMA1:
             p = props[0]
             if p >= 225:
-                raise ArchiveError("CORRUPT", "LZMA properties")
+                raise ContainerError("CORRUPT", "LZMA properties")
             return {"id": lzma.FILTER_LZMA1, "lc": p % 9, "lp": p // 9 % 5, "pb": p // 45, "dict_size": max(4096, struct.unpack_from("<I", props, 1)[0])}
         p = props[0]
         if p > 40:
-            raise ArchiveError("CORRUPT", "LZMA2 dictionary")
+            raise ContainerError("CORRUPT", "LZMA2 dictionary")
         return {"id": lzma.FILTER_LZMA2, "dict_size": 0xFFFFFFFF if p == 40 else (2 | p & 1) << (p // 2 + 11)}
     except (IndexError, struct.error):
-        raise ArchiveError("CORRUPT", "coder properties") from None
+        raise ContainerError("CORRUPT", "coder properties") from None
 
 
 def undelta(data: bytes, distance: int) -> bytes:
@@ -154,11 +155,11 @@ def aes_key(password: bytes, salt: bytes, power: int, limits: Limits, keys: dict
     if power == 63:
         return (salt + password)[:32].ljust(32, b"\0")
     if power > 24:
-        raise ArchiveError("UNSUPPORTED", "key rounds")
+        raise ContainerError("UNSUPPORTED", "key rounds")
     if (salt, power) not in keys:
         keys["spent"] = keys.get("spent", 0) + (1 << power)
         if limits.max_key_rounds and keys["spent"] > limits.max_key_rounds:
-            raise ArchiveError("LIMIT_KEY_ROUNDS")
+            raise ContainerError("LIMIT_KEY_ROUNDS")
         h, part = hashlib.sha256(), salt + password
         for at in range(0, 1 << power, 1024):
             h.update(b"".join(part + struct.pack("<Q", i) for i in range(at, min(at + 1024, 1 << power))))
@@ -180,28 +181,28 @@ class SevenZipWalk:
             at += n
         firsts = [sum(c[2] for c in f.coders[:k]) for k in range(len(f.coders))]
         if any(o != 1 for _, _, _, o in f.coders):
-            raise ArchiveError("UNSUPPORTED", "coder with several outputs")
+            raise ContainerError("UNSUPPORTED", "coder with several outputs")
         feeds = dict(f.binds)
 
         def made(k: int, depth: int = 0) -> bytes:
             if k >= len(f.coders) or depth > len(f.coders):
-                raise ArchiveError("CORRUPT", "coder graph")
+                raise ContainerError("CORRUPT", "coder graph")
             coder, props, n_in, _ = f.coders[k]
             inputs = [packed[i] if i in packed else made(feeds[i], depth + 1) if i in feeds else None for i in range(firsts[k], firsts[k] + n_in)]
             if None in inputs:
-                raise ArchiveError("CORRUPT", "coder graph")
+                raise ContainerError("CORRUPT", "coder graph")
             if coder == BCJ2:
                 if n_in != 4:
-                    raise ArchiveError("CORRUPT", "BCJ2 inputs")
+                    raise ContainerError("CORRUPT", "BCJ2 inputs")
                 return decoders.bcj2(*inputs, f.sizes[k])
             if n_in != 1:
-                raise ArchiveError("UNSUPPORTED", f"coder {coder.hex()}")
+                raise ContainerError("UNSUPPORTED", f"coder {coder.hex()}")
             return self._run([(coder, props, f.sizes[k])], inputs[0], f)
 
         bound = {o for _, o in f.binds}
         data = made(next(i for i in range(f.outs) if i not in bound))
         if f.crc is not None and zlib.crc32(data) != f.crc:
-            raise ArchiveError("CORRUPT", "folder CRC")
+            raise ContainerError("CORRUPT", "folder CRC")
         return data
 
     def _decode(self, f: Folder) -> bytes:
@@ -211,7 +212,7 @@ class SevenZipWalk:
         data = self.s.exact(f.pack_sizes[0])
         data = self._run(f.chain(), data, f)
         if f.crc is not None and zlib.crc32(data) != f.crc:
-            raise ArchiveError("PASSWORD_OR_CORRUPT" if f.encrypted else "CORRUPT", "folder CRC")
+            raise ContainerError("PASSWORD_OR_CORRUPT" if f.encrypted else "CORRUPT", "folder CRC")
         return data
 
     def _run(self, chain: list[tuple[bytes, bytes, int]], data: bytes, f: Folder) -> bytes:
@@ -245,33 +246,31 @@ class SevenZipWalk:
                 elif coder in BRANCH:
                     data = decoders.branch(data, BRANCH[coder])
                 else:
-                    raise ArchiveError("UNSUPPORTED", f"coder {coder.hex()}")
+                    raise ContainerError("UNSUPPORTED", f"coder {coder.hex()}")
                 if len(data) != size:
-                    raise ArchiveError("CORRUPT", "coder size")
+                    raise ContainerError("CORRUPT", "coder size")
                 i += 1
         except lzma.LZMAError:
-            raise ArchiveError("PASSWORD_OR_CORRUPT" if f.encrypted else "CORRUPT") from None
-        except ArchiveError as e:
+            raise ContainerError("PASSWORD_OR_CORRUPT" if f.encrypted else "CORRUPT") from None
+        except ContainerError as e:
             if f.encrypted and e.status in ("CORRUPT", "LIMIT_CODEC_BYTES"):
-                raise ArchiveError("PASSWORD_OR_CORRUPT") from None
+                raise ContainerError("PASSWORD_OR_CORRUPT") from None
             raise
         return data
 
     def _aes(self, data: bytes, props: bytes) -> bytes:
-        from .aes import cbc_decrypt
-
         if self.password is None:
-            raise ArchiveError("PASSWORD_REQUIRED")
+            raise ContainerError("PASSWORD_REQUIRED")
         if not props:
-            raise ArchiveError("CORRUPT", "AES properties")
+            raise ContainerError("CORRUPT", "AES properties")
         salt = iv = b""
         if props[0] & 0xC0:
             n, k = (props[0] >> 7 & 1) + (props[1] >> 4), (props[0] >> 6 & 1) + (props[1] & 15)
             if len(props) < 2 + n + k:
-                raise ArchiveError("CORRUPT", "AES properties")
+                raise ContainerError("CORRUPT", "AES properties")
             salt, iv = props[2 : 2 + n], props[2 + n : 2 + n + k]
         if len(data) % 16:
-            raise ArchiveError("CORRUPT", "AES length")
+            raise ContainerError("CORRUPT", "AES length")
         return cbc_decrypt(data, aes_key(self.password, salt, props[0] & 63, self.limits, self.keys), iv.ljust(16, b"\0"))
 
     def _streams(self, c: Cursor) -> tuple[list[Folder], list[list[tuple[int, int | None]]]]:
@@ -285,12 +284,12 @@ class SevenZipWalk:
                     else:
                         c.digests(n)
                 if len(packs) != n:
-                    raise ArchiveError("CORRUPT", "pack sizes")
+                    raise ContainerError("CORRUPT", "pack sizes")
             elif kind == 7:
                 c.expect(0x0B)
                 n = c.count()
                 if c.byte():
-                    raise ArchiveError("UNSUPPORTED", "external folders")
+                    raise ContainerError("UNSUPPORTED", "external folders")
                 folders = [Folder(c) for _ in range(n)]
                 c.expect(0x0C)
                 for f in folders:
@@ -301,13 +300,13 @@ class SevenZipWalk:
             elif kind == 8:
                 subs = self._substreams(c, folders)
             else:
-                raise ArchiveError("CORRUPT", f"property {kind}")
+                raise ContainerError("CORRUPT", f"property {kind}")
         at = pack_at
         where = 0
         for f in folders:
             n = len(f.packed)
             if where + n > len(packs):
-                raise ArchiveError("CORRUPT", "packed streams")
+                raise ContainerError("CORRUPT", "packed streams")
             f.pack_offset, f.pack_sizes = at, packs[where : where + n]
             at += sum(f.pack_sizes)
             where += n
@@ -323,7 +322,7 @@ class SevenZipWalk:
         for f, n in zip(folders, counts):
             own = [c.number() for _ in range(n - 1)] if p == 9 else []
             if n > 1 and p != 9 or sum(own) > f.size:
-                raise ArchiveError("CORRUPT", "substream sizes")
+                raise ContainerError("CORRUPT", "substream sizes")
             sizes.append([*own, f.size - sum(own)] if n else [])
         if p == 9:
             p = c.byte()
@@ -334,7 +333,7 @@ class SevenZipWalk:
                 for (i, k), d in zip(open_, c.digests(len(open_))):
                     crcs[i][k] = d
             else:
-                raise ArchiveError("CORRUPT", f"property {p}")
+                raise ContainerError("CORRUPT", f"property {p}")
             p = c.byte()
         return [list(zip(a, b)) for a, b in zip(sizes, crcs)]
 
@@ -342,34 +341,34 @@ class SevenZipWalk:
         self.s.seek(0)
         start = self.s.exact(32)
         if start[6] != 0:
-            raise ArchiveError("UNSUPPORTED", "version")
+            raise ContainerError("UNSUPPORTED", "version")
         if zlib.crc32(start[12:]) != struct.unpack_from("<I", start, 8)[0]:
-            raise ArchiveError("CORRUPT", "start header")
+            raise ContainerError("CORRUPT", "start header")
         offset, size, crc = struct.unpack_from("<QQI", start, 12)
         if not size:
             if offset or crc:
-                raise ArchiveError("CORRUPT", "empty header")
+                raise ContainerError("CORRUPT", "empty header")
             return Cursor(b"")
         if size > HEADER_CAP:
-            raise ArchiveError("LIMIT_EXTRA_BYTES")
+            raise ContainerError("LIMIT_EXTRA_BYTES")
         if 32 + offset + size > self.s.size:
-            raise ArchiveError("CORRUPT", "header place")
+            raise ContainerError("CORRUPT", "header place")
         self.s.seek(32 + offset)
         data = self.s.exact(size)
         if zlib.crc32(data) != crc:
-            raise ArchiveError("CORRUPT", "header CRC")
+            raise ContainerError("CORRUPT", "header CRC")
         for _ in range(5):
             c = Cursor(data)
             kind = c.byte()
             if kind == 1:
                 return c
             if kind != 0x17:
-                raise ArchiveError("CORRUPT", "header")
+                raise ContainerError("CORRUPT", "header")
             folders, _ = self._streams(c)
             if len(folders) != 1:
-                raise ArchiveError("CORRUPT", "encoded header")
+                raise ContainerError("CORRUPT", "encoded header")
             data = self._decode(folders[0])
-        raise ArchiveError("CORRUPT", "header nesting")
+        raise ContainerError("CORRUPT", "header nesting")
 
     def __iter__(self) -> Iterator[tuple[dict, object]]:
         c = self._header()
@@ -383,10 +382,10 @@ class SevenZipWalk:
             elif kind == 5:
                 files = self._files(c)
             else:
-                raise ArchiveError("CORRUPT", f"property {kind}")
+                raise ContainerError("CORRUPT", f"property {kind}")
         slots = [(i, sum(x[0] for x in own[:k]), *own[k]) for i, own in enumerate(subs) for k in range(len(own))]
         if sum(f["stream"] for f in files) != len(slots):
-            raise ArchiveError("CORRUPT", "files and streams")
+            raise ContainerError("CORRUPT", "files and streams")
         place, decoded, failed = iter(slots), {}, {}
         for ordinal, f in enumerate(files):
             slot = next(place) if f["stream"] else None
@@ -406,19 +405,19 @@ class SevenZipWalk:
                     return b""
                 i, at, n, crc = slot
                 if i in failed:
-                    raise ArchiveError(failed[i])
+                    raise ContainerError(failed[i])
                 if i not in decoded:
                     decoded.clear()  # a solid folder is decoded once, and held while its members pass
                     if self.limits.max_total_bytes and folders[i].size > self.limits.max_total_bytes:
-                        raise ArchiveError("LIMIT_TOTAL_BYTES")
+                        raise ContainerError("LIMIT_TOTAL_BYTES")
                     try:
                         decoded[i] = self._decode(folders[i])
-                    except ArchiveError as e:
+                    except ContainerError as e:
                         failed[i] = e.status
                         raise
                 got = decoded[i][at : at + n]
                 if crc is not None and zlib.crc32(got) != crc:
-                    raise ArchiveError("PASSWORD_OR_CORRUPT" if folders[i].encrypted else "CORRUPT", "CRC")
+                    raise ContainerError("PASSWORD_OR_CORRUPT" if folders[i].encrypted else "CORRUPT", "CRC")
                 return got
 
             if slot and folders[slot[0]].encrypted and self.password is None:
@@ -426,7 +425,7 @@ class SevenZipWalk:
             elif kind == "symlink" and slot and slot[2] <= (self.limits.max_name_bytes or slot[2]):
                 try:
                     m |= {"link_target": data(), "size": slot[2]}
-                except ArchiveError as e:
+                except ContainerError as e:
                     m["data_status"] = e.status
             yield m, data
 
@@ -446,19 +445,19 @@ class SevenZipWalk:
                     f["empty_file"] = e
             elif kind == 0x11:
                 if own.byte():
-                    raise ArchiveError("UNSUPPORTED", "external names")
+                    raise ContainerError("UNSUPPORTED", "external names")
                 for f in files:
                     units = []
                     while (u := own.take(2)) != b"\0\0":
                         units.append(u)
                         if self.limits.max_name_bytes and 2 * len(units) > 4 * self.limits.max_name_bytes:
-                            raise ArchiveError("LIMIT_NAME_BYTES")
+                            raise ContainerError("LIMIT_NAME_BYTES")
                     # A lone surrogate becomes the replacement character; pairs join.
                     f["name"] = b"".join(units).decode("utf-16-le", "surrogatepass").encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace").encode()
             elif kind in (0x14, 0x15):
                 defined = own.defined(n)
                 if own.byte():
-                    raise ArchiveError("UNSUPPORTED", "external times")
+                    raise ContainerError("UNSUPPORTED", "external times")
                 for f, d in zip(files, defined):
                     if d and kind == 0x14:
                         f["ticks"] = struct.unpack("<Q", own.take(8))[0]
@@ -475,6 +474,10 @@ def put_number(value: int) -> bytes:
     return b"\xff" + value.to_bytes(8, "little")
 
 
+def put_coder(coder: bytes, props: bytes = b"") -> bytes:
+    return bytes([len(coder) | (0x20 if props else 0)]) + coder + (put_number(len(props)) + props if props else b"")
+
+
 def put_bits(flags: list[bool]) -> bytes:
     out = bytearray((len(flags) + 7) // 8)
     for i, f in enumerate(flags):
@@ -483,25 +486,39 @@ def put_bits(flags: list[bool]) -> bytes:
 
 
 class SevenZipWriter:
-    """Folders of one coder: all members in one (solid), or one a member."""
+    """Folders of one coder, behind a filter if asked for: all members in one (solid), or one a member.
 
-    METHODS = ("copy", "lzma", "lzma2", "bzip2", "deflate")
+    filter: one of FILTERS; encode_header: the header is coded too, as other writers do for many members.
+    """
 
-    def __init__(self, out, method: str = "lzma2", solid: bool = True, level: int | None = None):
-        if method not in self.METHODS:
-            raise ArchiveError("UNSUPPORTED", method)
-        self.out, self.method, self.solid, self.level, self.files = out, method, solid, level, []
+    METHODS = ("copy", "lzma", "lzma2", "bzip2", "deflate")
+    FILTERS = {
+        "x86": (b"\3\3\1\3", {"id": lzma.FILTER_X86}), "ppc": (b"\3\3\2\5", {"id": lzma.FILTER_POWERPC}), "ia64": (b"\3\3\4\1", {"id": lzma.FILTER_IA64}),
+        "arm": (b"\3\3\5\1", {"id": lzma.FILTER_ARM}), "armthumb": (b"\3\3\7\1", {"id": lzma.FILTER_ARMTHUMB}), "sparc": (b"\3\3\x08\5", {"id": lzma.FILTER_SPARC}),
+        "delta": (DELTA, {"id": lzma.FILTER_DELTA, "dist": 4}),
+    }
+
+    def __init__(self, out, method: str = "lzma2", solid: bool = True, level: int | None = None, filter: str | None = None, encode_header: bool = False):
+        if method not in self.METHODS or filter is not None and filter not in self.FILTERS:
+            raise ContainerError("UNSUPPORTED", method if method not in self.METHODS else filter)
+        self.out, self.method, self.solid, self.level, self.files, self.filter, self.encode_header = out, method, solid, level, [], filter, encode_header
+
+    def _filtered(self, data: bytes) -> bytes:
+        """Its library only filters in front of LZMA, which is taken off again."""
+        plain = [{"id": lzma.FILTER_LZMA2, "preset": 0}]
+        coded = lzma.compress(data, lzma.FORMAT_RAW, filters=[self.FILTERS[self.filter][1], *plain])
+        return lzma.decompress(coded, lzma.FORMAT_RAW, filters=plain)
 
     def add(self, m: dict, data: bytes = b"") -> None:
         kind, name = m.get("type") or "file", m["name"]
         if kind not in ("file", "directory", "symlink"):
-            raise ArchiveError("UNSUPPORTED", kind)
+            raise ContainerError("UNSUPPORTED", kind)
         if not name:
-            raise ArchiveError("INVALID")
+            raise ContainerError("INVALID")
         try:
             name = name.rstrip(b"/").decode("utf-8").encode("utf-16-le")
         except UnicodeDecodeError:
-            raise ArchiveError("UNSUPPORTED", "name is not UTF-8") from None
+            raise ContainerError("UNSUPPORTED", "name is not UTF-8") from None
         self.files.append((m | {"type": kind}, name, (m.get("link_target") or b"") if kind == "symlink" else data if kind == "file" else b""))
 
     def _code(self, data: bytes) -> tuple[bytes, bytes, bytes]:
@@ -521,10 +538,14 @@ class SevenZipWriter:
         groups = ([full] if full else []) if self.solid else [[d] for d in full]
         packed, folders, sizes = [], b"", b""
         for g in groups:
-            coder, props, coded = self._code(b"".join(g))
+            data = b"".join(g)
+            coder, props, coded = self._code(self._filtered(data) if self.filter else data)
             packed.append(coded)
-            folders += b"\x01" + bytes([len(coder) | (0x20 if props else 0)]) + coder + (put_number(len(props)) + props if props else b"")
-            sizes += put_number(sum(map(len, g)))
+            coders = [(coder, props)]
+            if self.filter:  # its input, number 1, is the other coder's output, number 0
+                coders.append((self.FILTERS[self.filter][0], b"\3" if self.filter == "delta" else b""))
+            folders += put_number(len(coders)) + b"".join(put_coder(*c) for c in coders) + (b"\1\0" if self.filter else b"")
+            sizes += put_number(len(data)) * len(coders)
         n = len(groups)
         h = b"\x01"
         if n:
@@ -557,5 +578,11 @@ class SevenZipWriter:
             h += prop(0x15, b"\x01\0" + attributes) + b"\x00"
         h += b"\x00"
         body = b"".join(packed)
+        if self.encode_header and self.files:
+            f = {"id": lzma.FILTER_LZMA1, "preset": 6, "lc": 3, "lp": 0, "pb": 2, "dict_size": 1 << 20}
+            coded, props = lzma.compress(h, lzma.FORMAT_RAW, filters=[f]), struct.pack("<BI", 0x5D, 1 << 20)
+            outer = b"\x17\x06" + put_number(len(body)) + b"\x01\x09" + put_number(len(coded)) + b"\x00"
+            outer += b"\x07\x0b\x01\x00\x01" + put_coder(LZMA1, props) + b"\x0c" + put_number(len(h)) + b"\x0a\x01" + struct.pack("<I", zlib.crc32(h)) + b"\x00\x00"
+            body, h = body + coded, outer
         tail = struct.pack("<QQI", len(body), len(h), zlib.crc32(h)) if self.files else bytes(20)
         self.out.write(MAGIC + b"\0\4" + struct.pack("<I", zlib.crc32(tail)) + tail + body + (h if self.files else b""))

@@ -7,10 +7,11 @@ import io
 import lzma
 import zlib
 
-from ..functions.status import ArchiveError
+from ..functions.status import ContainerError
+from .decoders import deflate64, lz4
 
 CHUNK = 1 << 16
-CODEC_CAP = 512 << 20
+CODEC_CAP, ZSTD_STEP = 512 << 20, 1 << 12
 #: First bytes of codecs that are trusted without a name.
 MAGIC = {"gzip": b"\x1f\x8b", "bzip2": b"BZh", "xz": b"\xfd7zXZ\x00", "zstd": b"\x28\xb5\x2f\xfd", "lz4": b"\x04\x22\x4d\x18"}
 
@@ -41,26 +42,31 @@ class Source:
     def exact(self, n: int) -> bytes:
         got = self.read(n)
         if len(got) < n:
-            raise ArchiveError("CORRUPT", "the source ends early")
+            raise ContainerError("CORRUPT", "the source ends early")
         return got
 
     def skip(self, n: int) -> None:
         if self.seekable:
             if self.at + n > self.size:
-                raise ArchiveError("CORRUPT", "the source ends early")
+                raise ContainerError("CORRUPT", "the source ends early")
             self.at = self.f.seek(self.at + n)
             return
         while n:
             n -= len(self.exact(min(n, CHUNK)))
 
+    def unread(self, data: bytes) -> None:
+        """Gives bytes back to a forward-only source, which hands them out again first."""
+        self.f.head = data + self.f.head
+        self.at -= len(data)
+
     def seek(self, at: int) -> None:
         if not self.seekable:
-            raise ArchiveError("NOT_SEEKABLE")
+            raise ContainerError("NOT_SEEKABLE")
         self.at = self.f.seek(at)
 
 
 class Concat(io.RawIOBase):
-    """Parts of a split archive, end to end."""
+    """Parts of a split container, end to end."""
 
     def __init__(self, parts: list[bytes]):
         self.parts, self.offsets, total = parts, [], 0
@@ -103,30 +109,32 @@ def sniff_codec(head: bytes, path: str = "", name_hint: bool = False) -> str | N
 
 def decompress(codec: str, data: bytes, cap: int = CODEC_CAP) -> bytes:
     """All frames of bzip2, xz and zstd; the one of gzip, zlib and lzma, behind which any byte is CORRUPT."""
-    out, left = [], data
+    out, left, total = [], data, 0
 
     def add(part: bytes) -> None:
+        nonlocal total
         out.append(part)
-        if sum(map(len, out)) > cap:
-            raise ArchiveError("LIMIT_CODEC_BYTES")
+        total += len(part)
+        if total > cap:
+            raise ContainerError("LIMIT_CODEC_BYTES")
 
     try:
         if codec in ("gzip", "zlib", "deflate"):
             d = zlib.decompressobj({"gzip": 31, "zlib": 15, "deflate": -15}[codec])
             add(d.decompress(left, cap + 1))
             if not d.eof or d.unused_data:
-                raise ArchiveError("CORRUPT", "bytes behind the stream" if d.eof else "the stream is cut")
+                raise ContainerError("CORRUPT", "bytes behind the stream" if d.eof else "the stream is cut")
         elif codec == "lzma":
             d = lzma.LZMADecompressor(lzma.FORMAT_ALONE)
             add(d.decompress(left, cap + 1))
             if not d.eof or d.unused_data:
-                raise ArchiveError("CORRUPT")
+                raise ContainerError("CORRUPT")
         elif codec in ("bzip2", "xz"):
             while left or not out:
                 d = bz2.BZ2Decompressor() if codec == "bzip2" else lzma.LZMADecompressor(lzma.FORMAT_XZ)
                 add(d.decompress(left, cap + 1))
                 if not d.eof:
-                    raise ArchiveError("LIMIT_CODEC_BYTES" if len(out[-1]) > cap else "CORRUPT")
+                    raise ContainerError("LIMIT_CODEC_BYTES" if len(out[-1]) > cap else "CORRUPT")
                 left = d.unused_data
                 if codec == "xz":
                     left = left.lstrip(b"\x00") if len(left) % 4 == 0 else left
@@ -134,22 +142,30 @@ def decompress(codec: str, data: bytes, cap: int = CODEC_CAP) -> bytes:
             import zstandard
 
             while left or not out:
-                d = zstandard.ZstdDecompressor(max_window_size=1 << 31).decompressobj()
-                add(d.decompress(left))
+                # Small steps: what one of them can yield is bounded before the cap is asked.
+                d, at, left = zstandard.ZstdDecompressor(max_window_size=CODEC_CAP).decompressobj(), 0, memoryview(left)
+                while at < len(left) and not d.eof:
+                    add(d.decompress(left[at : at + ZSTD_STEP]))
+                    at += ZSTD_STEP
                 if not d.eof:
-                    raise ArchiveError("CORRUPT", "the frame is cut")
-                left = d.unused_data
+                    raise ContainerError("CORRUPT", "the frame is cut")
+                left = d.unused_data + bytes(left[at:])
+        elif codec == "brotli":
+            import pyarrow as pa
+
+            # The end of a stream isn't told: what stands behind it is not seen.
+            with pa.CompressedInputStream(pa.BufferReader(data), "brotli") as stream:
+                while part := stream.read(CHUNK):
+                    add(part)
         elif codec in ("lz4", "deflate64"):
-            from . import decoders
-
-            add(getattr(decoders, codec)(left, cap))
+            add((lz4 if codec == "lz4" else deflate64)(left, cap))
         else:
-            raise ArchiveError("UNSUPPORTED", f"codec {codec}")
+            raise ContainerError("UNSUPPORTED", f"codec {codec}")
     except (zlib.error, lzma.LZMAError, OSError, EOFError) as e:
-        raise ArchiveError("CORRUPT", str(e)) from None
+        raise ContainerError("CORRUPT", str(e)) from None
     except Exception as e:
         if type(e).__name__ == "ZstdError":
-            raise ArchiveError("CORRUPT", str(e)) from None
+            raise ContainerError("CORRUPT", str(e)) from None
         raise
     return b"".join(out)
 
@@ -166,4 +182,11 @@ def compress(codec: str, data: bytes, level: int | None = None) -> bytes:
         import zstandard
 
         return zstandard.ZstdCompressor(level=3 if level is None else level, write_content_size=True).compress(data)
-    raise ArchiveError("UNSUPPORTED", f"codec {codec}")
+    if codec in ("lz4", "brotli"):
+        import pyarrow as pa
+
+        sink = pa.BufferOutputStream()
+        with pa.CompressedOutputStream(sink, codec) as stream:
+            stream.write(data)
+        return sink.getvalue().to_pybytes()
+    raise ContainerError("UNSUPPORTED", f"codec {codec}")

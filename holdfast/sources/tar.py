@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from ..functions.status import ArchiveError
+from ..functions.status import ContainerError
 from .member import Limits
 from .streams import Source
 
@@ -36,13 +36,13 @@ def number(raw: bytes, signed: bool = False) -> int:
         if value >> (8 * len(raw) - 2):
             value -= 1 << (8 * len(raw) - 1)
         if not -(1 << 63) <= value < 1 << 63 or (value < 0 and not signed):
-            raise ArchiveError("CORRUPT", "number out of range")
+            raise ContainerError("CORRUPT", "number out of range")
         return value
     digits = raw.strip(b" \0")
     head = raw.lstrip(b" \0")
     stop = next((i for i, b in enumerate(head) if not 48 <= b <= 55), len(head))
     if head[stop:].strip(b" \0") or digits != head[:stop]:
-        raise ArchiveError("CORRUPT", "not an octal number")
+        raise ContainerError("CORRUPT", "not an octal number")
     return int(digits, 8) if digits else 0
 
 
@@ -60,7 +60,7 @@ def identify(block: bytes) -> bool:
         return True
     try:
         return number(block[148:156], True) in checksums(block)
-    except ArchiveError:
+    except ContainerError:
         return False
 
 
@@ -69,11 +69,11 @@ def pax_records(data: bytes) -> dict[str, bytes]:
     while data:
         head, space, _ = data.partition(b" ")
         if not space or not head.isdigit() or len(head) > 10:
-            raise ArchiveError("CORRUPT", "pax length")
+            raise ContainerError("CORRUPT", "pax length")
         n = int(head)
         record = data[len(head) + 1 : n]
         if n > len(data) or n <= len(head) + 1 or not record.endswith(b"\n") or b"=" not in record:
-            raise ArchiveError("CORRUPT", "pax record")
+            raise ContainerError("CORRUPT", "pax record")
         key, _, value = record[:-1].partition(b"=")
         name = key.decode("utf-8", "replace")
         if name in ("GNU.sparse.offset", "GNU.sparse.numbytes"):  # the oldest sparse form repeats its keys
@@ -89,9 +89,9 @@ def decimal(value: bytes, low: int = 0) -> int:
     try:
         got = int(value)
     except ValueError:
-        raise ArchiveError("CORRUPT", "pax number") from None
+        raise ContainerError("CORRUPT", "pax number") from None
     if not low <= got < 1 << 63 or not value.lstrip(b"-").isdigit():
-        raise ArchiveError("CORRUPT", "pax number")
+        raise ContainerError("CORRUPT", "pax number")
     return got
 
 
@@ -99,12 +99,12 @@ def pax_time(value: bytes) -> tuple[int, int]:
     sign, rest = (-1, value[1:]) if value.startswith(b"-") else (1, value)
     whole, _, part = rest.partition(b".")
     if not whole.isdigit() or (part and not part.isdigit()):
-        raise ArchiveError("CORRUPT", "pax time")
+        raise ContainerError("CORRUPT", "pax time")
     seconds, ns = int(whole), int(part[:9].ljust(9, b"0") or 0)
     if sign < 0:
         seconds, ns = (-seconds - 1, 1_000_000_000 - ns) if ns else (-seconds, 0)
     if not -(1 << 63) <= seconds < 1 << 63:
-        raise ArchiveError("CORRUPT", "pax time")
+        raise ContainerError("CORRUPT", "pax time")
     return seconds, ns
 
 
@@ -114,7 +114,7 @@ class TarWalk:
 
     def _payload(self, size: int, cap: int, status: str) -> bytes:
         if cap and size > cap:
-            raise ArchiveError(status)
+            raise ContainerError(status)
         data = self.s.exact(size)
         self.s.skip(-size % BLOCK)
         return data
@@ -130,10 +130,10 @@ class TarWalk:
             if not block and zeros:
                 return
             if len(block) < BLOCK:
-                raise ArchiveError("CORRUPT", "no end marker")
+                raise ContainerError("CORRUPT", "no end marker")
             if block == ZERO:
                 if local is not None or long_name is not None or long_link is not None:
-                    raise ArchiveError("CORRUPT", "extension without a member")
+                    raise ContainerError("CORRUPT", "extension without a member")
                 zeros += 1
                 if zeros == 2:
                     return
@@ -142,14 +142,14 @@ class TarWalk:
             plain, signed = checksums(block)
             stated = number(field(block, "chksum"), True)
             if stated not in (plain, signed):
-                raise ArchiveError("CORRUPT", "checksum")
+                raise ContainerError("CORRUPT", "checksum")
             flag, size = block[156], number(field(block, "size"))
             carrier = at if carrier is None else carrier
             if flag in b"LK":
                 data = self._payload(size, self.limits.max_name_bytes and self.limits.max_name_bytes + 1, "LIMIT_NAME_BYTES")
                 value, nul, rest = data.partition(b"\0")
                 if not value or rest.strip(b"\0") or (long_name if flag == 76 else long_link) is not None:
-                    raise ArchiveError("CORRUPT", "long name")
+                    raise ContainerError("CORRUPT", "long name")
                 long_name, long_link = (value, long_link) if flag == 76 else (long_name, value)
                 continue
             if flag in b"xg":
@@ -157,12 +157,12 @@ class TarWalk:
                 records = pax_records(self._payload(size, max(1, self.limits.max_extra_bytes - held) if self.limits.max_extra_bytes else 0, "LIMIT_EXTRA_BYTES"))
                 if flag == 103:
                     if any(k.startswith("GNU.sparse") for k in records):
-                        raise ArchiveError("UNSUPPORTED", "global sparse keys")
+                        raise ContainerError("UNSUPPORTED", "global sparse keys")
                     self.globals |= records
                     carrier = None if local is None and long_name is None else carrier
                 else:
                     if local is not None:
-                        raise ArchiveError("CORRUPT", "two extended headers")
+                        raise ContainerError("CORRUPT", "two extended headers")
                     local = records
                 continue
             if flag == 86:  # a volume label in front
@@ -170,7 +170,7 @@ class TarWalk:
                 carrier = None
                 continue
             if flag == 77:
-                raise ArchiveError("UNSUPPORTED", "the set begins inside a member")
+                raise ContainerError("UNSUPPORTED", "the set begins inside a member")
             m, start = self._member(block, flag, size, carrier, local, long_name, long_link, stated != plain)
             yield m, self._reader(m, start)
             end = start + m["stored_size"] + (-m["stored_size"] % BLOCK)
@@ -233,7 +233,7 @@ class TarWalk:
         regions: list[tuple[int, int]] = []
         if flag == 83:
             if sparse:
-                raise ArchiveError("CORRUPT", "two sparse forms")
+                raise ContainerError("CORRUPT", "two sparse forms")
             real, more, part = number(block[483:495]), block[SPARSE_MORE], block[SPARSE_FIRST : SPARSE_FIRST + 96]
             while True:
                 for i in range(0, len(part), 24):
@@ -245,7 +245,7 @@ class TarWalk:
                 at, part, more = at + BLOCK, ext[:504], ext[504]
         elif "GNU.sparse.major" in sparse:
             if (sparse["GNU.sparse.major"], sparse.get("GNU.sparse.minor")) != (b"1", b"0"):
-                raise ArchiveError("UNSUPPORTED", "sparse version")
+                raise ContainerError("UNSUPPORTED", "sparse version")
             real, used, values, want = decimal(sparse["GNU.sparse.realsize"]), 0, [], None
             buffer = b""
             while want is None or len(values) < 1 + 2 * want:
@@ -264,22 +264,22 @@ class TarWalk:
             listed = sparse.get("GNU.sparse.map", sparse.get("GNU.sparse.pairs", b"")).strip(b",")
             values = [decimal(x) for x in listed.split(b",")] if listed else []
             if len(values) % 2:
-                raise ArchiveError("CORRUPT", "sparse map")
+                raise ContainerError("CORRUPT", "sparse map")
             regions = list(zip(values[::2], values[1::2]))
         self._charge(16 * len(regions))
         last = 0
         for o, n in regions:
             if o < last or o + n > real:
-                raise ArchiveError("CORRUPT", "sparse regions")
+                raise ContainerError("CORRUPT", "sparse regions")
             last = o + n
         if sum(n for _, n in regions) != stored:
-            raise ArchiveError("CORRUPT", "sparse sizes")
+            raise ContainerError("CORRUPT", "sparse sizes")
         m |= {"sparse": True, "sparse_map": [{"offset": o, "length": n} for o, n in regions], "size": real}
         return at, stored
 
     def _charge(self, n: int) -> None:
         if self.limits.max_extra_bytes and n > self.limits.max_extra_bytes:
-            raise ArchiveError("LIMIT_EXTRA_BYTES")
+            raise ContainerError("LIMIT_EXTRA_BYTES")
 
     def _reader(self, m, start):
         def data() -> bytes:
@@ -305,6 +305,14 @@ def _base256(value: int, width: int) -> bytes:
     return bytes([raw[0] | 0x80]) + raw[1:]
 
 
+def _utf8(value: bytes) -> bool:
+    try:
+        value.decode()
+        return True
+    except UnicodeDecodeError:
+        return False
+
+
 def pax_record(key: str, value: bytes) -> bytes:
     body = len(key.encode()) + len(value) + 3
     n = body + len(str(body))
@@ -346,9 +354,18 @@ class TarWriter:
     def add(self, m: dict, data: bytes = b"") -> None:
         kind, name, link = m.get("type") or "file", m["name"], m.get("link_target") or b""
         if not name or b"\0" in name or kind not in FLAGS:
-            raise ArchiveError("INVALID" if not name or b"\0" in name else "UNSUPPORTED")
+            raise ContainerError("INVALID" if not name or b"\0" in name else "UNSUPPORTED")
         size = len(data) if kind == "file" else 0
         records: list[tuple[str, bytes]] = []
+        regions = [(r["offset"], r["length"]) for r in m.get("sparse_map") or ()]
+        if kind == "file" and m.get("sparse_map") is not None:
+            # The map stands in front of the regions' data, under a name of its own for readers that don't know the form.
+            if any(a + n > b for (a, n), b in zip(regions, [*(o for o, _ in regions[1:]), size])):
+                raise ContainerError("INVALID", "sparse regions")
+            listed = b"%d\n" % len(regions) + b"".join(b"%d\n%d\n" % r for r in regions)
+            records += [("GNU.sparse.major", b"1"), ("GNU.sparse.minor", b"0"), ("GNU.sparse.name", name), ("GNU.sparse.realsize", b"%d" % size)]
+            data = listed + bytes(-len(listed) % BLOCK) + b"".join(data[o : o + n] for o, n in regions)
+            size, name = len(data), b"GNUSparseFile.0/" + name.rpartition(b"/")[2][:80]
         split = split_name(name)
         if split is None:
             records.append(("path", name))
@@ -369,8 +386,10 @@ class TarWriter:
         for key in ("uid", "gid"):
             if not 0 <= (m.get(key) or 0) < 8**7:
                 records.append((key, b"%d" % m[key]))
+        if any(k in ("path", "linkpath", "uname", "gname", "GNU.sparse.name") and not _utf8(v) for k, v in records):
+            records.insert(0, ("hdrcharset", b"BINARY"))
         if records and self.variant == "ustar":
-            raise ArchiveError("UNSUPPORTED", "needs pax records")
+            raise ContainerError("UNSUPPORTED", "needs pax records")
         if records:
             body = b"".join(pax_record(k, v) for k, v in records)
             self.out.write(self._block({"mode": 0, "mtime_seconds": 0}, b"././@PaxHeader", b"", b"", len(body), b"x") + body + bytes(-len(body) % BLOCK))
@@ -388,7 +407,7 @@ class TarWriter:
 
 
 def join_volumes(parts: list[bytes]) -> bytes:
-    """One archive from the volumes of a set: a member cut at a volume's end goes on behind the next one's header.
+    """One container from the volumes of a set: a member cut at a volume's end goes on behind the next one's header.
 
     The continuation must name the member, and its offset and rest must be what is owing.
     """
@@ -400,7 +419,7 @@ def join_volumes(parts: list[bytes]) -> bytes:
             if block == ZERO:
                 break
             if not identify(block):
-                raise ArchiveError("CORRUPT", "checksum")
+                raise ContainerError("CORRUPT", "checksum")
             flag, size = block[156], number(field(block, "size"))
             if flag == 86:
                 at += BLOCK + size + -size % BLOCK
@@ -408,9 +427,9 @@ def join_volumes(parts: list[bytes]) -> bytes:
             at += BLOCK
             if flag == 77:
                 if not owing or (text(block, "name"), number(block[369:381]), size) != owing:
-                    raise ArchiveError("CORRUPT", "continuation")
+                    raise ContainerError("CORRUPT", "continuation")
             elif owing:
-                raise ArchiveError("CORRUPT", "a continuation is owing")
+                raise ContainerError("CORRUPT", "a continuation is owing")
             else:
                 out += block
             done = number(block[369:381]) if flag == 77 else 0
@@ -422,5 +441,5 @@ def join_volumes(parts: list[bytes]) -> bytes:
             if carried and have == size:
                 out += bytes(-(done + size) % BLOCK)
             if owing and k == len(parts) - 1:
-                raise ArchiveError("CORRUPT", "the last volume ends inside a member")
+                raise ContainerError("CORRUPT", "the last volume ends inside a member")
     return bytes(out) + 2 * ZERO

@@ -12,7 +12,7 @@ import stat
 from collections.abc import Iterable, Iterator
 
 from ..functions.names import BIT, ESCAPES, PORTABILITY
-from ..functions.status import ArchiveError
+from ..functions.status import ContainerError
 
 DEPTH = 64
 DEVICES = {b"con", b"prn", b"aux", b"nul", *(d + b"%d" % i for d in (b"com", b"lpt") for i in range(1, 10))}
@@ -57,7 +57,7 @@ def tree_members(root: str) -> Iterator[tuple[dict, str | None]]:
 
     def walk(at: str, name: bytes, depth: int):
         if depth > DEPTH:
-            raise ArchiveError("REFUSED", "too deep")
+            raise ContainerError("REFUSED", "too deep")
         for entry in sorted(os.scandir(at), key=lambda e: os.fsencode(e.name)):
             s = entry.stat(follow_symlinks=False)
             own = name + os.fsencode(entry.name)
@@ -90,9 +90,9 @@ def extract(rows: Iterable[dict], root: str, portable: bool = True, links: bool
         for m in rows:
             try:
                 if name_mask(m["name"]) & bad or m["type"] not in ("file", "directory", *(("symlink", "hardlink") if links else ())):
-                    raise ArchiveError("REFUSED")
+                    raise ContainerError("REFUSED")
                 if m.get("data_status", "OK") != "OK":
-                    raise ArchiveError(m["data_status"])
+                    raise ContainerError(m["data_status"])
                 _place(base, m, made)
             except FileExistsError:
                 yield m["idx"], "REFUSED"
@@ -103,7 +103,7 @@ def extract(rows: Iterable[dict], root: str, portable: bool = True, links: bool
             except OSError:
                 yield m["idx"], "IO"
                 return
-            except ArchiveError as e:
+            except ContainerError as e:
                 yield m["idx"], e.status
                 return
             yield m["idx"], "OK"
@@ -138,11 +138,11 @@ def _place(base: int, m: dict, made: set[bytes]) -> None:
                 made.add(path)
         elif m["type"] == "symlink":
             if not _inside(m["name"], m["link_target"] or b""):
-                raise ArchiveError("REFUSED")
+                raise ContainerError("REFUSED")
             os.symlink(m["link_target"], last, dir_fd=at)
         elif m["type"] == "hardlink":
             if (m["link_target"] or b"") not in made:
-                raise ArchiveError("REFUSED")
+                raise ContainerError("REFUSED")
             os.link(m["link_target"], last, src_dir_fd=base, dst_dir_fd=at, follow_symlinks=False)
         else:
             f = os.open(last, os.O_WRONLY | os.O_CREAT | os.O_EXCL | os.O_NOFOLLOW, mode, dir_fd=at)
@@ -168,7 +168,7 @@ def _sparse_write(out, data: bytes) -> None:
 
 
 def volume_set(names: Iterable[str]) -> dict[str, list[str]]:
-    """Parts of split archives in order, by the set's name: x.001, x.002 ...; or x.z01, x.z02 ... x.zip."""
+    """Parts of split containers in order, by the set's name: x.001, x.002 ...; or x.z01, x.z02 ... x.zip."""
     out: dict[str, list[tuple[int, str]]] = {}
     names = list(names)
     for n in names:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import binascii
 from collections.abc import Iterator
 
-from ..functions.status import ArchiveError
+from ..functions.status import ContainerError
 from .member import Limits
 from .streams import Source
 
@@ -25,7 +25,7 @@ def _digits(raw: bytes, base: int, exact: bool = False) -> int:
             raise ValueError
         return int(text, base)
     except ValueError:
-        raise ArchiveError("CORRUPT", "number") from None
+        raise ContainerError("CORRUPT", "number") from None
 
 
 class ArWalk:
@@ -34,7 +34,7 @@ class ArWalk:
 
     def __iter__(self) -> Iterator[tuple[dict, object]]:
         if self.s.exact(8) != AR_MAGIC:
-            raise ArchiveError("FORMAT")
+            raise ContainerError("FORMAT")
         table, first = None, True
         while True:
             at = self.s.at
@@ -42,12 +42,12 @@ class ArWalk:
             if not head:
                 return
             if len(head) < 60 or head[58:] != AR_END:
-                raise ArchiveError("CORRUPT", "member header")
+                raise ContainerError("CORRUPT", "member header")
             raw, size = head[:16].rstrip(b" "), _digits(head[48:58], 10)
             end = self.s.at + size + size % 2
             if raw == b"//":
                 if table is not None or size > AR_TABLE_CAP:
-                    raise ArchiveError("CORRUPT", "name table")
+                    raise ContainerError("CORRUPT", "name table")
                 table = self.s.exact(size)
                 self._to(end)
                 continue
@@ -58,7 +58,7 @@ class ArWalk:
             if raw.startswith(b"#1/"):
                 skip = _digits(raw[3:], 10)
                 if skip > size or skip > 4096:
-                    raise ArchiveError("CORRUPT", "name length")
+                    raise ContainerError("CORRUPT", "name length")
                 name = self.s.exact(skip).rstrip(b"\0")
                 if first and name.startswith(b"__.SYMDEF"):
                     self._to(end)
@@ -66,7 +66,7 @@ class ArWalk:
             elif raw.startswith(b"/") and raw[1:].isdigit():
                 offset = int(raw[1:])
                 if table is None or offset >= len(table):
-                    raise ArchiveError("CORRUPT", "name offset")
+                    raise ContainerError("CORRUPT", "name offset")
                 stop = table.find(b"\n", offset)
                 name = table[offset : stop if stop >= 0 else len(table)].removesuffix(b"/")
             else:
@@ -96,16 +96,16 @@ class ArWriter:
     def add(self, m: dict, data: bytes = b"") -> None:
         name = m["name"]
         if (m.get("type") or "file") != "file":
-            raise ArchiveError("UNSUPPORTED", "only files")
+            raise ContainerError("UNSUPPORTED", "only files")
         if not name or b"\0" in name:
-            raise ArchiveError("INVALID")
+            raise ContainerError("INVALID")
         short = len(name) <= 15 and b"/" not in name and not name.endswith(b" ") and not name.startswith(b"#1/")
         field, extra = (name + b"/", b"") if short else (b"#1/%d" % len(name), name)
         mode = m.get("mode") if m.get("mode") is not None else 0o644
         body = extra + data
         head = b"%-16s%-12d%-6d%-6d%-8o%-10d" % (field, max(0, m.get("mtime_seconds") or 0), m.get("uid") or 0, m.get("gid") or 0, mode & 0o7777 | 0o100000, len(body))
         if len(head) != 58:
-            raise ArchiveError("UNSUPPORTED", "a number is too wide")
+            raise ContainerError("UNSUPPORTED", "a number is too wide")
         self.out.write(head + AR_END + body + b"\n" * (len(body) % 2))
 
     def finish(self) -> None:
@@ -140,12 +140,12 @@ class CpioWalk:
                 major = minor = check = 0
                 rmajor, rminor, pad = rdev >> 8, rdev & 255, 1
             else:
-                raise ArchiveError("CORRUPT", "member header")
+                raise ContainerError("CORRUPT", "member header")
             if self.limits.max_name_bytes and nlen > self.limits.max_name_bytes + 1:
-                raise ArchiveError("LIMIT_NAME_BYTES")
+                raise ContainerError("LIMIT_NAME_BYTES")
             name = self.s.exact(nlen)
             if not nlen or name[-1] or b"\0" in name[:-1]:
-                raise ArchiveError("CORRUPT", "name")
+                raise ContainerError("CORRUPT", "name")
             name = name[:-1]
             self.s.skip(-(self.s.at - at) % pad)
             if name == TRAILER:
@@ -159,13 +159,13 @@ class CpioWalk:
             start = self.s.at
             if kind == "symlink":
                 if self.limits.max_name_bytes and size > self.limits.max_name_bytes:
-                    raise ArchiveError("LIMIT_NAME_BYTES")
+                    raise ContainerError("LIMIT_NAME_BYTES")
                 m |= {"link_target": self.s.exact(size), "size": 0}
 
             def data(size=size, check=check if magic == b"070702" else None):
                 got = self.s.exact(size)
                 if check is not None and sum(got) & 0xFFFFFFFF != check:
-                    raise ArchiveError("CORRUPT", "byte sum")
+                    raise ContainerError("CORRUPT", "byte sum")
                 return got
 
             yield m, data
@@ -176,7 +176,7 @@ class CpioWalk:
 class CpioWriter:
     def __init__(self, out, variant: str = "newc"):
         if variant not in ("newc", "odc"):
-            raise ArchiveError("UNSUPPORTED", variant)
+            raise ContainerError("UNSUPPORTED", variant)
         self.out, self.variant, self.n, self.at = out, variant, 0, 0
 
     def _put(self, data: bytes) -> None:
@@ -188,7 +188,7 @@ class CpioWriter:
         ino = self.n if name != TRAILER else 0
         if self.variant == "newc":
             if not 0 <= mtime <= 0xFFFFFFFF or len(data) > 0xFFFFFFFF:
-                raise ArchiveError("UNSUPPORTED", "a number is too wide")
+                raise ContainerError("UNSUPPORTED", "a number is too wide")
             values = (ino, mode, uid, gid, links, mtime, len(data), 0, 0, *device, len(name) + 1, 0)
             self._put(b"070701" + b"".join(b"%08X" % v for v in values) + name + b"\0")
             self._put(bytes(-self.at % 4))
@@ -196,15 +196,15 @@ class CpioWriter:
             self._put(bytes(-self.at % 4))
         else:
             if ino > 0o777777 or max(uid, gid) > 0o777777 or not 0 <= mtime < 8**11 or len(data) >= 8**11:
-                raise ArchiveError("UNSUPPORTED", "a number is too wide")
+                raise ContainerError("UNSUPPORTED", "a number is too wide")
             self._put(b"070707%06o%06o%06o%06o%06o%06o%06o%011o%06o%011o" % (0, ino, mode, uid, gid, links, device[0] << 8 | device[1], mtime, len(name) + 1, len(data)) + name + b"\0" + data)
 
     def add(self, m: dict, data: bytes = b"") -> None:
         kind, name = m.get("type") or "file", m["name"]
         if kind not in BITS or name == TRAILER:
-            raise ArchiveError("UNSUPPORTED", kind)
+            raise ContainerError("UNSUPPORTED", kind)
         if not name or b"\0" in name:
-            raise ArchiveError("INVALID")
+            raise ContainerError("INVALID")
         mode = m.get("mode") if m.get("mode") is not None else 0o755 if kind == "directory" else 0o644
         body = (m.get("link_target") or b"") if kind == "symlink" else data if kind == "file" else b""
         self._member(name, mode & 0o7777 | BITS[kind], m.get("uid") or 0, m.get("gid") or 0, 2 if kind == "directory" else 1, m.get("mtime_seconds") or 0, body, (m.get("device_major") or 0, m.get("device_minor") or 0))
@@ -228,7 +228,7 @@ class SharWriter:
     def add(self, m: dict, data: bytes = b"") -> None:
         kind, name = m.get("type") or "file", m["name"]
         if not name or b"\0" in name or b"\n" in name:
-            raise ArchiveError("INVALID")
+            raise ContainerError("INVALID")
         q = self.quoted(b"./" + name if name.startswith(b"-") else name)
         self.out.write(b"echo x " + q + b"\n")
         if kind == "directory":
@@ -236,7 +236,7 @@ class SharWriter:
         elif kind == "symlink":
             self.out.write(b"ln -fs " + self.quoted(m.get("link_target") or b"") + b" " + q + b"\n")
         elif kind != "file":
-            raise ArchiveError("UNSUPPORTED", kind)
+            raise ContainerError("UNSUPPORTED", kind)
         elif not data:
             self.out.write(b": > " + q + b"\n")
         elif self.uuencode:
@@ -244,7 +244,7 @@ class SharWriter:
             self.out.write(b"uudecode -o " + q + b" << 'SHAR_END'\nbegin 644 x\n" + b"".join(lines) + b"`\nend\nSHAR_END\n")
         else:
             if b"\0" in data or not data.endswith(b"\n"):
-                raise ArchiveError("UNSUPPORTED", "not text")
+                raise ContainerError("UNSUPPORTED", "not text")
             self.out.write(b"sed 's/^X//' > " + q + b" << 'SHAR_END'\n" + b"".join(b"X" + x + b"\n" for x in data[:-1].split(b"\n")) + b"SHAR_END\n")
         if m.get("mode") is not None and kind == "file":
             self.out.write(b"chmod %o " % (m["mode"] & 0o7777) + q + b"\n")

@@ -11,8 +11,9 @@ import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
-from ..functions.status import ArchiveError
+from ..functions.status import ContainerError
 from . import legacy
+from .aes import ctr_little_endian
 from .member import Limits
 from .streams import Source, compress, decompress
 
@@ -47,7 +48,7 @@ def extras(data: bytes) -> dict[int, bytes]:
     while at + 4 <= len(data):
         key, n = struct.unpack_from("<HH", data, at)
         if at + 4 + n > len(data):
-            raise ArchiveError("CORRUPT", "extra field")
+            raise ContainerError("CORRUPT", "extra field")
         out.setdefault(key, data[at + 4 : at + 4 + n])
         at += 4 + n
     return out
@@ -90,8 +91,8 @@ def zipcrypto(data: bytes, password: bytes) -> bytes:
 
 
 class ZipWalk:
-    def __init__(self, source: Source, limits: Limits, password: bytes | None = None, archive: dict | None = None):
-        self.s, self.limits, self.password, self.archive = source, limits, password, {} if archive is None else archive
+    def __init__(self, source: Source, limits: Limits, password: bytes | None = None, container: dict | None = None):
+        self.s, self.limits, self.password, self.container = source, limits, password, {} if container is None else container
         self.keep_raw = False  # members then carry their stored bytes, for copies that decode nothing
 
     # Both walks make members of the same parts.
@@ -132,7 +133,7 @@ class ZipWalk:
         elif encryption != "none" and self.password is None:
             m["data_status"] = "PASSWORD_REQUIRED"
         if actual == 0 and not flags & 1 and size != csize:
-            raise ArchiveError("CORRUPT", "stored sizes differ")
+            raise ContainerError("CORRUPT", "stored sizes differ")
         return m, actual, aes
 
     def _sixty_four(self, ext, size, csize, offset, disk=0):
@@ -142,10 +143,10 @@ class ZipWalk:
         for v, marker in ((size, TOP), (csize, TOP), (offset, TOP)):
             if v == marker:
                 if len(data) < 8:
-                    raise ArchiveError("CORRUPT", "zip64 marker")
+                    raise ContainerError("CORRUPT", "zip64 marker")
                 v, data, used = struct.unpack_from("<Q", data)[0], data[8:], True
                 if v >= 1 << 63:
-                    raise ArchiveError("CORRUPT", "size")
+                    raise ContainerError("CORRUPT", "size")
             out.append(v)
         return *out, used
 
@@ -156,9 +157,9 @@ class ZipWalk:
         elif z["encryption"] != "none":
             plain = zipcrypto(raw, self.password)
             if len(plain) < 12:
-                raise ArchiveError("CORRUPT")
+                raise ContainerError("CORRUPT")
             if plain[11] != check:
-                raise ArchiveError("PASSWORD_REJECTED")
+                raise ContainerError("PASSWORD_REJECTED")
             raw = plain[12:]
         try:
             if actual == 0:
@@ -173,29 +174,27 @@ class ZipWalk:
             else:
                 data = decompress(CODECS[actual], raw, max(m["size"], 1))
         except (lzma.LZMAError, struct.error, IndexError):
-            raise ArchiveError("CORRUPT") from None
-        except ArchiveError as e:
-            raise ArchiveError("PASSWORD_OR_CORRUPT" if z["encryption"].startswith("ZipCrypto") and e.status == "CORRUPT" else "CORRUPT" if e.status == "LIMIT_CODEC_BYTES" else e.status) from None
+            raise ContainerError("CORRUPT") from None
+        except ContainerError as e:
+            raise ContainerError("PASSWORD_OR_CORRUPT" if z["encryption"].startswith("ZipCrypto") and e.status == "CORRUPT" else "CORRUPT" if e.status == "LIMIT_CODEC_BYTES" else e.status) from None
         version = struct.unpack_from("<H", aes)[0] if aes and z["encryption"] == "WinZip AES" else 0
         if len(data) != m["size"] or (version != 2 and zlib.crc32(data) != z["crc32"]):
-            raise ArchiveError("PASSWORD_OR_CORRUPT" if z["encryption"].startswith("ZipCrypto") else "CORRUPT", "size or CRC")
+            raise ContainerError("PASSWORD_OR_CORRUPT" if z["encryption"].startswith("ZipCrypto") else "CORRUPT", "size or CRC")
         return data
 
     def _aes(self, raw: bytes, extra: bytes) -> bytes:
-        from .aes import ctr_little_endian
-
         strength = extra[4]
         if strength not in (1, 2, 3):
-            raise ArchiveError("UNSUPPORTED")
+            raise ContainerError("UNSUPPORTED")
         n, k = 4 + 4 * strength, 8 + 8 * strength
         if len(raw) < n + 12:
-            raise ArchiveError("CORRUPT")
+            raise ContainerError("CORRUPT")
         key = hashlib.pbkdf2_hmac("sha1", self.password, raw[:n], 1000, 2 * k + 2)
         if not hmac.compare_digest(key[-2:], raw[n : n + 2]):
-            raise ArchiveError("PASSWORD_REJECTED")
+            raise ContainerError("PASSWORD_REJECTED")
         body = raw[n + 2 : -10]
         if not hmac.compare_digest(hmac.digest(key[k : 2 * k], body, "sha1")[:10], raw[-10:]):
-            raise ArchiveError("CORRUPT", "authentication")
+            raise ContainerError("CORRUPT", "authentication")
         return ctr_little_endian(body, key[:k])
 
     def __iter__(self) -> Iterator[tuple[dict, object]]:
@@ -215,7 +214,7 @@ class ZipWalk:
                 return self.s.size - n + at, tail[at:]
             at -= 1
         self.s.seek(0)
-        raise ArchiveError("CORRUPT" if identify(self.s.read(4)) else "FORMAT", "no end record")
+        raise ContainerError("CORRUPT" if identify(self.s.read(4)) else "FORMAT", "no end record")
 
     def _seeking(self):
         at, end = self.end_record()
@@ -236,43 +235,43 @@ class ZipWalk:
                             break
                 else:
                     if TOP in (size, offset) or total == 0xFFFF:
-                        raise ArchiveError("CORRUPT", "zip64 end record")
+                        raise ContainerError("CORRUPT", "zip64 end record")
         if (disk or cdisk or here != total) and not sixty_four and disk != cdisk:
-            raise ArchiveError("UNSUPPORTED", "several disks")
+            raise ContainerError("UNSUPPORTED", "several disks")
         begin = directory_end - size
         if begin < 0 or begin < offset:
-            raise ArchiveError("CORRUPT", "directory place")
+            raise ContainerError("CORRUPT", "directory place")
         base = begin - offset
-        self.archive.update(base_offset=base, zip_declared_members=total, zip_has_zip64_end=sixty_four, zip_comment=end[22:])
+        self.container.update(base_offset=base, zip_declared_members=total, zip_has_zip64_end=sixty_four, zip_comment=end[22:])
         where = begin
         for _ in range(total):
             self.s.seek(where)
             if where + 46 > directory_end:
-                raise ArchiveError("CORRUPT", "directory ends early")
+                raise ContainerError("CORRUPT", "directory ends early")
             head = self.s.exact(46)
             if head[:4] != CENTRAL:
-                raise ArchiveError("CORRUPT", "directory entry")
+                raise ContainerError("CORRUPT", "directory entry")
             made, _, flags, method, time, date, crc, csize, fsize, nlen, xlen, clen, _, _, eattr, lho = struct.unpack_from("<HHHHHHIIIHHHHHII", head, 4)
             if self.limits.max_name_bytes and nlen > self.limits.max_name_bytes:
-                raise ArchiveError("LIMIT_NAME_BYTES")
+                raise ContainerError("LIMIT_NAME_BYTES")
             if self.limits.max_extra_bytes and xlen + clen > self.limits.max_extra_bytes:
-                raise ArchiveError("LIMIT_EXTRA_BYTES")
+                raise ContainerError("LIMIT_EXTRA_BYTES")
             if where + 46 + nlen + xlen + clen > directory_end:
-                raise ArchiveError("CORRUPT", "directory entry")
+                raise ContainerError("CORRUPT", "directory entry")
             name, extra = self.s.exact(nlen), self.s.exact(xlen)
             where += 46 + nlen + xlen + clen
             fsize, csize, lho, used = self._sixty_four(extras(extra), fsize, csize, lho)
             place = base + lho
             if place + 30 > begin:
-                raise ArchiveError("CORRUPT", "local header place")
+                raise ContainerError("CORRUPT", "local header place")
             self.s.seek(place)
             local = self.s.exact(30)
             lname, lextra = struct.unpack_from("<HH", local, 26)
             if local[:4] != LOCAL or self.s.exact(lname) != name:
-                raise ArchiveError("CORRUPT", "local header")
+                raise ContainerError("CORRUPT", "local header")
             start = place + 30 + lname + lextra
             if start + csize > begin:
-                raise ArchiveError("CORRUPT", "data overlaps the directory")
+                raise ContainerError("CORRUPT", "data overlaps the directory")
             m, actual, aes = self._member(made, flags, method, date << 16 | time, crc, csize, fsize, name, extra, eattr, lho, used)
             if m["type"] == "symlink" and actual == 0 and not flags & 1 and fsize <= (self.limits.max_name_bytes or fsize):
                 self.s.seek(start)
@@ -302,20 +301,20 @@ class ZipWalk:
             head = self.s.exact(26)
             _, flags, method, time, date, crc, csize, size, nlen, xlen = struct.unpack("<HHHHHIIIHH", head)
             if self.limits.max_name_bytes and nlen > self.limits.max_name_bytes:
-                raise ArchiveError("LIMIT_NAME_BYTES")
+                raise ContainerError("LIMIT_NAME_BYTES")
             name, extra = self.s.exact(nlen), self.s.exact(xlen)
             ext = extras(extra)
-            if flags & 8 and (flags & 1 or method not in (8, 12, 93, 95)):
-                raise ArchiveError("UNSUPPORTED", "descriptor behind data of unknown end")
+            if flags & 8 and (flags & 1 or method not in (0, 8, 12, 93, 95)):
+                raise ContainerError("UNSUPPORTED", "descriptor behind data of unknown end")
             size, csize, _, used = self._sixty_four(ext, size, csize, 0)
             holder: dict = {}
             if flags & 8:
-                raw, data = self._until_end(method)
+                raw, data = self._until_end(method) if method else self._scanned(1 in ext)
                 sign = self.s.exact(4)
                 rest = self.s.exact(12 if 1 not in ext else 20) if sign == DESCRIPTOR else sign + self.s.exact(8 if 1 not in ext else 16)
                 crc, csize, size = struct.unpack("<III" if 1 not in ext else "<IQQ", rest)
                 if csize != len(raw) or size != len(data) or crc != zlib.crc32(data):
-                    raise ArchiveError("CORRUPT", "descriptor")
+                    raise ContainerError("CORRUPT", "descriptor")
                 holder["data"] = data
             m, actual, aes = self._member(0, flags, method, date << 16 | time, crc, csize, size, name, extra, 0, at, used)
             m["size_unknown"] = bool(flags & 8)
@@ -333,13 +332,27 @@ class ZipWalk:
             yield m, data
         self._confirm(sign, seen)
 
+    def _scanned(self, large: bool):
+        """Stored bytes up to the first descriptor that describes just them."""
+        raw, shape = bytearray(), "<IQQ" if large else "<III"
+        while True:
+            raw += self.s.exact(1)
+            if self.limits.max_member_bytes and len(raw) > self.limits.max_member_bytes + 4:
+                raise ContainerError("LIMIT_MEMBER_BYTES")
+            if raw.endswith(DESCRIPTOR):
+                rest, body = self.s.exact(struct.calcsize(shape)), bytes(raw[:-4])
+                if struct.unpack(shape, rest) == (zlib.crc32(body), len(body), len(body)):
+                    self.s.unread(DESCRIPTOR + rest)
+                    return body, body
+                self.s.unread(rest)
+
     def _until_end(self, method):
         """Coded bytes up to the codec's own end."""
         import bz2
 
         d = zlib.decompressobj(-15) if method == 8 else bz2.BZ2Decompressor() if method == 12 else lzma.LZMADecompressor(lzma.FORMAT_XZ) if method == 95 else None
         if d is None:
-            raise ArchiveError("UNSUPPORTED", "zstd of unknown length in a sequential walk")
+            raise ContainerError("UNSUPPORTED", "zstd of unknown length in a sequential walk")
         raw, out = bytearray(), bytearray()
         try:
             while not d.eof:  # byte by byte near the end is what a pipe without push-back costs
@@ -347,9 +360,9 @@ class ZipWalk:
                 raw += b
                 out += d.decompress(b)
                 if self.limits.max_member_bytes and len(out) > self.limits.max_member_bytes:
-                    raise ArchiveError("LIMIT_MEMBER_BYTES")
+                    raise ContainerError("LIMIT_MEMBER_BYTES")
         except (zlib.error, OSError, lzma.LZMAError):
-            raise ArchiveError("CORRUPT") from None
+            raise ContainerError("CORRUPT") from None
         return bytes(raw), bytes(out)
 
     def _confirm(self, sign, seen):
@@ -363,23 +376,23 @@ class ZipWalk:
             listed.append((name, method, crc, csize, size, flags & 0x41, lho))
             sign = self.s.exact(4)
         if listed != seen:
-            raise ArchiveError("CORRUPT", "the directory disagrees with the members")
+            raise ContainerError("CORRUPT", "the directory disagrees with the members")
         if sign == END64:
             n = struct.unpack("<Q", self.s.exact(8))[0]
             self.s.skip(n)
             if self.s.exact(4) != LOCATOR:
-                raise ArchiveError("CORRUPT", "locator")
+                raise ContainerError("CORRUPT", "locator")
             self.s.skip(16)
             sign = self.s.exact(4)
         if sign != END:
-            raise ArchiveError("CORRUPT", "end record")
+            raise ContainerError("CORRUPT", "end record")
         rest = self.s.exact(18)
         total, size, offset, clen = struct.unpack_from("<HIIH", rest, 6)
-        self.archive.update(base_offset=0, zip_declared_members=len(listed), zip_comment=self.s.exact(clen))
+        self.container.update(base_offset=0, zip_declared_members=len(listed), zip_comment=self.s.exact(clen))
         if (total != len(listed) & 0xFFFF and total != 0xFFFF) or (offset not in (at, TOP)):
-            raise ArchiveError("CORRUPT", "end record")
+            raise ContainerError("CORRUPT", "end record")
         if self.s.read(1):
-            raise ArchiveError("FORMAT", "bytes behind the archive")
+            raise ContainerError("FORMAT", "bytes behind the container")
 
 
 class ZipWriter:
@@ -387,14 +400,12 @@ class ZipWriter:
 
     def __init__(self, out, method: str = "deflate", level: int | None = None, descriptors: bool = False, comment: bytes = b"", password: str | None = None):
         if method not in METHODS:
-            raise ArchiveError("UNSUPPORTED", method)
+            raise ContainerError("UNSUPPORTED", method)
         self.out, self.method, self.level, self.descriptors, self.comment = out, method, level, descriptors, comment
         self.at, self.central, self.password = 0, [], None if password is None else password.encode()
 
     def _lock(self, coded: bytes) -> bytes:
         """WinZip's AES-256: salt, verifier, counter mode, and ten bytes of authentication."""
-        from .aes import ctr_little_endian
-
         salt = os.urandom(16)
         key = hashlib.pbkdf2_hmac("sha1", self.password, salt, 1000, 66)
         body = ctr_little_endian(coded, key[:32])
@@ -407,9 +418,9 @@ class ZipWriter:
     def add(self, m: dict, data: bytes = b"") -> None:
         kind, name = m.get("type") or "file", m["name"]
         if kind not in ("file", "directory", "symlink"):
-            raise ArchiveError("UNSUPPORTED", kind)
+            raise ContainerError("UNSUPPORTED", kind)
         if not name or len(name) > 0xFFFF:
-            raise ArchiveError("INVALID")
+            raise ContainerError("INVALID")
         if kind == "directory":
             name, data = name.rstrip(b"/") + b"/", b""
         if kind == "symlink":
@@ -431,7 +442,7 @@ class ZipWriter:
                 utf8 = 0x800
             except UnicodeDecodeError:
                 pass
-        late = self.descriptors and method in (8, 12, 95) and not locked
+        late = self.descriptors and bool(data) and kind == "file" and not locked
         flags = utf8 | (8 if late else 0) | (2 if method == 14 else 0) | (1 if locked else 0)
         large = max(len(data), len(coded)) >= TOP
         extra = b""
@@ -470,7 +481,7 @@ class ZipWriter:
             parts += extra[at : at + 4 + n] if key != 1 else b""
             at += 4 + n
         if max(size, len(coded)) >= TOP or self.at >= TOP:
-            raise ArchiveError("UNSUPPORTED", "raw zip64")
+            raise ContainerError("UNSUPPORTED", "raw zip64")
         offset = self.at
         facts = struct.pack("<HHHHIII", flags, method, time, date, crc, len(coded), size)
         self._write(LOCAL + struct.pack("<H", version) + facts + struct.pack("<HH", len(name), len(parts)) + name + parts + coded)
@@ -500,6 +511,6 @@ def copy_raw(data: bytes, rename=lambda name: name, keep=lambda member: True) ->
     for m, _ in walk:
         if keep(m):
             writer.add_raw(m["raw"], rename(m["name"]), m["zip"]["crc32"], m["size"])
-    writer.comment = walk.archive.get("zip_comment") or b""
+    writer.comment = walk.container.get("zip_comment") or b""
     writer.finish()
     return out.getvalue()

@@ -1,10 +1,10 @@
-"""Archives as they arrive: members of new files, in append mode.  Rows are independent, so no state is kept."""
+"""Containers as they arrive: members of new files, in append mode.  Rows are independent, so no state is kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.archives import members
+from ..operators.containers import members
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 

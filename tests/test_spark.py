@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from holdfast.functions import names
-from holdfast.operators import archives as ops
+from holdfast.operators import containers as ops
 from holdfast.plans import queries as q
-from holdfast.sources.datasource import ArchiveDataSource
+from holdfast.sources.datasource import ContainerDataSource
 from holdfast.sources.member import Limits
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -93,7 +93,7 @@ def test_members_permissive_and_failfast(spark):
     assert ops.members(cut).count() == 1 and ops.walks(cut).first().status == "CORRUPT"
     try:
         ops.members(cut, mode="failfast").collect()
-        raise AssertionError("a cut archive must raise")
+        raise AssertionError("a cut container must raise")
     except Exception as e:
         assert "CORRUPT" in str(e)
     assert ops.walks(packed, Limits(max_members=1)).first().status == "LIMIT_MEMBERS"
@@ -103,11 +103,21 @@ def test_members_permissive_and_failfast(spark):
 def test_data_source_and_stream(spark, tmp_path):
     from holdfast.streaming.arrivals import arriving_members
 
-    spark.dataSource.register(ArchiveDataSource)
+    spark.dataSource.register(ContainerDataSource)
     rows = spark.createDataFrame([(bytearray(b"a"), bytearray(b"1")), (bytearray(b"b"), bytearray(b"22"))], "name binary, content binary").coalesce(1)
-    rows.write.format("archive").option("archive", "zip").mode("append").save(str(tmp_path / "out"))
-    back = spark.read.format("archive").load(str(tmp_path / "out"))
+    rows.write.format("container").option("container", "zip").mode("append").save(str(tmp_path / "out"))
+    back = spark.read.format("container").load(str(tmp_path / "out"))
     assert sorted((bytes(r.name), bytes(r.content)) for r in back.collect()) == [(b"a", b"1"), (b"b", b"22")]
+    rows.write.format("container").option("container", "zip").mode("append").save(str(tmp_path / "out"))
+    assert len(os.listdir(tmp_path / "out")) == 2 and spark.read.format("container").load(str(tmp_path / "out")).count() == 4  # an append leaves the first container alone
+    rows.write.format("container").option("container", "zip").mode("overwrite").save(str(tmp_path / "out"))
+    assert len(os.listdir(tmp_path / "out")) == 1 and spark.read.format("container").load(str(tmp_path / "out")).count() == 2
+    for options in ({"container": "rar"}, {"unknown": "1"}):
+        try:
+            rows.write.format("container").options(**options).mode("append").save(str(tmp_path / "bad"))
+            raise AssertionError("must be refused")
+        except Exception as e:
+            assert "UNSUPPORTED" in str(e) or "INVALID" in str(e)
     stream = arriving_members(spark, str(tmp_path / "out")).select("name", "size").writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "ck")).start()
     stream.processAllAvailable()
     stream.stop()
@@ -131,44 +141,67 @@ def test_works_without_the_training_data_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
 
 
+def test_copies_fail_or_skip(spark):
+    from holdfast.sources.containers import write_container
+
+    members = [({"name": b"a", "uname": b"me", "gname": b"us"}, b"1" * 40), ({"name": b"b"}, b"22")]
+    cut = write_container("tar", iter(members))[: 1024 + 512]
+    broken = bytearray(write_container("zip", iter(members), method="stored"))
+    broken[32] ^= 1
+    for kind, data, kept in (("tar", cut, [b"a"]), ("zip", bytes(broken), [b"b"])):
+        files = spark.createDataFrame([("p", bytearray(data))], "path string, content binary")
+        try:
+            ops.copy(files, "cpio").collect()
+            raise AssertionError("damage must raise")
+        except Exception as e:
+            assert "CORRUPT" in str(e)
+        assert [bytes(r.name) for r in ops.members(ops.copy(files, "cpio", on_error="skip")).collect()] == kept
+    whole = spark.createDataFrame([("p", bytearray(write_container("tar", iter(members))))], "path string, content binary")
+    first = ops.members(ops.copy(whole, "tar")).first()
+    assert (bytes(first.uname), bytes(first.gname)) == (b"me", b"us")
+
+
 def test_volumes_dump_and_extraction(spark, tmp_path):
     from holdfast.sources import tree
-    from holdfast.sources.archives import write_archive
+    from holdfast.sources.containers import write_container
 
-    data = write_archive("zip", iter([({"name": b"a\n", "type": "file"}, b"x" * 9000), ({"name": b"d/b"}, b"y" + bytes(9000))]))
+    data = write_container("zip", iter([({"name": b"a\n", "type": "file"}, b"x" * 9000), ({"name": b"d/b"}, b"y" + bytes(9000))]))
     parts = [(f"s/x.zip.{i + 1:03d}", bytearray(p)) for i, p in enumerate(tree.split(data, 100))] + [("s/y.002", bytearray(b"gap")), ("s/z.zip", bytearray(data))]
     files = spark.createDataFrame(parts, "path string, content binary")
     joined = {r.path: bytes(r.content) for r in ops.joined_volumes(files).collect()}
     assert joined == {"s/x.zip": data, "s/y.002": b"gap", "s/z.zip": data}
-    archives = ops.joined_volumes(files).where("path = 's/x.zip'")
-    assert [r.line for r in ops.dump(ops.members(archives)).collect()] == ["0 file 9000 a\\x0A", "1 file 9001 d/b"]
-    got = [(r.idx, r.status) for r in ops.extract(archives, str(tmp_path / "out")).collect()]
+    containers = ops.joined_volumes(files).where("path = 's/x.zip'")
+    assert [r.line for r in ops.dump(ops.members(containers)).collect()] == ["0 file 9000 a\\x0A", "1 file 9001 d/b"]
+    got = [(r.idx, r.status) for r in ops.extract(containers, str(tmp_path / "out")).collect()]
     assert got == [(0, "REFUSED")]
-    got = [(r.idx, r.status) for r in ops.extract(archives, str(tmp_path / "out2"), portable=False).collect()]
+    got = [(r.idx, r.status) for r in ops.extract(containers, str(tmp_path / "out2"), portable=False).collect()]
     assert got == [(0, "OK"), (1, "OK")]
-    (own,) = (tmp_path / "out2").iterdir()
+    (own,) = (p for p in (tmp_path / "out2").iterdir() if not p.name.startswith("."))
     assert (own / "d" / "b").read_bytes() == b"y" + bytes(9000)
-    again = [r.status for r in ops.extract(archives, str(tmp_path / "out2"), portable=False).collect()]
-    assert again == ["REFUSED"]
+    again = [r.status for r in ops.extract(containers, str(tmp_path / "out2"), portable=False).collect()]  # as a retried task
+    assert [n for n in os.listdir(tmp_path / "out2") if not n.startswith(".")] == [own.name]
+    other = containers.withColumn("content", F.lit(write_container("tar", iter([({"name": b"other"}, b"")]))))
+    assert [r.status for r in ops.extract(other, str(tmp_path / "out2")).collect()] == ["REFUSED"] and not (own / "other").exists()
+    assert again == ["OK", "OK"]
     assert tree.volume_set(["x.001", "x.002", "y.z01", "y.zip", "g.002"]) == {"x": ["x.001", "x.002"], "y.zip": ["y.z01", "y.zip"]}
 
 
 def test_tree_round_trip(tmp_path):
     from holdfast.sources import tree
-    from holdfast.sources.archives import read_archive, write_archive
+    from holdfast.sources.containers import read_container, write_container
 
     (tmp_path / "in/d").mkdir(parents=True)
     (tmp_path / "in/d/f").write_bytes(b"data")
     os.link(tmp_path / "in/d/f", tmp_path / "in/d/g")
     os.symlink("f", tmp_path / "in/d/s")
     members = [(m, open(p, "rb").read() if p else b"") for m, p in tree.tree_members(str(tmp_path / "in"))]
-    data = write_archive("tar", iter(members))
-    assert [s for _, s in tree.extract(read_archive("p", data, {}), str(tmp_path / "no"))] == ["OK", "OK", "REFUSED"]
-    assert {s for _, s in tree.extract(read_archive("p", data, {}), str(tmp_path / "out"), links=True)} == {"OK"}
+    data = write_container("tar", iter(members))
+    assert [s for _, s in tree.extract(read_container("p", data, {}), str(tmp_path / "no"))] == ["OK", "OK", "REFUSED"]
+    assert {s for _, s in tree.extract(read_container("p", data, {}), str(tmp_path / "out"), links=True)} == {"OK"}
     assert (tmp_path / "out/d/g").read_bytes() == b"data" and os.readlink(tmp_path / "out/d/s") == "f"
     assert os.stat(tmp_path / "out/d/f").st_ino == os.stat(tmp_path / "out/d/g").st_ino
-    hostile = write_archive("tar", iter([({"name": b"l", "type": "symlink", "link_target": b"../.."}, b"")]))
-    assert [s for _, s in tree.extract(read_archive("p", hostile, {}), str(tmp_path / "x"), links=True)] == ["REFUSED"]
+    hostile = write_container("tar", iter([({"name": b"l", "type": "symlink", "link_target": b"../.."}, b"")]))
+    assert [s for _, s in tree.extract(read_container("p", hostile, {}), str(tmp_path / "x"), links=True)] == ["REFUSED"]
 
 
 @settings(max_examples=300, deadline=None)
@@ -183,11 +216,11 @@ def test_masks_agree_with_the_plain_loops(name):
 
 def test_table_functions(spark):
     from holdfast.operators import sql
-    from holdfast.sources.archives import write_archive
+    from holdfast.sources.containers import write_container
 
     sql.register(spark)
-    data = write_archive("tar", iter([({"name": b"a"}, b"1"), ({"name": b"b"}, b"22")]))
+    data = write_container("tar", iter([({"name": b"a"}, b"1"), ({"name": b"b"}, b"22")]))
     spark.createDataFrame([("p", bytearray(data))], "path string, content binary").createOrReplaceTempView("files")
-    rows = spark.sql("SELECT m.idx, m.size FROM files, LATERAL archive_members(path, content) m ORDER BY 1").collect()
+    rows = spark.sql("SELECT m.idx, m.size FROM files, LATERAL container_members(path, content) m ORDER BY 1").collect()
     assert [tuple(r) for r in rows] == [(0, 1), (1, 2)]
-    assert bytes(spark.sql("SELECT r.content FROM files, LATERAL archive_read(content, 1) r").first().content) == b"22"
+    assert bytes(spark.sql("SELECT r.content FROM files, LATERAL container_read(content, 1) r").first().content) == b"22"
