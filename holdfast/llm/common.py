@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import re
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -45,6 +48,18 @@ def tidy() -> None:
         pass
 
 
+#: Rows of an Arrow batch on its way to Python, where the session leaves Spark's default: batches of long texts stay small.
+BATCH_ROWS, BATCH_SETTING, BATCH_DEFAULT = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, its session set to batches of BATCH_ROWS rows.  JVM and Python each hold a batch or two a task."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return df
+
+
 def map_rows(df: DataFrame, f: Callable[[Iterator[dict]], Iterator[dict]], schema: str, rows: int = 2000) -> DataFrame:
     """mapInArrow over dictionaries of columns.  f gets ``{name: list}`` batches, yields such batches."""
     from pyspark.sql.types import StructType
@@ -62,16 +77,26 @@ def map_rows(df: DataFrame, f: Callable[[Iterator[dict]], Iterator[dict]], schem
             yield pa.RecordBatch.from_pydict(out, schema=target)
         tidy()
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints.  One of this machine will do only where all tasks run in it."""
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="holdfast-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of the session (its own folder only where none is set)."""
+    """A reliable checkpoint in the session's shared folder."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="holdfast-")
-        )
+    shared_folder(spark)
     out = df.checkpoint(eager=True)
     # Shuffle files of finished steps go when the driver's JVM collects what referred to them; many small steps would pile up.
     spark.sparkContext._jvm.System.gc()

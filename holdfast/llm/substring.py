@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_table, pieces, space_words, text_bytes
+from .common import flat_table, pieces, small_batches, space_words, text_bytes
 
 WIDTH_BITS, DEPTH = 22, 2
 LOAD = 1 << 20
@@ -226,7 +226,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, chunk_bytes: int
     chunks = pieces(size, chunk_bytes)
     bits = max(0, (pieces(size // 6, load) - 1).bit_length())
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    by_chunk = dealt.groupBy("chunk")
+    by_chunk = small_batches(dealt).groupBy("chunk")
 
     def sketch(t: pa.Table) -> pa.Table:
         return flat_table(sketch_chunk(t["chunk"][0].as_py(), Chunk(t["text"].to_pylist(), window, 1), bits), SKETCH)
