@@ -5,8 +5,9 @@ pieces are sequences of their own.  The others are placed, longest first, where
 open bins per residual gap becomes smallest; an exactly filled bin leaves the count, a new bin joins it.
 Ties go to the smallest gap left, then to the bin opened first.
 
-Places are chosen within groups: pieces are dealt by a hash of their document into groups of about GROUP pieces, whose
-number follows the input.  A group's waste is a few part-filled sequences against the thousands that it fills.
+Places are chosen within groups: pieces are dealt by a hash of their document into groups of about GROUP documents, whose
+number follows the input.  A group's waste is a few part-filled sequences against the thousands that it fills.  A group's pieces
+are sorted by Spark and streamed, so that it is never held by a Python worker.
 Where ids go along, they are kept as little-endian unsigned 32-bit numbers.
 
 Null texts count as empty: one piece, END_ID alone.  Repeated rows are packed as often as they stand (equal rows are
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, pieces, tidy
+from .common import map_rows, pieces, small_batches, tidy
 from .word_bpe import CACHE, WordTokenizer
 
 CAPACITY, END_ID, GROUP = 4096, 1, 1 << 16
@@ -55,20 +56,24 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_id
     return map_rows(docs, run, PIECES + (", ids binary" if with_ids else ""), rows=512)
 
 
-def pack_sizes(sizes, capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """(bin, offset) of each size, in the order given, by the sum-of-squares rule."""
-    counts = np.zeros(capacity + 1, np.int64)  # open bins by gap; gap 0 stays 0
-    bins: dict[int, deque] = defaultdict(deque)
-    out, opened = [], 0
-    for s in sizes:
-        s = int(s)
+class Packer:
+    """Open bins of one group, by the gap that they still have."""
+
+    def __init__(self, capacity: int = CAPACITY):
+        self.capacity, self.opened = capacity, 0
+        self.counts = np.zeros(capacity + 1, np.int64)  # gap 0 stays 0
+        self.bins: dict[int, deque] = defaultdict(deque)
+        self.gaps = np.arange(capacity + 1)
+
+    def place(self, s: int) -> tuple[int, int]:
+        """(bin, offset) of the next piece."""
+        capacity, counts = self.capacity, self.counts
         if s >= capacity:
-            out.append((opened, 0))
-            opened += 1
-            continue
+            self.opened += 1
+            return self.opened - 1, 0
         # Moving a bin from gap g to g - s changes the sum of squares by 2 (N(g - s) - N(g)) + 2; closing it by -2 N(g) + 1;
         # opening one by 2 N(capacity - s) + 1.
-        rest = np.arange(capacity - s + 1)
+        rest = self.gaps[: capacity - s + 1]
         change = 2 * (counts[rest] - counts[rest + s]) + 2
         change[0] = 1 - 2 * counts[s]
         change[counts[s:] == 0] = np.iinfo(np.int64).max
@@ -76,14 +81,19 @@ def pack_sizes(sizes, capacity: int = CAPACITY) -> list[tuple[int, int]]:
         if change[best] <= 2 * counts[capacity - s] + 1:
             gap = best + s
             counts[gap] -= 1
-            b = bins[gap].popleft()
+            b = self.bins[gap].popleft()
         else:
-            gap, b, opened = capacity, opened, opened + 1
-        out.append((b, capacity - gap))
+            gap, b, self.opened = capacity, self.opened, self.opened + 1
         if gap > s:
             counts[gap - s] += 1
-            bins[gap - s].append(b)
-    return out
+            self.bins[gap - s].append(b)
+        return b, capacity - gap
+
+
+def pack_sizes(sizes, capacity: int = CAPACITY) -> list[tuple[int, int]]:
+    """(bin, offset) of each size, in the order given, by the sum-of-squares rule."""
+    packer = Packer(capacity)
+    return [packer.place(int(s)) for s in sizes]
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int = GROUP, with_ids: bool = True, remember: int = CACHE) -> DataFrame:
@@ -93,16 +103,23 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int =
     done = tokenized(docs, tokenizer, capacity, with_ids, remember).withColumn(
         "group", F.pmod(F.xxhash64("doc_id", "length", "ids_crc32"), F.lit(groups))
     )
-    # Full pieces take part without travelling far: they are placed as the rest, but cost no search.
+    # Spark sorts, and spills if it must; a task sees a group's pieces go by and keeps its bins alone.
+    dealt = done.repartition("group").sortWithinPartitions("group", F.desc("length"), "doc_id", "piece", "ids_crc32")
     schema = PLACED + (", ids binary" if with_ids else "")
+    names = [x.split()[0] for x in schema.split(",")]
 
-    def place(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
-        g = t["group"][0].as_py()
-        got = pack_sizes(t["length"].to_pylist(), capacity)
-        t = t.append_column("sequence_id", pa.array([b * groups + g for b, _ in got], pa.int64()))
-        t = t.append_column("offset", pa.array([o for _, o in got], pa.int64()))
+    def place(batches):
+        now = packer = None
+        for b in batches:
+            where = []
+            for g, s in zip(b.column("group").to_pylist(), b.column("length").to_pylist()):
+                if g != now:
+                    now, packer = g, Packer(capacity)
+                k, offset = packer.place(s)
+                where.append((k * groups + g, offset))
+            columns = {n: b.column(n) for n in names if n in b.schema.names}
+            columns["sequence_id"], columns["offset"] = (pa.array([x[i] for x in where], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
         tidy()
-        return t.select([x.split()[0] for x in schema.split(",")])
 
-    return done.groupBy("group").applyInArrow(place, schema)
+    return small_batches(dealt).mapInArrow(place, schema)

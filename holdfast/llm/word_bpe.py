@@ -1,8 +1,9 @@
 """Byte-pair encoding of many words at once, for tokenizers whose words are closed by an end mark.
 
 The tokenizers library stays the authority: it encodes every word that is not one run of letters, and a share of the
-others each time, which must agree.  The runs of letters, nearly all new words of a corpus, are merged in arrays:
-in each round every word takes its leftmost pair of lowest rank, as the library does one word at a time.
+others each time; if it disagrees with any, a worker leaves the rest of its words to the library too.  The runs of letters,
+nearly all new words of a corpus, are merged in arrays: in each round every word takes its leftmost pair of lowest rank, as
+the library does one word at a time.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ import os
 import sys
 import types
 import unicodedata
+import warnings
 
 import numpy as np
 
 NONE = np.int64(1) << 40
 CHECK_EVERY = 128
-#: Words remembered, at about 200 bytes each.
-CACHE = 1_000_000
+#: Words remembered, at about 200 bytes each, and the bytes that they may have together.
+CACHE, CACHE_BYTES = 1_000_000, 64 << 20
 #: Longer runs of letters go to the library, so that no matrix is wide for one word's sake.
 LONGEST = 48
 
@@ -113,12 +115,23 @@ class BatchBpe:
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
+def letters(word: bytes) -> bytes:
+    """The word as the tokenizer's normalizer leaves it, if that is one run of letters, else nothing."""
+    if word.isalpha():  # of ASCII letters
+        return word.lower()
+    text = "" if word.isascii() else word.decode("utf-8", "replace")
+    if not text or "\u03a3" in text:  # Python lowers a final sigma by its place, the library letter by letter
+        return b""
+    text = unicodedata.normalize("NFC", text).lower()
+    return text.encode() if text.isalpha() else b""
+
+
 class WordTokenizer:
     """A tokenizer of which white space always ends a token, applied word by word and remembered.
 
     White space here is space and \\t \\n \\v \\f \\r: the tokenizer's own patterns never join what stands on both
     sides of it, so the ids of a text are its words' ids in order.  It ignores the case of ASCII letters, except in its
-    special strings, and cuts marks off behind letters; so does this class, for fewer words to merge.
+    special strings, and cuts ASCII marks off behind what it leaves as a run of letters; so does this class, for fewer words to merge.
     """
 
     def __init__(self, path: str, remember: int = CACHE):
@@ -126,7 +139,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.batch, self.known = Tokenizer.from_file(path), BatchBpe(path), {}
-        self.remember = remember
+        self.remember, self.size, self.merging = remember, 0, self.batch.usable
 
     @classmethod
     def shared(cls, path: str, remember: int = CACHE) -> WordTokenizer:
@@ -137,41 +150,44 @@ class WordTokenizer:
         kept.__dict__[path].remember = remember
         return kept.__dict__[path]
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.size = 0
+
     def _by_library(self, parts: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
     def _learn(self, new) -> None:
-        runs, names, rest, ended = [], [], [], {}
+        runs, names, rest, ended, known = [], [], [], {}, self.known
         for p in new:
-            if p.isalpha():  # of ASCII letters
-                run = p.lower()
-            else:
-                stem = p.rstrip(MARKS)
-                if len(stem) < len(p) and stem and b"<|" not in p and (stem.isalpha() or (not stem.isascii() and stem.decode("utf-8", "replace").isalpha())):
-                    ended[p] = stem, p[len(stem) :]
-                    continue
-                # Python lowers a final sigma by its place, the library letter by letter.
-                text = "" if p.isascii() or "Σ" in p.decode("utf-8", "replace") else unicodedata.normalize("NFC", p.decode("utf-8", "replace")).lower()
-                run = text.encode() if text.isalpha() and "Σ" not in text else b""
-            if run and len(run) <= LONGEST and self.batch.usable:
+            run = letters(p) if self.merging else b""
+            if run and len(run) <= LONGEST:
                 runs.append(run)
                 names.append(p)
+                continue
+            stem = p.rstrip(MARKS)
+            if self.merging and 0 < len(stem) < len(p) and b"<|" not in p and letters(stem):
+                ended[p] = stem, p[len(stem) :]
             else:
                 rest.append(p)
-        known = self.known
         if runs:
-            ids = self.batch.encode(runs)
-            if ids[::CHECK_EVERY] != self._by_library(names[::CHECK_EVERY]):
-                raise ValueError("the tokenizers library encodes a word in another way")
-            known.update(zip(names, ids))
+            known.update(zip(names, self.batch.encode(runs)))
         if rest:
             known.update(zip(rest, self._by_library(rest)))
         if ended:
             if parts := {x for both in ended.values() for x in both}.difference(known):
                 self._learn(parts)
+            if not self.merging:  # a part has shown that the library decides
+                return self._learn(new)
             for p, (stem, marks) in ended.items():
                 known[p] = known[stem] + known[marks]
+        sample = [*names[::CHECK_EVERY], *list(ended)[::CHECK_EVERY]]
+        if sample and [known[p] for p in sample] != self._by_library(sample):
+            warnings.warn("the tokenizers library encodes a word in another way: from here on it encodes all", stacklevel=2)
+            self.merging = False
+            self.forget()
+            self._learn(new)
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         words = []
@@ -179,7 +195,11 @@ class WordTokenizer:
             data = (t or "").encode("utf-8", "surrogatepass")
             words.append(data.split() if b"<|" in data else data.lower().split())
         known = self.known
-        if len(known) > self.remember:
-            known.clear()
-        self._learn(set().union(*words).difference(known))
+        if len(known) > self.remember or self.size > CACHE_BYTES:
+            self.forget()
+        new = set().union(*words).difference(known)
+        self.size += sum(map(len, new))
+        self._learn(new)
+        if not self.merging:  # what was remembered may have been forgotten in between
+            self._learn(set().union(*words).difference(known))
         return [np.frombuffer(b"".join(map(known.__getitem__, x)), "<u4") for x in words]
