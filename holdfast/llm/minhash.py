@@ -7,15 +7,14 @@ A document's set holds the distinct ``shingle``-word shingles of its text (the w
    one (optimal densification).  BANDS buckets of ROWS bins each give candidates: a pair at similarity 0.8
    misses all of them with probability (1 - 0.8^5)^40, about 1e-7.
 3. In each bucket the member that meets most others in all buckets is the centre of a star: candidate edges
-   are bounded by members.  Edges pass a bound on sizes and on signatures (five standard deviations below the
-   threshold), then the exact test on full sets.
+   are bounded by members.  Edges pass a bound on sizes, then the exact test on full sets.
 4. What stars can't say is settled exactly.  In buckets of three or more that still hold several components, members
    outside the bucket's largest component meet each other, and once, not bucket by bucket, all members of that
    component.  They meet in blocks of about BLOCK rows a side, with their full sets; only links leave a block.
 5. Components come from alternating large and small stars over the verified links, each round checkpointed.
 
 Copies never multiply: equal sets meet in a partial minimum, groups of near copies in their stars.  Links between
-different sets are lost only by step 2's probability and that of a signature five deviations off.
+different sets are lost only by step 2's probability.
 
 Null and empty texts, and those without words, have no set and link with nothing.  A row of null id has a null
 component and is not kept.  Repeated ids: each row takes the class of its own set.  Empty tables give empty
@@ -24,8 +23,6 @@ results; other columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import flat_table, map_rows, settled
 
 BINS, BANDS, ROWS = 200, 40, 5
-BLOCK, BROADCAST_ROWS, CACHE = 512, 1 << 21, 200_000
+BLOCK, BROADCAST_ROWS, CACHE, CACHE_BYTES = 512, 1 << 21, 200_000, 16 << 20
 SETS = "doc_id bigint, n bigint, h1 bigint, h2 bigint, signature binary"
 _rng = np.random.default_rng(977)
 #: For each bin a random order of all bins: where it borrows from when it is empty.
@@ -47,16 +44,18 @@ class Shingler:
     """Sorted distinct 64-bit hashes of a text's shingles."""
 
     def __init__(self, shingle: int):
-        self.shingle, self.known = shingle, {}
+        self.shingle, self.known, self.size = shingle, {}, 0
 
     def __call__(self, text: str | None) -> np.ndarray:
         words, known = (text or "").encode("utf-8", "surrogatepass").lower().split(), self.known
         if not words:
             return np.zeros(0, np.uint64)
-        if len(known) > CACHE:
+        if len(known) > CACHE or self.size > CACHE_BYTES:
             known.clear()
+            self.size = 0
         for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
+            self.size += len(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         k = min(self.shingle, len(h))
         with np.errstate(over="ignore"):
@@ -111,27 +110,11 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), run, SETS)
 
 
-def least_agreement(percent: int) -> int:
-    """Bins that a pair at the threshold agrees on, less five standard deviations."""
-    p = percent / 100
-    return math.floor(BINS * p - 5 * math.sqrt(BINS * p * (1 - p)))
-
-
-def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and signatures allow the threshold."""
-    sig = reps.select("doc_id", "n", "signature")
-    both = pairs.join(sig.toDF("a", "na", "sa"), "a").join(sig.toDF("b", "nb", "sb"), "b")
-    both = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b", "sa", "sb")
-    least = least_agreement(percent)
-
-    def run(batches):
-        for b in batches:
-            keep = [
-                int((np.frombuffer(x, "<u2") == np.frombuffer(y, "<u2")).sum()) >= least for x, y in zip(b["sa"], b["sb"])
-            ]
-            yield {k: [x for x, ok in zip(b[k], keep) if ok] for k in "ab"}
-
-    return map_rows(both, run, "a bigint, b bigint")
+def of_like_size(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes allow the threshold."""
+    n = reps.select("doc_id", "n")
+    both = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
+    return both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -223,23 +206,28 @@ def remaining(rows: DataFrame, found: DataFrame, docs: DataFrame, shingle: int,
     each = blocks(outside, outside).withColumn("kind", F.lit(0)).unionByName(blocks(meets, whole).withColumn("kind", F.lit(1)))
     each = settled(each)
     full = full_sets(docs, each.select("doc_id"), shingle)
-    least = least_agreement(percent)
 
     def meet(t: pa.Table) -> pa.Table:
         side, ids, comp = (t[c].to_numpy() for c in ("side", "doc_id", "component"))
         sets = [np.frombuffer(x, "<u8") for x in t["s"].to_pylist()]
         n = np.array([len(x) for x in sets])
-        sig = np.array([signature(x) for x in sets]).astype(np.uint16)
         both_ways = t["kind"][0].as_py() == 0
         out = {"a": [], "b": []}
-        right = np.nonzero(side == 1)[0]
-        for x in np.nonzero(side == 0)[0].tolist():
-            y = right[comp[right] != comp[x]]
-            if both_ways:
-                y = y[ids[y] > ids[x]]
-            y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
-            for z in y[(sig[y] == sig[x]).sum(axis=1) >= least].tolist():
-                if similar(sets[x], sets[z], percent):
+        left, right = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
+        if len(left) and len(right):
+            # Shingles by number: one left set is marked, and each right set counts its marked ones.
+            values, flat = np.unique(np.concatenate([sets[i] for i in right]), return_inverse=True)
+            starts, marked = np.cumsum(n[right]) - n[right], np.zeros(len(values), np.int32)
+            for x in left.tolist():
+                at = np.minimum(np.searchsorted(values, sets[x]), len(values) - 1)
+                at = at[values[at] == sets[x]]
+                marked[at] = 1
+                shared = np.add.reduceat(marked[flat], starts)
+                marked[at] = 0
+                linked = (comp[right] != comp[x]) & (100 * shared >= percent * (n[x] + n[right] - shared))
+                if both_ways:
+                    linked &= ids[right] > ids[x]
+                for z in right[linked].tolist():
                     out["a"].append(min(ids[x], ids[z]))
                     out["b"].append(max(ids[x], ids[z]))
         return flat_table(out, "a bigint, b bigint")
@@ -265,7 +253,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     centres = settled(centres.select("key", F.negative("top.c").alias("centre")))
     stars = rows.join(centres, "key").where("doc_id != centre")
     stars = stars.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-    links = settled(verified(settled(agreeing(stars, reps, percent)), docs, shingle, percent))
+    links = settled(verified(settled(of_like_size(stars, reps, percent)), docs, shingle, percent))
     found = components(links)
     more = settled(remaining(rows, found, docs, shingle, percent))
     if not more.isEmpty():
