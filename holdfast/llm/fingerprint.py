@@ -2,17 +2,18 @@
 
 The lexicon holds the terms whose document frequency, over all documents, lies within a band of shares of them
 (LEAST_SHARE to MOST_SHARE; idf between log(1/MOST_SHARE) and log(1/LEAST_SHARE)).  It has at most
-(mean distinct terms a document) / LEAST_SHARE terms whatever the corpus, which bounds its broadcast.  A text keeps its
-distinct terms in the band, sorted; SUBSETS random sub-lexicons at each rate of RATES select from them, and each
-selection is hashed to 16 bits (0: nothing selected).  A text with fewer than MIN_TERMS terms in the band keeps
-all its terms.
+(mean distinct terms a document) / LEAST_SHARE terms whatever the corpus, which bounds its broadcast; the number is checked.
+A text keeps its distinct terms in the band, sorted (one without any such term keeps all its terms).  Its fingerprint is the
+64-bit hash of that whole list, then 32-bit hashes of what each of SUBSETS random sub-lexicons at each rate of RATES selects from it
+(0: nothing).  Sub-lexicons that keep much of the lexicon only agree for texts that are nearly equal; the sparse ones, which select
+few terms of a text, still agree for texts that share half of theirs.
 
-Likeness of two fingerprints: from the sparsest rate at which ENOUGH sub-lexicons select something from either (else
-the fullest) on to sparser ones, the share of equal hashes among those that select.  At such rates a
-sub-lexicon selects about one term, so the share estimates the resemblance of the term sets.  Equal fingerprints: 1.
+Likeness of two fingerprints: at each rate the share of equal hashes among the sub-lexicons that select something from
+either text, with two added to their number so that few selections count for less; the greatest over the
+rates.  Equal fingerprints: 1.
 
-The next document, ascending id, comes from range buckets with explicit bounds: rows are sorted within a bucket, and
-the few bucket edges are paired apart.  Texts are shuffled once.
+The next document, ascending id, comes from range buckets with explicit bounds: rows are sorted within a bucket (by Spark, which
+spills) and streamed, and the few bucket edges are paired apart.  Texts are shuffled once.
 
 Null texts are empty; a text without terms has the fingerprint of zeros; ties of ids are ordered by text, null first; of
 one row alone the next is itself; empty tables give empty results; other columns are ignored.
@@ -29,11 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FLAT, alnum_words, map_rows, pieces, settled, text_bytes, tidy
+from .common import FLAT, alnum_words, map_rows, pieces, settled, small_batches, text_bytes, tidy
 
-LEAST_SHARE, MOST_SHARE, MIN_TERMS = 0.0005, 0.1, 4
-RATES, SUBSETS, ENOUGH = (1 / 4, 1 / 16, 1 / 64, 1 / 256), 32, 12
-BUCKET_BYTES, CACHE = 4 << 20, 200_000
+LEAST_SHARE, MOST_SHARE, MAX_LEXICON = 0.0005, 0.1, 1 << 24
+RATES, SUBSETS = (1 / 4, 1 / 16, 1 / 64, 1 / 256), 32
+#: Beyond so many buckets they grow instead.
+MAX_BUCKETS = 20_000
+BUCKET_BYTES, CACHE, CACHE_BYTES = 4 << 20, 200_000, 16 << 20
 SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, len(RATES) * SUBSETS, dtype=np.uint64) | np.uint64(1)
 LIMITS = np.repeat(np.array([int(r * (1 << 32)) for r in RATES], np.uint64), SUBSETS)
 RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -49,17 +52,24 @@ def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHAR
 
     def run(batches):
         n: dict[bytes, int] = defaultdict(int)
+        size = 0
         for b in batches:
             for text in b["text"]:
                 for w in set(alnum_words(text)):
+                    if w not in n:
+                        size += len(w)
                     n[w] += 1
-            if len(n) > 2_000_000:
+            if len(n) > CACHE or size > CACHE_BYTES:
                 yield from _rows(n)
                 n.clear()
+                size = 0
         yield from _rows(n)
 
     df = map_rows(docs.select("text"), run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    band = df.where((F.col("n") >= least * total) & (F.col("n") <= most * total)).select("term").toPandas()
+    chosen = settled(df.where((F.col("n") >= least * total) & (F.col("n") <= most * total)).select("term"))
+    if (size := chosen.count()) > MAX_LEXICON:
+        raise ValueError(f"{size} terms in the band; a greater least share keeps fewer")
+    band = chosen.toPandas()
     return np.sort(band.term.to_numpy(np.int64).view(np.uint64))
 
 
@@ -72,46 +82,49 @@ def _rows(n: dict):
 
 class Fingerprinter:
     def __init__(self, band: np.ndarray):
-        self.band, self.known = band, {}
+        self.band, self.known, self.size = band, {}, 0
 
     def terms(self, text: str) -> np.ndarray:
         """Sorted hashes of the terms that a text keeps."""
         words, known = set(alnum_words(text)), self.known
-        if len(known) > CACHE:
+        if len(known) > CACHE or self.size > CACHE_BYTES:
             known.clear()
+            self.size = 0
         for w in words.difference(known):
             known[w] = term(w)
+            self.size += len(w)
         h = np.sort(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
         if len(self.band) and len(h):
             at = np.minimum(np.searchsorted(self.band, h), len(self.band) - 1)
             kept = h[self.band[at] == h]
-            if len(kept) >= MIN_TERMS:
+            if len(kept):
                 return kept
         return h
 
     def __call__(self, text: str) -> np.ndarray:
-        h, out = self.terms(text), np.zeros(len(SEEDS), np.uint16)
+        h, out = self.terms(text), np.zeros(len(SEEDS) + 2, np.uint32)
         if not len(h):
             return out
+        whole = xxhash.xxh3_64_intdigest(h.tobytes())
+        out[:2] = whole >> 32 or 1, whole & 0xFFFFFFFF or 1
         with np.errstate(over="ignore"):
             x = (h[None, :] ^ (h[None, :] >> np.uint64(31))) * SEEDS[:, None]
         chosen = (x >> np.uint64(32)) < LIMITS[:, None]
         for j in np.nonzero(chosen.any(axis=1))[0].tolist():
-            out[j] = xxhash.xxh32_intdigest(h[chosen[j]].tobytes()) % 65535 + 1
+            out[j + 2] = xxhash.xxh3_64_intdigest(h[chosen[j]].tobytes()) >> 32 or 1
         return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     if (a == b).all():
         return 1.0
-    used = ((a > 0) | (b > 0)).reshape(len(RATES), SUBSETS).sum(axis=1)
-    equal = ((a == b) & (a > 0)).reshape(len(RATES), SUBSETS).sum(axis=1)
-    rate = max(np.nonzero(used >= ENOUGH)[0], default=int(used.argmax()))
-    return float(equal[rate:].sum() / used[rate:].sum())
+    a, b = (x[2:].reshape(len(RATES), SUBSETS) for x in (a, b))
+    used, equal = ((a > 0) | (b > 0)).sum(axis=1), ((a == b) & (a > 0)).sum(axis=1)
+    return float((equal / (used + 2)).max())
 
 
 def hexed(f: np.ndarray) -> str:
-    return f.astype(">u2").tobytes().hex()
+    return f.astype(">u4").tobytes().hex()
 
 
 def edited(text: str, following: str) -> str:
@@ -121,7 +134,7 @@ def edited(text: str, following: str) -> str:
 
 def bucketed(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, text, bucket: ascending ranges of ids, of about as many bytes each.  Null ids are in the first."""
-    n = pieces(text_bytes(docs)[1], bucket_bytes)
+    n = min(MAX_BUCKETS, pieces(text_bytes(docs)[1], bucket_bytes))
     shares = [i / n for i in range(1, n)]
     bounds = np.unique(np.array((docs.agg(F.percentile_approx("doc_id", shares, min(100 * n, 100_000))).first()[0] if shares else None) or [], np.int64))
     schema = "doc_id bigint, text string, bucket int"
@@ -132,7 +145,7 @@ def bucketed(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
             at = np.searchsorted(bounds, ids, "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(at)], names=["doc_id", "text", "bucket"])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def fingerprints(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
