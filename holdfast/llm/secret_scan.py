@@ -1,17 +1,16 @@
-"""Secrets in text: fixed patterns, and random-looking strings under false-discovery control.
+"""Secrets in text: fixed patterns, and random strings told by a battery of randomness tests under false-discovery control.
 
-A candidate is a maximal run of ``[A-Za-z0-9+/_-]`` of MIN_LENGTH or more characters.  Its encoding
-is the smallest listed alphabet that holds it.  Two questions are asked of it:
+A candidate is a maximal run of ``[A-Za-z0-9+/_-]`` of MIN_LENGTH or more characters.  Its encoding is the smallest
+listed alphabet that holds it.  The null is that it is a uniform draw from that alphabet, as keys and tokens are.  Four tests
+ask for departures that text has: chi-squared uniformity over the alphabet's symbols, the same over classes of them (digits,
+small and capital letters, others), Wald-Wolfowitz runs about the median symbol, and lag-one serial correlation.  Their
+least p-value times their number (Bonferroni) is the candidate's.
 
-* Is it ordinary text?  The likelihood ratio of a uniform draw from its alphabet against the corpus'
-  own character-bigram model has mean one at most when it is text, so its inverse is a valid
-  p-value, and one that sharpens with length.  Benjamini-Hochberg runs within strata of
-  length, over a histogram of log p-values of *all* candidates (bins round p up: still valid).
-* Is it random?  Chi-squared uniformity over the alphabet, Wald-Wolfowitz runs about the median symbol
-  and lag-one serial correlation are combined with Bonferroni's factor; a small p-value says no.
-
-A span is reported as ``random`` if the first null is rejected and the second is not.  Base spans
-stay whatever the method says.
+Which candidates are dismissed as ordinary is decided over all of the corpus, within strata of length, since the tests say
+more of longer strings: Benjamini-Hochberg with Storey's estimate of the share of random strings, so that of the
+strings dismissed at most a share q is random in expectation.  Counts of p-values by stratum and bin (at most
+STRATA x BINS numbers; bins round p up) are all that the driver sees.  The others are reported as ``random``.  Base spans stay
+whatever the method says.
 
 Nulls and empty texts have no spans.  Rows are judged one by one, so repeated ids or rows each give a
 row; an empty table gives an empty result; other columns are ignored.
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import map_rows, settled
+from .common import map_rows, settled, small_batches
 
 #: Fixed patterns.  They run over UTF-8 bytes, so ignoring case concerns ASCII letters alone.
 ASSIGN = re.compile(
@@ -56,8 +55,14 @@ ALPHABETS = {
     "mixed": b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 SETS = {k: frozenset(v) for k, v in ALPHABETS.items()}
-BROADCAST_ROWS = 1 << 20
-BINS, STRATA = 400, 8  # log p-values in steps of a quarter; lengths by powers of two
+#: Spans, some 40 bytes each, are broadcast up to this number.
+BROADCAST_SPANS = 1 << 20
+BINS, STRATA = 200, 8  # log p-values in steps of a quarter; lengths by powers of two
+#: Bins of p-values above e^-0.75, which are nearly all of random strings.
+UPPER, LAMBDA = 3, math.exp(-0.75)
+#: Each alphabet's symbols as numbers, and their classes.
+CODES = {k: np.array([v.find(bytes([b])) for b in range(256)]) for k, v in ALPHABETS.items()}
+CLASSES = np.array([0 if 48 <= b <= 57 else 1 if 97 <= b <= 122 else 2 if 65 <= b <= 90 else 3 for b in range(256)])
 
 
 def encoding(token: bytes) -> str:
@@ -69,16 +74,24 @@ def _normal_p(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def randomness_p(token: bytes) -> float:
-    """Bonferroni-combined p-value of the three tests that the token is a uniform draw from its alphabet."""
-    alphabet = ALPHABETS[encoding(token)]
-    k, n = len(alphabet), len(token)
-    x = np.array([alphabet.index(b) for b in token], dtype=float)
-    counts = np.bincount(x.astype(int), minlength=k)
-    chi = float(((counts - n / k) ** 2).sum() * k / n)
-    # Wilson-Hilferty's cube root, upper tail: an overly uneven use of the alphabet.
+def _uneven_p(counts: np.ndarray, shares: np.ndarray) -> float:
+    """Upper tail of chi-squared for counts more uneven than their shares, by Wilson and Hilferty's cube root."""
+    n, k = counts.sum(), len(counts)
+    if k < 2:
+        return 1.0
+    chi = float(((counts - n * shares) ** 2 / (n * shares)).sum())
     z = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
-    p_chi = 0.5 * math.erfc(z / math.sqrt(2))
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def battery(token: bytes) -> list[float]:
+    """p-values of the four tests that the token is a uniform draw from its alphabet."""
+    name, raw = encoding(token), np.frombuffer(token, np.uint8)
+    alphabet = np.frombuffer(ALPHABETS[name], np.uint8)
+    k, n, x = len(alphabet), len(token), CODES[name][raw]
+    symbols = _uneven_p(np.bincount(x, minlength=k), np.full(k, 1 / k))
+    shares = np.bincount(CLASSES[alphabet], minlength=4) / k
+    classes = _uneven_p(np.bincount(CLASSES[raw], minlength=4)[shares > 0], shares[shares > 0])
     high = x >= k / 2
     a, b = int(high.sum()), int(n - high.sum())
     if a and b:
@@ -87,11 +100,17 @@ def randomness_p(token: bytes) -> float:
         runs = 1 + int((high[1:] != high[:-1]).sum())
         p_runs = _normal_p((runs - mean) / math.sqrt(var)) if var > 0 else 1.0
     else:
-        p_runs = 2.0 ** (1 - n)
+        p_runs = 2.0 ** (1 - min(n, 1000))
     d = x - x.mean()
     s = float((d * d).sum())
     p_serial = _normal_p(float((d[1:] * d[:-1]).sum()) / s * math.sqrt(n)) if s else 0.0
-    return min(1.0, 3 * min(p_chi, p_runs, p_serial))
+    return [symbols, classes, p_runs, p_serial]
+
+
+def randomness_p(token: bytes) -> float:
+    """The battery's p-values combined."""
+    p = battery(token)
+    return min(1.0, len(p) * min(p))
 
 
 def base_spans(data: bytes) -> list[tuple[int, int, int]]:
@@ -118,90 +137,43 @@ def code_points(data: bytes, spans: list[tuple]) -> list[tuple]:
 
 
 def _scan(batches):
-    pairs = np.zeros(1 << 14, np.int64)
     for b in batches:
-        out = {"kind": [], "doc_id": [], "spans": [], "candidates": [], "pairs": []}
-        data = [(t or "").encode("utf-8", "surrogatepass") for t in b["text"]]
-        # Bigrams of ASCII characters over the whole batch; other bytes and joints between rows count as one symbol.
-        flat = np.frombuffer(b"\x00".join(data), np.uint8)
-        flat = np.where(flat < 128, flat, 0).astype(np.int16)
-        if len(flat) > 1:
-            pairs += np.bincount((flat[:-1] << 7) | flat[1:], minlength=1 << 14)
-        for i, d in zip(b["doc_id"], data):
+        out = {"doc_id": b["doc_id"], "spans": [], "candidates": []}
+        for t in b["text"]:
+            d = (t or "").encode("utf-8", "surrogatepass")
             base = base_spans(d)
             runs = [(m.start(), m.end()) for m in RUN.finditer(d)]
             both = code_points(d, base + [(s, e, -1) for s, e in runs])
-            out["kind"].append(0)
-            out["doc_id"].append(i)
-            out["spans"].append([{"kind": k, "start": s, "end": e} for s, e, k in both[: len(base)]])
+            out["spans"].append([{"start": s, "end": e, "kind": k} for s, e, k in both[: len(base)]])
             out["candidates"].append(
-                [
-                    {"start": s, "end": e, "token": d[x:y].decode()}
-                    for (s, e, _), (x, y) in zip(both[len(base) :], runs)
-                ]
+                [{"start": s, "end": e, "stratum": stratum(y - x), "bin": bin_of(randomness_p(d[x:y]))} for (s, e, _), (x, y) in zip(both[len(base) :], runs)]
             )
-            out["pairs"].append(None)
         yield out
-    yield {"kind": [1], "doc_id": [None], "spans": [None], "candidates": [None], "pairs": [pairs.tobytes()]}
-
-
-SCANNED = (
-    "kind int, doc_id bigint, spans array<struct<kind:int,start:bigint,end:bigint>>, "
-    "candidates array<struct<start:bigint,end:bigint,token:string>>, pairs binary"
-)
-
 
-def _sum_pairs(scanned: DataFrame) -> np.ndarray:
-    """Bigram counts of the corpus: 2^14 sums, whatever its size.  Partial sums meet by group first."""
 
-    def partial(batches):
-        total = np.zeros(1 << 14, np.int64)
-        for b in batches:
-            for x in b["pairs"]:
-                total += np.frombuffer(x, np.int64)
-        (at,) = np.nonzero(total)
-        yield {"pair": at.tolist(), "n": total[at].tolist()}
-
-    rows = map_rows(scanned.where("kind = 1").select("pairs"), partial, "pair int, n bigint")
-    out = np.zeros(1 << 14)
-    for r in rows.groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        out[r.pair] = r.n
-    return out
-
-
-def text_model(pairs: np.ndarray) -> np.ndarray:
-    """log P(next | character), add-one smoothed, 128 x 128."""
-    c = pairs.reshape(128, 128) + 1.0
-    return np.log(c / c.sum(axis=1, keepdims=True))
-
-
-def text_log_p(token: bytes, model: np.ndarray) -> float:
-    """Log p-value, 0 at most, of the null that the token is ordinary text."""
-    x = np.frombuffer(token, np.uint8).astype(int)
-    text = float(model[x[:-1], x[1:]].sum())
-    k = len(ALPHABETS[encoding(token)])
-    # The choice of the alphabet costs its number.
-    return min(0.0, text + (len(x) - 1) * math.log(k) + math.log(len(ALPHABETS)))
+SPANS = "array<struct<start:bigint,end:bigint,kind:int>>"
+SCANNED = f"doc_id bigint, spans {SPANS}, candidates array<struct<start:bigint,end:bigint,stratum:int,bin:int>>"
 
 
 def stratum(length: int) -> int:
-    return min(STRATA - 1, max(0, int(math.log2(length)) - 4))
+    return min(STRATA - 1, max(0, length.bit_length() - 5))
 
 
-def bin_of(log_p: float) -> int:
-    """The bin's upper edge is -bin/4: p-values are rounded up."""
-    return min(BINS - 1, int(-log_p * 4))
+def bin_of(p: float) -> int:
+    """The bin's upper edge is e^(-bin/4): p-values are rounded up."""
+    return min(BINS - 1, int(-4 * math.log(p))) if p > 0 else BINS - 1
 
 
-def fdr_floors(histogram: dict[tuple[int, int], int], q: float) -> list[int]:
-    """The lowest bin that Benjamini-Hochberg rejects in each stratum (BINS: none)."""
+def dismissal_floors(histogram: dict[tuple[int, int], int], q: float) -> list[int]:
+    """The lowest bin that is dismissed in each stratum (BINS: none)."""
     floors = []
     for s in range(STRATA):
         counts = [histogram.get((s, b), 0) for b in range(BINS)]
-        m, above, floor = sum(counts), 0, BINS
-        for b in range(BINS - 1, -1, -1):
-            above += counts[b]
-            if counts[b] and math.exp(-b / 4) <= q * above / m:
+        m, below, floor = sum(counts), 0, BINS
+        random = min(1.0, (1 + sum(counts[:UPPER])) / ((1 - LAMBDA) * m)) if m else 1.0
+        for b in range(BINS - 1, UPPER - 1, -1):
+            below += counts[b]
+            if counts[b] and random * m * math.exp(-b / 4) <= q * below:
                 floor = b
         floors.append(floor)
     return floors
@@ -211,47 +183,17 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], x[2], x[1])))
 
 
-def scan_secrets(docs: DataFrame, q: float = 0.001, alpha: float = 0.001) -> DataFrame:
-    """doc_id, base and found spans (code points, end exclusive) as arrays of (start, end, kind) structs.
+def scan_secrets(docs: DataFrame, q: float = 0.01) -> DataFrame:
+    """doc_id, base and found spans (code points, end exclusive) as an array of (start, end, kind) structs.
 
-    q: false-discovery rate in each stratum of lengths; alpha: level of the randomness battery.
+    q: the share of random strings among those dismissed as ordinary, in each stratum of lengths.
     """
     scanned = settled(map_rows(docs.select(F.col("doc_id").cast("bigint"), "text"), _scan, SCANNED))
-    model = text_model(_sum_pairs(scanned))
-
-    def bins(batches):
-        for b in batches:
-            out = {"stratum": [], "bin": []}
-            for row in b["candidates"]:
-                for c in row:
-                    t = c["token"].encode()
-                    out["stratum"].append(stratum(len(t)))
-                    out["bin"].append(bin_of(text_log_p(t, model)))
-            yield out
-
-    documents = scanned.where("kind = 0")
-    some = documents.where(F.size("candidates") > 0).select("candidates")
-    counted = map_rows(some, bins, "stratum int, bin int").groupBy("stratum", "bin").count().collect()
-    floors = fdr_floors({(r[0], r[1]): r[2] for r in counted}, q)
-
-    def decide(batches):
-        for b in batches:
-            found = []
-            for base, row in zip(b["spans"], b["candidates"]):
-                spans = [(x["start"], x["end"], x["kind"]) for x in base]
-                for c in row:
-                    t = c["token"].encode()
-                    # The battery, which costs most, comes last.
-                    if bin_of(text_log_p(t, model)) >= floors[stratum(len(t))] and randomness_p(t) >= alpha:
-                        spans.append((c["start"], c["end"], 3))
-                found.append([{"start": s, "end": e, "kind": k} for s, e, k in sorted(spans)])
-            yield {"doc_id": b["doc_id"], "spans": found}
-
-    return map_rows(
-        documents.select("doc_id", "spans", "candidates"),
-        decide,
-        "doc_id bigint, spans array<struct<start:bigint,end:bigint,kind:int>>",
-    )
+    counted = scanned.select(F.explode("candidates").alias("c")).groupBy("c.stratum", "c.bin").count().collect()
+    floors = F.array(*map(F.lit, dismissal_floors({(r[0], r[1]): r[2] for r in counted}, q)))
+    random = F.filter("candidates", lambda c: c.bin < F.element_at(floors, c.stratum + 1))
+    found = F.transform(random, lambda c: F.struct(c.start.alias("start"), c.end.alias("end"), F.lit(KINDS.index("random")).alias("kind")))
+    return scanned.select("doc_id", F.array_sort(F.concat("spans", found)).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -282,8 +224,9 @@ def redact(docs: DataFrame, placeholder: str = "[SECRET]", **options) -> DataFra
     """
     key = F.xxhash64("doc_id", "text")
     named = docs.select(key.alias("doc_id"), "text")
-    spans = scan_secrets(named, **options).where(F.size("spans") > 0).dropDuplicates(["doc_id"]).toDF("_key", "_spans").persist()
-    if spans.count() <= BROADCAST_ROWS:
+    spans = scan_secrets(named, **options).where(F.size("spans") > 0).groupBy("doc_id").agg(F.min("spans")).toDF("_key", "_spans")
+    spans = settled(spans)
+    if (spans.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= BROADCAST_SPANS:
         spans = F.broadcast(spans)
     marked = docs.withColumn("_key", key).join(spans, "_key", "left")
     target = StructType([f for f in docs.schema.fields])
@@ -308,4 +251,4 @@ def redact(docs: DataFrame, placeholder: str = "[SECRET]", **options) -> DataFra
                 columns["n_chars"] = pa.array(n, b.column("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=target.names)
 
-    return marked.mapInArrow(run, target)
+    return small_batches(marked).mapInArrow(run, target)
