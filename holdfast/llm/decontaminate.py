@@ -11,8 +11,8 @@ in all documents (partial counts per task, then a sum of at most the benchmark's
 The benchmark's windows are broadcast in blocks of ``block_bytes``, a measured bound; a larger benchmark is a
 stated query set taken block by block, and the blocks' hits are merged by document.
 
-Nulls and texts without words have no hits and no windows; repeated items of one id count once in
-n_items; repeated document rows give a row each (they are told apart by an internal row key when blocks merge);
+Nulls and texts without words have no hits and no windows; an item of null id hits words as any other, but can't be listed or
+counted in n_items; repeated items of one id count once in n_items; repeated document rows give a row each (they are told apart by an internal row key when blocks merge);
 an empty benchmark contaminates nothing; other columns are ignored.
 """
 
@@ -109,14 +109,14 @@ def window_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[d
     Read item by item to the driver (toLocalIterator), which holds one stated query set.
     """
     blocks, size = [{}], 0
-    for r in benchmark.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
+    for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         for w in item_windows(alnum_words(r.text), window):
             if size > block_bytes:
                 blocks.append({})
                 size = 0
             if w not in blocks[-1]:
                 size += INDEX_FACTOR * (sum(map(len, w)) + 16 * len(w))
-            blocks[-1].setdefault(w, set()).add(str(r.item_id))
+            blocks[-1].setdefault(w, set()).update([] if r.item_id is None else [str(r.item_id)])
     return blocks
 
 

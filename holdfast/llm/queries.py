@@ -62,7 +62,7 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page is a full response at twice its id, and is asked for again 2001 later with its own ETag."""
     from .warc import resolve_revisits
 
-    pages = table(spark, sf_dir, "pages").where("page_id is not null")
+    pages = table(spark, sf_dir, "pages")
     etag = F.md5(F.coalesce("html", F.lit("")))
     first = pages.select(
         F.col("page_id").cast("string").alias("record_id"), F.lit("response").alias("type"), "url", (F.col("page_id") * 2).alias("ts"), F.lit(200).alias("status"),
@@ -128,7 +128,7 @@ OP7_SQL = r"""
 WITH bare AS (
   SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''),
     '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '([?&])utm_[a-z]+=[^&]*', '\1', 'g'), '\?&+', '?', 'g'), '[?&]+$', '') AS bare
-  FROM pages WHERE page_id IS NOT NULL
+  FROM pages
 ), parts AS (
   SELECT page_id, html, lower(regexp_extract(bare, '^([^/?]*)', 1)) AS host, bare FROM bare
 ), keyed AS (
@@ -145,7 +145,54 @@ SELECT 'r' || r.page_id AS record_id, r.canonical, r.page_id * 2 + 2001 AS ts, f
   CASE WHEN f.etag = r.etag THEN 'text/html' ELSE 'none' END AS content_type,
   (r.page_id * 2 + 2001)::VARCHAR AS date,
   CASE WHEN f.etag = r.etag THEN sha256(f.html) END AS payload_sha256
-FROM keyed r JOIN refs USING (page_id) LEFT JOIN keyed f ON f.page_id = refs.ref
+FROM keyed r LEFT JOIN refs ON refs.page_id = r.page_id LEFT JOIN keyed f ON f.page_id = refs.ref
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_warc_revisits": OP7_SQL, "op4_chat_formatting": OP4_SQL}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Windows by plain search: every run of a document's words, as long as some window, against all windows.
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS w FROM documents),
+b AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, array_to_string(w[i : i + 9], ' ') AS g, least(len(w), 10) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), runs AS (
+  SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS g
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows))
+), found AS (SELECT r, i, n, item_id FROM runs JOIN windows USING (n, g)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS listed FROM (SELECT DISTINCT r, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+repeated AS (SELECT g FROM windows GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM windows SEMI JOIN repeated USING (g)) GROUP BY r),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN (SELECT r, unnest(ps) AS p FROM gone) USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+
+#: Similarities of all pairs that share a shingle, and the least id reachable over the links.
+OP9_SQL = (
+    r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all("""
+    + _LOWER.format("coalesce(text, '')")
+    + r""", '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT r, array_to_string(w[i : i + 1], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+shared AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM shingles a JOIN shingles b USING (g) WHERE a.r <> b.r GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes a ON a.r = x JOIN sizes b ON b.r = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+reach(r, y) AS (SELECT r, r FROM d UNION SELECT reach.r, links.y FROM reach JOIN links ON links.x = reach.y),
+least AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.y GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN least USING (r) LEFT JOIN sizes USING (r)
+"""
+)
+
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op7_warc_revisits": OP7_SQL, "op9_minhash_near_dedup": OP9_SQL}
