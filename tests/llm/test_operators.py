@@ -263,8 +263,8 @@ def test_op3_reads_whole_words(spark):
 
 
 def test_op4(spark):
-    odd = ["", "\x1b", "\x1be", "\x1b[INST] x \x1b</s>", "plain </s>", "e\x1b\x1bee", "\x1b<role user\x1b>"]
-    rows = [(k, j, ("system", "user", "assistant", "tool", None, "\x1b<s>")[(j + k) % 6], t) for k in range(6) for j, t in enumerate(odd)] + [(9, 0, "user", None), (None, None, None, None), (9, 0, "user", None)]
+    odd = ["", "\x1b", "\x1be", "\x1b[INST] x \x1b</s>", "plain </s>", "e\x1b\x1bee", "\x1b<role user\x1b>", "<<s><s>", "<<<SYS>>></s>[INST] ok [/INST]", "<\x1bxs> <\x1bgs>", "</role><role a>", "a\n\n"]
+    rows = [(k, j, ("system", "user", "assistant", "tool", None, "\x1b<s>", "<role >a>")[(j + k) % 7], t) for k in range(7) for j, t in enumerate(odd)] + [(9, 0, "user", None), (None, None, None, None), (9, 0, "user", None)]
     frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("turns", F.lit(1))
     want = collections.defaultdict(list)
     for c, turn, role, text in rows:
@@ -275,6 +275,11 @@ def test_op4(spark):
         loss = "".join(t for _, a, t in turns if a == "assistant")
         assert (r.n_turns, r.turns_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest())
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    for r in chat.formatted(frame).collect():  # control strings stand where the formatter put them, and nowhere else
+        turns = [a for _, a, _ in want[r.conv_id]]
+        for c in chat.controls():
+            own = sum(c in (chat.TEMPLATE["open"].get(a, "<role "), chat.TEMPLATE["close"].get(a, "</role>")) for a in turns)
+            assert r.formatted.count(c) == own, (r.conv_id, c)
     assert chat.formatted(frame.limit(0)).count() == 0
     states = {"u": True, "ua": True, "sua": True, "a": False, "uu": False, "s": False, "usa": False}
     names = {"s": "system", "u": "user", "a": "assistant"}
