@@ -11,6 +11,15 @@ DOS_FIRST, DOS_LAST = 315532800, 4354819198  # 1980-01-01 00:00:00 and 2107-12-3
 ZIP_METHODS = {0: "stored", 1: "shrunk", 2: "reduced, factor 1", 3: "reduced, factor 2", 4: "reduced, factor 3", 5: "reduced, factor 4", 6: "imploded", 8: "deflate", 9: "enhanced deflate (deflate64)", 12: "bzip2", 14: "lzma", 93: "zstd", 95: "xz", 98: "ppmd", 99: "WinZip AES"}
 
 
+#: Where a zip member's sizes stand, by number.
+ZIP_SIZES = {0: "auto", 1: "data descriptor", 2: "local header"}
+
+
+def zip_sizes_text(sizes: Column) -> Column:
+    pairs = F.create_map(*(F.lit(x) for kv in ZIP_SIZES.items() for x in kv))
+    return F.coalesce(F.try_element_at(pairs, sizes.cast("int")), F.lit("unknown"))
+
+
 def method_text(method: Column) -> Column:
     pairs = F.create_map(*(F.lit(x) for kv in ZIP_METHODS.items() for x in kv))
     return F.coalesce(F.try_element_at(pairs, method.cast("int")), F.lit("unknown"))

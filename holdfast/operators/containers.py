@@ -6,6 +6,8 @@ container at a time.  Whatever only needs members' columns is an expression or a
 
 from __future__ import annotations
 
+import io
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.names import escaped, name_mask, refused
 from ..functions.status import ContainerError
-from ..sources import tree, zips
+from ..sources import tar, tree, zips
 from ..sources.containers import read_container, write_container
 from ..sources.member import CONTAINER, MEMBER, Limits
 
@@ -30,13 +32,14 @@ def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
 def members(containers: DataFrame, limits: Limits | None = None, mode: str = "permissive", **options) -> DataFrame:
     """Member rows of (path, content) containers.  failfast: a walk's error raises; permissive: rows before it stand."""
     target = to_arrow_schema(StructType.fromDDL(MEMBER))
+    columns = ["path", "content", *(["lengths"] if "lengths" in containers.columns else [])]
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 path, data, container, out = b.column("path")[i].as_py(), b.column("content")[i].as_py(), {}, []
-                held = 0
-                for row in read_container(path, data or b"", container, limits, **options):
+                held, disks = 0, b.column("lengths")[i].as_py() if len(columns) > 2 else None
+                for row in read_container(path, data or b"", container, limits, disks=disks, **options):
                     out.append(row)
                     held += len(row["content"] or b"")
                     if len(out) >= 1000 or held > 16 << 20:
@@ -46,7 +49,7 @@ def members(containers: DataFrame, limits: Limits | None = None, mode: str = "pe
                     raise ContainerError(container["status"], path)
                 yield pa.RecordBatch.from_pylist(out, schema=target)
 
-    return containers.select("path", "content").mapInArrow(run, MEMBER)
+    return containers.select(*columns).mapInArrow(run, MEMBER)
 
 
 def walks(containers: DataFrame, limits: Limits | None = None, **options) -> DataFrame:
@@ -189,6 +192,27 @@ def volumes(containers: DataFrame, size: int) -> DataFrame:
     )
 
 
+def zip_volumes(rows: DataFrame, size: int, **options) -> DataFrame:
+    """(path, content) of split zips from pack's rows: path.z01, path.z02 ... and path.zip, no record cut at a volume's end."""
+    schema = "path string, content binary"
+    columns = [c for c in rows.columns if c != "content"]
+    order = [(c, "ascending") for c in ("idx", "name") if c in columns]
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        data = t["content"]
+        out = io.BytesIO()
+        writer = zips.ZipWriter(out, volume=size, **options)
+        for i, m in enumerate(t.select(columns).to_pylist()):
+            writer.add(m, data[i].as_py() or b"")
+        writer.finish()
+        whole, cuts, path = out.getvalue(), [*writer.disks, out.tell()], t["path"][0].as_py()
+        names = [f"{path}.z{k + 1:02d}" for k in range(len(cuts) - 2)] + [f"{path}.zip"]
+        return pa.table({"path": names, "content": pa.array([whole[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())})
+
+    return rows.groupBy("path").applyInArrow(run, schema)
+
+
 def crc_verdicts(rows: DataFrame) -> DataFrame:
     """path, idx and whether the content's CRC-32 is the declared one."""
     declared = F.coalesce(F.col("zip.crc32"), F.col("sevenz.crc32"))
@@ -242,7 +266,9 @@ def extract_plan(rows: DataFrame, allow_links: bool = False, portable: bool = Tr
 
 
 def joined_volumes(parts: DataFrame) -> DataFrame:
-    """(path, content) containers from (path, content) files: parts of split sets end to end, other files as they are.
+    """(path, content, lengths) containers from (path, content) files: parts of split sets end to end, other files as they are.
+
+    lengths: the parts' bytes, by which a split zip's disks are found again.
 
     Sets are told by their names: x.001, x.002 ... and x.z01, x.z02 ... x.zip.  A set with a gap isn't joined.
     """
@@ -256,8 +282,9 @@ def joined_volumes(parts: DataFrame) -> DataFrame:
     numbers = F.filter("parts", lambda n: n < 1 << 20)
     whole = numbers == F.when(F.size(numbers) > 0, F.sequence(F.lit(1).cast("bigint"), F.size(numbers).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
     judged = rows.join(parts.select("set", whole.alias("whole")), "set")
-    joined = judged.where("whole").groupBy(F.col("set").alias("path")).agg(F.expr("listagg(content) WITHIN GROUP (ORDER BY part)").alias("content"))
-    return joined.unionByName(judged.where("not whole").select("path", "content"))
+    lengths = F.transform(F.array_sort(F.collect_list(F.struct("part", F.octet_length("content").cast("bigint").alias("n")))), lambda x: x.n)
+    joined = judged.where("whole").groupBy(F.col("set").alias("path")).agg(F.expr("listagg(content) WITHIN GROUP (ORDER BY part)").alias("content"), lengths.alias("lengths"))
+    return joined.unionByName(judged.where("not whole").select("path", "content", F.array(F.octet_length("content").cast("bigint")).alias("lengths")))
 
 
 def dump(rows: DataFrame) -> DataFrame:
@@ -267,6 +294,46 @@ def dump(rows: DataFrame) -> DataFrame:
     return rows.select("path", "idx", F.concat(F.col("idx"), F.lit(" "), F.col("type"), F.lit(" "), size, F.lit(" "), escaped(F.col("name")), target).alias("line"))
 
 
+def dump_walks(rows: DataFrame) -> DataFrame:
+    """A line of text a container, from walks: format (and codec), members, declared bytes, how the walk ended."""
+    codec = F.when(F.col("codec").isNotNull(), F.concat(F.lit(" in "), "codec")).otherwise(F.lit(""))
+    comment = F.when(F.octet_length("zip_comment") > 0, F.concat(F.lit(" # "), escaped(F.col("zip_comment")))).otherwise(F.lit(""))
+    return rows.select(
+        "path", F.concat(F.col("format"), codec, F.lit(": "), F.col("member_count"), F.lit(" members, "), F.col("total_declared_bytes"), F.lit(" bytes, "), F.col("status"), comment).alias("line")
+    )
+
+
+def packed_trees(roots: DataFrame, format: str, codec: str | None = None, **options) -> DataFrame:
+    """(path, content) containers of directory trees, from rows (path, root).  A root is a folder that all executors see."""
+    schema = "path string, content binary"
+
+    def run(batches):
+        for b in batches:
+            for path, root in zip(b.column("path").to_pylist(), b.column("root").to_pylist()):
+
+                def data(found):
+                    for m, place in found:
+                        if place is None:
+                            yield m, b""
+                        else:
+                            with open(place, "rb") as f:
+                                yield m, f.read()
+
+                yield pa.RecordBatch.from_pydict({"path": [path], "content": [write_container(format, data(tree.tree_members(root)), codec, **options)]})
+
+    return roots.select("path", "root").mapInArrow(run, schema)
+
+
+def joined_tar_volumes(parts: DataFrame) -> DataFrame:
+    """(path, content) tars from rows (path, part, content) of volume sets: members cut at a volume's end are made whole."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")
+        return pa.table({"path": t["path"].slice(0, 1).combine_chunks(), "content": pa.array([tar.join_volumes(t["content"].to_pylist())], pa.binary())})
+
+    return parts.select("path", "part", "content").groupBy("path").applyInArrow(run, "path string, content binary")
+
+
 def extract(containers: DataFrame, root: str, portable: bool = True, links: bool = False, **options) -> DataFrame:
     """Writes each container's members below root, a folder that all executors share, in a folder of its own.
 

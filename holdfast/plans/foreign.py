@@ -695,3 +695,48 @@ def zip_old_methods(spark, sf_dir):
 
     files = spark.createDataFrame([(c, bytearray(b)) for c, b, _ in LEGACY], "path string, content binary")
     return ops.members(files).select("path", "data_status", method_text(F.col("zip.method")).alias("method"), F.decode("content", "ISO-8859-1").alias("text"))
+
+
+@query(
+    """
+SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'data descriptor' WHEN 2 THEN 'local header' ELSE 'unknown' END AS sizes FROM part
+"""
+)
+def zip_sizes_texts(spark, sf_dir):
+    from ..functions.fields import zip_sizes_text
+
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), zip_sizes_text(F.col("p_partkey") % 4).alias("sizes"))
+
+
+@query("SELECT p_brand AS path, 'zip: ' || count(*) || ' members, ' || sum(strlen(p_name)) || ' bytes, END # said' AS line FROM part GROUP BY p_brand")
+def container_dump(spark, sf_dir):
+    files = ops.pack(parts(spark, sf_dir), "zip", comment=b"said")
+    return ops.dump_walks(ops.walks(files)).select("path", "line")
+
+
+@query(DOCUMENTS_SQL)
+def zip_disks_scan(spark, sf_dir):
+    """Zips over several disks, put together by their names and read by disk and offset."""
+    from .queries import documents
+
+    volumes = ops.zip_volumes(documents(spark, sf_dir), 50_000)
+    return shown(ops.members(ops.joined_volumes(volumes)), F.col("mtime_seconds").alias("mtime"))
+
+
+def _cut_members(rows):
+    """Two volumes: a member begins in the first and goes on behind a header of its own in the second."""
+    whole = b"".join(r["content"] for r in rows) + b"." * 2000
+    head = _header("joined", len(whole), form=tarfile.GNU_FORMAT)
+    rest = whole[1024:]
+    again = bytearray(_header("joined", len(rest), b"M", tarfile.GNU_FORMAT))
+    again[369:381], again[148:156] = b"%011o\0" % 1024, b" " * 8
+    again[148:156] = b"%06o\0 " % sum(again)
+    return [head + whole[:1024], bytes(again) + padded(rest) + bytes(1024)]
+
+
+@query("SELECT p_brand AS path, 'joined' AS name, sum(strlen(p_name))::BIGINT + 2000 AS size, sha256(string_agg(p_name, '' ORDER BY 'm' || p_partkey) || repeat('.', 2000)) AS sha256 FROM part GROUP BY p_brand")
+def tar_volumes_scan(spark, sf_dir):
+    rows = parts(spark, sf_dir)
+    volumes = [written(rows, lambda members, k=k: _cut_members(members)[k]).withColumn("part", F.lit(k)) for k in (0, 1)]
+    joined = ops.joined_tar_volumes(volumes[0].unionByName(volumes[1]))
+    return shown(ops.members(joined), "path")

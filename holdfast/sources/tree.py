@@ -6,6 +6,7 @@ without following links, links are off unless asked for, and nothing that existe
 
 from __future__ import annotations
 
+import errno
 import os
 import re
 import stat
@@ -51,20 +52,40 @@ def name_mask(name: bytes) -> int:
     return mask
 
 
+def _runs(path: str, size: int) -> list[dict] | None:
+    """Where a file's data lies between its holes; None where the file system doesn't say."""
+    out, at = [], 0
+    with open(path, "rb") as f:
+        while at < size:
+            try:
+                begin = os.lseek(f.fileno(), at, os.SEEK_DATA)
+                at = os.lseek(f.fileno(), begin, os.SEEK_HOLE)
+            except OSError as e:
+                if e.errno == errno.ENXIO:  # a hole to the end
+                    break
+                return None
+            out.append({"offset": begin, "length": min(at, size) - begin})
+    return None if len(out) == 1 and out[0] == {"offset": 0, "length": size} else out
+
+
 def tree_members(root: str) -> Iterator[tuple[dict, str | None]]:
     """(member, path of its data or None) of all below root, names sorted.  Later links of a file refer to its first name."""
     seen: dict[tuple[int, int], bytes] = {}
 
-    def walk(at: str, name: bytes, depth: int):
+    def walk(at: str, name: bytes, depth: int, above: tuple = ()):
         if depth > DEPTH:
             raise ContainerError("REFUSED", "too deep")
+        own_place = os.stat(at)
+        above = (*above, (own_place.st_dev, own_place.st_ino))
+        if above[-1] in above[:-1]:
+            raise ContainerError("REFUSED", "a folder within itself")
         for entry in sorted(os.scandir(at), key=lambda e: os.fsencode(e.name)):
             s = entry.stat(follow_symlinks=False)
             own = name + os.fsencode(entry.name)
             m = {"name": own, "mode": stat.S_IMODE(s.st_mode), "uid": s.st_uid, "gid": s.st_gid, "mtime_seconds": s.st_mtime_ns // 1_000_000_000, "mtime_ns": s.st_mtime_ns % 1_000_000_000}
             if stat.S_ISDIR(s.st_mode):
                 yield m | {"name": own + b"/", "type": "directory"}, None
-                yield from walk(entry.path, own + b"/", depth + 1)
+                yield from walk(entry.path, own + b"/", depth + 1, above)
             elif stat.S_ISLNK(s.st_mode):
                 yield m | {"type": "symlink", "link_target": os.fsencode(os.readlink(entry.path))}, None
             elif stat.S_ISREG(s.st_mode):
@@ -73,7 +94,7 @@ def tree_members(root: str) -> Iterator[tuple[dict, str | None]]:
                     yield m | {"type": "hardlink", "link_target": seen[key]}, None
                 else:
                     seen[key] = own
-                    yield m | {"type": "file"}, entry.path
+                    yield m | {"type": "file", "sparse_map": _runs(entry.path, s.st_size) if s.st_blocks * 512 < s.st_size else None}, entry.path
             else:
                 yield m | {"type": "fifo" if stat.S_ISFIFO(s.st_mode) else "other"}, None
 

@@ -91,8 +91,10 @@ def zipcrypto(data: bytes, password: bytes) -> bytes:
 
 
 class ZipWalk:
-    def __init__(self, source: Source, limits: Limits, password: bytes | None = None, container: dict | None = None):
+    def __init__(self, source: Source, limits: Limits, password: bytes | None = None, container: dict | None = None, disks: list[int] | None = None):
         self.s, self.limits, self.password, self.container = source, limits, password, {} if container is None else container
+        #: Where each disk of a split set begins.
+        self.disks = [sum((disks or [])[:k]) for k in range(len(disks or [0]))]
         self.keep_raw = False  # members then carry their stored bytes, for copies that decode nothing
 
     # Both walks make members of the same parts.
@@ -236,12 +238,17 @@ class ZipWalk:
                 else:
                     if TOP in (size, offset) or total == 0xFFFF:
                         raise ContainerError("CORRUPT", "zip64 end record")
-        if (disk or cdisk or here != total) and not sixty_four and disk != cdisk:
+        split = len(self.disks) > 1 and disk > 0 and not sixty_four  # else a whole zip was cut into parts
+        if (disk or cdisk or here != total) and not sixty_four and not split and disk != cdisk:
             raise ContainerError("UNSUPPORTED", "several disks")
-        begin = directory_end - size
-        if begin < 0 or begin < offset:
+        if split and (disk != len(self.disks) - 1 or cdisk > disk):
+            raise ContainerError("CORRUPT", "disk number")
+        begin = self.disks[cdisk] + offset if split else directory_end - size
+        if begin < 0 or begin < offset or split and begin + size > directory_end:
             raise ContainerError("CORRUPT", "directory place")
-        base = begin - offset
+        if split:
+            directory_end = begin + size
+        base = 0 if split else begin - offset
         self.container.update(base_offset=base, zip_declared_members=total, zip_has_zip64_end=sixty_four, zip_comment=end[22:])
         where = begin
         for _ in range(total):
@@ -251,7 +258,7 @@ class ZipWalk:
             head = self.s.exact(46)
             if head[:4] != CENTRAL:
                 raise ContainerError("CORRUPT", "directory entry")
-            made, _, flags, method, time, date, crc, csize, fsize, nlen, xlen, clen, _, _, eattr, lho = struct.unpack_from("<HHHHHHIIIHHHHHII", head, 4)
+            made, _, flags, method, time, date, crc, csize, fsize, nlen, xlen, clen, on, _, eattr, lho = struct.unpack_from("<HHHHHHIIIHHHHHII", head, 4)
             if self.limits.max_name_bytes and nlen > self.limits.max_name_bytes:
                 raise ContainerError("LIMIT_NAME_BYTES")
             if self.limits.max_extra_bytes and xlen + clen > self.limits.max_extra_bytes:
@@ -261,7 +268,9 @@ class ZipWalk:
             name, extra = self.s.exact(nlen), self.s.exact(xlen)
             where += 46 + nlen + xlen + clen
             fsize, csize, lho, used = self._sixty_four(extras(extra), fsize, csize, lho)
-            place = base + lho
+            if split and on > disk:
+                raise ContainerError("CORRUPT", "disk number")
+            place = (self.disks[on] if split else base) + lho
             if place + 30 > begin:
                 raise ContainerError("CORRUPT", "local header place")
             self.s.seek(place)
@@ -398,11 +407,17 @@ class ZipWalk:
 class ZipWriter:
     """Members with a method each; zip64 where a size or an offset needs it; descriptors on request."""
 
-    def __init__(self, out, method: str = "deflate", level: int | None = None, descriptors: bool = False, comment: bytes = b"", password: str | None = None):
+    def __init__(self, out, method: str = "deflate", level: int | None = None, descriptors: bool = False, comment: bytes = b"", password: str | None = None, volume: int | None = None):
         if method not in METHODS:
             raise ContainerError("UNSUPPORTED", method)
         self.out, self.method, self.level, self.descriptors, self.comment = out, method, level, descriptors, comment
         self.at, self.central, self.password = 0, [], None if password is None else password.encode()
+        #: Volumes of so many bytes, and where each begins; the first opens with the mark of a split set.
+        self.volume, self.disks = volume, [0]
+        if volume is not None:
+            if volume < 1 << 10:
+                raise ContainerError("INVALID", "a volume is too small")
+            self._write(DESCRIPTOR)
 
     def _lock(self, coded: bytes) -> bytes:
         """WinZip's AES-256: salt, verifier, counter mode, and ten bytes of authentication."""
@@ -415,6 +430,24 @@ class ZipWriter:
         self.out.write(data)
         self.at += len(data)
 
+    def _reserve(self, n: int) -> tuple[int, int]:
+        """Disk and offset there of a record of n bytes, which goes to the next volume if this one has no room for it whole."""
+        if self.volume is None:
+            return 0, self.at
+        if n > self.volume:
+            raise ContainerError("UNSUPPORTED", "a record is larger than a volume")
+        if self.at - self.disks[-1] + n > self.volume:
+            self.disks.append(self.at)
+        return len(self.disks) - 1, self.at - self.disks[-1]
+
+    def _write_data(self, data: bytes) -> None:
+        """Data may be cut at a volume's end."""
+        if self.volume is not None:
+            left = self.volume - (self.at - self.disks[-1])
+            for cut in range(left, len(data), self.volume):
+                self.disks.append(self.at + cut)
+        self._write(data)
+
     def add(self, m: dict, data: bytes = b"") -> None:
         kind, name = m.get("type") or "file", m["name"]
         if kind not in ("file", "directory", "symlink"):
@@ -456,17 +489,20 @@ class ZipWriter:
         version = max(VERSIONS[method], 45 if large or self.at >= TOP else 20)
         version, method = (51, 99) if locked else (version, method)
         sizes = (0, 0, 0) if late else (crc, TOP if large else len(coded), TOP if large else len(data))
-        offset = self.at
-        self._write(LOCAL + struct.pack("<HHHHHIIIHH", version, flags, method, stamp & 0xFFFF, stamp >> 16, *sizes, len(name), len(zip64 + extra)) + name + zip64 + extra)
-        self._write(coded)
+        local = LOCAL + struct.pack("<HHHHHIIIHH", version, flags, method, stamp & 0xFFFF, stamp >> 16, *sizes, len(name), len(zip64 + extra)) + name + zip64 + extra
+        disk, offset = self._reserve(len(local))
+        self._write(local)
+        self._write_data(coded)
         if late:
-            self._write(DESCRIPTOR + struct.pack("<IQQ" if large else "<III", crc, len(coded), len(data)))
+            told = DESCRIPTOR + struct.pack("<IQQ" if large else "<III", crc, len(coded), len(data))
+            self._reserve(len(told))
+            self._write(told)
         body = (struct.pack("<QQ", len(data), len(coded)) if large else b"") + (struct.pack("<Q", offset) if offset >= TOP else b"")
         extra = (struct.pack("<HH", 1, len(body)) + body if body else b"") + extra
         mode = m.get("mode") if m.get("mode") is not None else {"directory": 0o755, "symlink": 0o777}.get(kind, 0o644)
         attributes = (mode & 0o7777 | {"directory": 0o40000, "symlink": 0o120000}.get(kind, 0o100000)) << 16 | (0x10 if kind == "directory" else 0)
         self.central.append(
-            CENTRAL + struct.pack("<HHHHHHIIIHHHHHII", 0x031E, version, flags, method, stamp & 0xFFFF, stamp >> 16, crc, TOP if large else len(coded), TOP if large else len(data), len(name), len(extra), 0, 0, 0, attributes, min(offset, TOP)) + name + extra
+            CENTRAL + struct.pack("<HHHHHHIIIHHHHHII", 0x031E, version, flags, method, stamp & 0xFFFF, stamp >> 16, crc, TOP if large else len(coded), TOP if large else len(data), len(name), len(extra), 0, disk, 0, attributes, min(offset, TOP)) + name + extra
         )
 
     def add_raw(self, raw: tuple[bytes, bytes, bytes], name: bytes, crc: int, size: int) -> None:
@@ -490,10 +526,19 @@ class ZipWriter:
         self.central.append(CENTRAL + struct.pack("<HH", made, version) + facts + struct.pack("<HHHHHII", len(name), len(parts), 0, 0, 0, attributes, offset) + name + parts)
 
     def finish(self) -> None:
-        start, n = self.at, len(self.central)
+        n, first, here = len(self.central), None, []
         for entry in self.central:
+            where = self._reserve(len(entry))
+            first = first or where
+            here.append(where[0])
             self._write(entry)
-        size = self.at - start
+        disk, _ = self._reserve(22 + len(self.comment))
+        (cdisk, start), size = first or (disk, self.at - self.disks[-1]), sum(map(len, self.central))
+        if self.volume is not None:
+            if n >= 0xFFFF or max(start, size) >= TOP:
+                raise ContainerError("UNSUPPORTED", "zip64 in volumes")
+            self._write(END + struct.pack("<HHHHIIH", disk, cdisk, here.count(disk), n, size, start, len(self.comment)) + self.comment)
+            return
         if n >= 0xFFFF or start >= TOP or size >= TOP:
             record = self.at
             self._write(END64 + struct.pack("<QHHIIQQQQ", 44, 0x031E, 45, 0, 0, n, n, size, start) + LOCATOR + struct.pack("<IQI", 0, record, 1))

@@ -151,6 +151,27 @@ def test_descriptors_from_a_pipe(method):
     assert container["status"] == "END" and [(r["name"], r["content"] or b"") for r in rows] == [(m["name"], d) for m, d in members]
 
 
+@pytest.mark.parametrize("volume", [1024, 1500, 5000, 1 << 20])
+def test_zip_volumes_cut_no_record(volume):
+    import struct
+
+    from holdfast.sources.zips import ZipWriter
+
+    members = [({"name": b"n%d" % i * 9, "mtime_seconds": 1000000001 + i}, bytes(range(256)) * (i % 7)) for i in range(40)]
+    out = io.BytesIO()
+    w = ZipWriter(out, "stored", volume=volume)
+    for m, d in members:
+        w.add(m, d)
+    w.finish()
+    data, cuts = out.getvalue(), [*w.disks, out.tell()]
+    assert all(0 < b - a <= volume for a, b in zip(cuts, cuts[1:])) and (len(w.disks) > 1) == (volume < len(data))
+    rows, container = read(data, disks=[b - a for a, b in zip(cuts, cuts[1:])])
+    assert container["status"] == "END" and [(r["name"], r["content"] or b"") for r in rows] == [(m["name"], d) for m, d in members]
+    if len(w.disks) > 1:
+        assert struct.unpack_from("<H", data, len(data) - 18)[0] == len(w.disks) - 1
+        assert read(data, disks=[len(data) - 1, 1])[1]["status"] == "CORRUPT"
+
+
 def test_aes_known_answer():
     key, plain = bytes(range(16)), bytes.fromhex("00112233445566778899aabbccddeeff")
     keys = aes.round_keys(key)

@@ -169,6 +169,7 @@ def test_volumes_dump_and_extraction(spark, tmp_path):
     parts = [(f"s/x.zip.{i + 1:03d}", bytearray(p)) for i, p in enumerate(tree.split(data, 100))] + [("s/y.002", bytearray(b"gap")), ("s/z.zip", bytearray(data))]
     files = spark.createDataFrame(parts, "path string, content binary")
     joined = {r.path: bytes(r.content) for r in ops.joined_volumes(files).collect()}
+    assert {r.path: len(r.lengths) for r in ops.joined_volumes(files).collect()} == {"s/x.zip": -(-len(data) // 100), "s/y.002": 1, "s/z.zip": 1}
     assert joined == {"s/x.zip": data, "s/y.002": b"gap", "s/z.zip": data}
     containers = ops.joined_volumes(files).where("path = 's/x.zip'")
     assert [r.line for r in ops.dump(ops.members(containers)).collect()] == ["0 file 9000 a\\x0A", "1 file 9001 d/b"]
@@ -214,6 +215,20 @@ def test_masks_agree_with_the_plain_loops(name):
         assert mask(b"safe/../" + name) & names.ESCAPES
 
 
+def test_trees_with_holes(spark, tmp_path):
+    (tmp_path / "in/d").mkdir(parents=True)
+    with open(tmp_path / "in/d/holes", "wb") as f:
+        f.write(b"a" * 5000)
+        f.seek(1 << 20)
+        f.write(b"b" * 10)
+        f.truncate(1 << 21)
+    roots = spark.createDataFrame([("t", str(tmp_path / "in"))], "path string, root string")
+    rows = {bytes(r.name): r for r in ops.members(ops.packed_trees(roots, "tar")).collect()}
+    assert set(rows) == {b"d/", b"d/holes"} and bytes(rows[b"d/holes"].content) == (tmp_path / "in/d/holes").read_bytes()
+    if os.stat(tmp_path / "in/d/holes").st_blocks * 512 < 1 << 21:
+        assert rows[b"d/holes"].sparse and rows[b"d/holes"].stored_size < 1 << 20
+
+
 def test_table_functions(spark):
     from holdfast.operators import sql
     from holdfast.sources.containers import write_container
