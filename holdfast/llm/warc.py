@@ -6,9 +6,10 @@ compared, in the order ETag, Last-Modified, payload digest, the first that both
 ``mismatch``; without one ``unchecked``; without an earlier response ``missing``.  A resolved or unchecked revisit takes
 the response's headers and payload; of its own headers those a 304 may update replace the response's.
 
-The as-of join has two levels, so that a url with a third of all rows is split: time is cut into slices, the last
-full response of each (url, slice) is a partial maximum, one row a slice carries it forward, and an ordered
-window only spans one slice of one url.  Payloads join at the end, by the response's id.
+The as-of join has two levels, so that a url with a third of all rows is split: time is cut into slices of about slice_rows
+rows of all urls, the last full response of each (url, slice) is a partial maximum, one row a slice carries it forward,
+and an ordered window only spans one slice of one url.  Payloads join at the end, by the response's id; of several
+records of that id and time, always the same one by a hash of its headers and payload.
 
 Null urls have a null canonical url and never match; null times are never earlier or later than another; null headers are
 empty; repeated records are rows of their own; extra columns are ignored; empty tables give empty results.
@@ -27,7 +28,7 @@ from .common import pieces
 
 #: Header fields that a not-modified answer may update.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-SLICE_ROWS = 1 << 20
+SLICE_ROWS, MAX_SLICES = 1 << 20, 10_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -42,6 +43,22 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, F.regexp_replace(rest, r"/+$", ""))
 
 
+def slice_of(ts: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are not above ts: a binary search by a fold."""
+    if not bounds:
+        return F.lit(0)
+    listed = F.array(*map(F.lit, bounds)).cast("array<bigint>")
+
+    def step(a: Column, _: Column) -> Column:
+        middle = F.floor((a.low + a.high) / 2).cast("int")
+        here = F.get(listed, middle) <= ts
+        open_ = a.low < a.high
+        return F.struct(F.when(open_ & here, middle + 1).otherwise(a.low).alias("low"), F.when(open_ & ~here, middle).otherwise(a.high).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, step).low
+
+
 def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """One row a revisit: record_id, canonical, ts, refers_to, outcome, headers (merged), payload.
 
@@ -53,9 +70,9 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFr
         ((F.col("type") == "revisit") | (F.col("status") == 304)).alias("revisit"),
         ((F.col("type") == "response") & (F.col("status") == 200)).alias("full"),
     ).where("(revisit or full)")
-    n, low, high = records.agg(F.count(F.lit(1)), F.min("ts"), F.max("ts")).first()
-    width = max(1, ((high or 0) - (low or 0)) // pieces(n or 0, slice_rows) + 1)
-    rows = rows.withColumn("slice", F.floor((F.col("ts") - F.lit(low or 0)) / width))
+    n = min(MAX_SLICES, pieces(records.count(), slice_rows))
+    bounds = records.agg(F.percentile_approx("ts", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else []
+    rows = rows.withColumn("slice", slice_of(F.col("ts"), sorted(set(bounds or []))))
     full = F.when(F.col("full") & ~F.coalesce("revisit", F.lit(False)), F.struct("ts", "record_id", _validators().alias("v")))
     rows = rows.withColumn("own", full)
     usable = rows.where("key is not null and ts is not null")
@@ -81,7 +98,9 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFr
     taken = F.when(F.col("outcome").isin("resolved", "unchecked"), F.col("refers_to"))
     source = records.where("type = 'response' and status = 200").select(
         F.col("record_id").alias("taken"), F.col("ts").alias("taken_ts"), F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("stored"), "payload"
-    ).dropDuplicates(["taken", "taken_ts"])
+    )
+    which = F.struct(F.xxhash64(F.array_sort(F.map_entries("stored"))), F.xxhash64("payload"))
+    source = source.groupBy("taken", "taken_ts").agg(F.min_by(F.struct("stored", "payload"), which).alias("x")).select("taken", "taken_ts", "x.*")
     joined = both.withColumn("taken", taken).withColumn("taken_ts", F.col("ref.ts")).join(source, ["taken", "taken_ts"], "left")
     allowed = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter("stored", lambda k, v: ~F.map_contains_key(allowed, k)), allowed)

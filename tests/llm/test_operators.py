@@ -345,6 +345,20 @@ def test_op7(spark):
         }
         assert got["r1"].headers == {"etag": "1", "content-type": "text/html", "date": "new"}
     assert warc.resolve_revisits(frame.limit(0)).count() == 0
+    # A hot url, many slices, repeated records: against a plain search.
+    rng = np.random.default_rng(12)
+    many = [(f"f{k % 90}", "response", "http://hot.org/", int(rng.integers(0, 400)), 200, {"etag": str(k % 3)}, None, f"p{k}") for k in range(120)]
+    many += [(f"v{k}", "revisit", "http://hot.org/", int(rng.integers(0, 400)), 304, {"etag": str(k % 3)}, None, None) for k in range(200)] + [(None, "revisit", "http://hot.org/", 0, 304, None, None, None)] * 2
+    got = warc.resolve_revisits(spark.createDataFrame(many, schema), 20).collect()
+    assert len(got) == 202
+    for r in got:
+        before = max(((t, i) for i, kind, _, t, *_ in many if kind == "response" and t < r.ts), default=(None, None))
+        assert r.refers_to == before[1]
+        if r.outcome == "resolved":
+            assert r.payload in {x[7] for x in many if x[0] == r.refers_to and x[3] == before[0]}
+    bounds = [3, 5, 5 + (1 << 40)]
+    found = spark.createDataFrame([(x,) for x in (None, -1, 3, 4, 5, 6, 1 << 50)], "ts bigint").select(warc.slice_of(F.col("ts"), bounds).alias("s")).collect()
+    assert [r.s for r in found][1:] == [0, 1, 1, 2, 2, 3]
     block = b"HTTP/1.1 200 OK\r\nETag: \"x\"\r\nVary: a\r\nvary: b\r\n\r\nbody\r\n\r\nWARC/1.1"
     head = {"WARC-Type": "response", "WARC-Record-ID": "<urn:1>", "WARC-Target-URI": "http://x.org/", "WARC-Date": "2024-01-01T00:00:00Z", "Content-Type": "application/http; msgtype=response"}
     for compress in (False, True):
