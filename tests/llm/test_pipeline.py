@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from holdfast.llm import queries
+from holdfast.llm import decontaminate, queries
 
 from .test_operators import brute_near
 
@@ -53,6 +53,39 @@ def test_rows_of_no_id_or_one_id(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(7, item), (7, clean), (9, other)]))
 
 
+def test_run_on_odd_tables(spark, tmp_path):
+    """run() over a tenth of null ids, repeated ids and repeated rows, and over an empty table: what it keeps, by brute force."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [r.asDict() for r in docs.orderBy("doc_id").limit(60).collect()]
+    item = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    for k, r in enumerate(rows):
+        r["doc_id"] = None if k % 10 == 3 else 7 if k % 10 == 5 else r["doc_id"]
+    rows += [dict(rows[0]), dict(rows[3]), dict(rows[3]), rows[1] | {"doc_id": None, "text": item}, rows[1] | {"doc_id": 7, "text": None}]
+    for name, data in (("odd", rows), ("empty", [])):
+        folder = tmp_path / name
+        spark.createDataFrame([tuple(r[c] for c in docs.columns) for r in data], docs.schema).write.parquet(str(folder / "documents.parquet"))
+        for table in ("benchmark", "labels"):
+            spark.read.parquet(f"{SF}/{table}.parquet").write.parquet(str(folder / f"{table}.parquet"))
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        if not data:
+            assert not got
+            continue
+        source = spark.read.parquet(str(folder / "documents.parquet"))
+        judged = corpus_pipeline.toxicity_stage(spark, source, str(folder)).collect()
+        clean = [(r.doc_id, r.text) for r in judged]
+        assert (None, item) in clean and (7, None) in clean
+        kept = {i: t for i, t in enumerate(dict.fromkeys(clean))}  # equal rows once
+        groups = {}
+        for i, _, root, _ in brute_near([(i, t) for i, (_, t) in kept.items()], 5, 80):
+            groups.setdefault(root, []).append(i)
+        kept = [kept[min(g, key=lambda i: (kept[i][0] is None, kept[i][0] or 0))] for g in groups.values()]
+        named = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(kept)], "doc_id bigint, text string")
+        hit = {r.doc_id for r in decontaminate.find_contamination(named, spark.read.parquet(f"{SF}/benchmark.parquet")).where("n_hit > 0").collect()}
+        assert any(kept[k][1] == item for k in hit)
+        left = [x for k, x in enumerate(kept) if k not in hit]
+        assert sorted(map(repr, (i for i, _ in left))) == sorted(repr(r.doc_id) for r in got if r.piece == 0)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_twins(spark, name):
     c = duckdb.connect()
