@@ -5,8 +5,9 @@ sequence of a window that starts anywhere else.  Documents are dealt into chunks
 hash of their row; each chunk works with windows' hashes, rolled over all its words at once.
 
 1. Every chunk sketches its windows: DEPTH rows of saturating counters.  The sketch is cut into shards, each
-   with WIDTH counters for about LOAD windows of the corpus, so its size follows the input
-   and no task ever holds the whole.  A partition sketch is sparse: sorted distinct counters as gaps.
+   with 2^WIDTH_BITS counters for about 2^COARSE x LOAD windows of the corpus, so its size follows the input
+   and no task ever holds the whole.  A partition sketch is sparse: sorted distinct counters as gaps.  Shards are
+   large, since each chunk sends a row to each.
 2. Shards merge: one group adds up its partition sketches and answers each chunk with a bit a counter: two or more.
    Counters only overestimate, so a window whose least counter is one is unique: none is lost.
 3. The windows estimated repeated are grouped exactly by 128-bit hashes of their words, distinct within a chunk
@@ -33,8 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import flat_table, pieces, small_batches, space_words, text_bytes
 
-WIDTH_BITS, DEPTH = 22, 2
-LOAD = 1 << 20
+WIDTH_BITS, DEPTH = 25, 2
+#: Windows that an exact group takes, before those that are estimated unique go; a shard of the sketch takes 2^COARSE times as many.
+LOAD, COARSE = 1 << 20, 3
 CHUNK_BYTES = 8 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd: powers have inverses modulo 2^64
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -76,11 +78,11 @@ class Chunk:
             self.hash = [np.zeros(0, np.uint64)] * hashes
 
     def counters(self, bits: int, row: int) -> np.ndarray:
-        """shard << WIDTH_BITS | counter of each window in a row of the sketch."""
-        h = self.hash[0]
+        """shard << WIDTH_BITS | counter of each window in a row of the sketch.  bits: those of exact groups."""
+        h, bits = self.hash[0], max(0, bits - COARSE)
         shard = (h >> np.uint64(64 - bits)) if bits else np.zeros_like(h)
         with np.errstate(over="ignore"):
-            own = h >> np.uint64(4) if row == 0 else (h * MIX[1]) >> np.uint64(34)
+            own = h >> np.uint64(4) if row == 0 else (h * MIX[1]) >> np.uint64(32)
         return ((shard << np.uint64(WIDTH_BITS)) | (own & np.uint64((1 << WIDTH_BITS) - 1))).astype(np.int64)
 
 
@@ -114,7 +116,7 @@ def sketch_chunk(chunk_id: int, chunk: Chunk, bits: int) -> dict:
     out = {k: [] for k in ("shard", "row", "chunk", "counters", "twice")}
     for row in range(DEPTH):
         keys, n = np.unique(chunk.counters(bits, row), return_counts=True)
-        edges = _cut(keys, 1 << bits, WIDTH_BITS)
+        edges = _cut(keys, 1 << max(0, bits - COARSE), WIDTH_BITS)
         for s in np.nonzero(np.diff(edges))[0].tolist():
             a, b = edges[s], edges[s + 1]
             out["shard"].append(s)
@@ -142,7 +144,7 @@ def estimated(chunk: Chunk, bits: int, answers: dict) -> np.ndarray:
     for row in range(DEPTH):
         keys, back = np.unique(chunk.counters(bits, row), return_inverse=True)
         flags = np.zeros(len(keys), np.uint8)
-        edges = _cut(keys, 1 << bits, WIDTH_BITS)
+        edges = _cut(keys, 1 << max(0, bits - COARSE), WIDTH_BITS)
         for s in np.nonzero(np.diff(edges))[0].tolist():
             flags[edges[s] : edges[s + 1]] = _unpack(answers[0, s, row], edges[s + 1] - edges[s])
         found &= flags[back] > 0
