@@ -20,7 +20,8 @@ from ..sources import tar, tree, zips
 from ..sources.containers import read_container, write_container
 from ..sources.member import CONTAINER, MEMBER, Limits
 
-PART_BYTES = 32 << 20
+#: A part's bytes, and those that a member costs beside its content: headers, and what a task keeps of it.
+PART_BYTES, MEMBER_BYTES = 32 << 20, 1 << 10
 
 
 def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -73,10 +74,10 @@ def walks(containers: DataFrame, limits: Limits | None = None, **options) -> Dat
 def parted(rows: DataFrame, key: Column, name: Column, content: Column, part_bytes: int = PART_BYTES) -> DataFrame:
     """rows with ``path``: a key's container, cut by a hash of the name into as many parts as its bytes ask for.
 
-    However many rows a key has, a part's bytes are bounded, so that one task can write it.
+    However many rows a key has, a part's bytes and members are bounded, so that one task can write it.
     """
     sized = rows.withColumn("_key", key)
-    parts = sized.groupBy("_key").agg(F.greatest(F.ceil(F.sum(F.octet_length(content)) / part_bytes), F.lit(1)).alias("_parts"))
+    parts = sized.groupBy("_key").agg(F.greatest(F.ceil(F.sum(F.octet_length(content) + MEMBER_BYTES) / part_bytes), F.lit(1)).alias("_parts"))
     spread = sized.join(F.broadcast(parts) if parts.limit(100_001).count() <= 100_000 else parts, sized["_key"].eqNullSafe(parts["_key"])).drop(parts["_key"])
     part = F.pmod(F.xxhash64(name), F.col("_parts"))
     return spread.withColumn("path", F.concat(F.coalesce(F.col("_key").cast("string"), F.lit("null")), F.lit("-"), part)).drop("_key", "_parts")

@@ -49,6 +49,11 @@ def parts(spark, sf_dir, *columns: str) -> DataFrame:
 
 
 def shown(rows: DataFrame, *more) -> DataFrame:
+def many(rows: DataFrame) -> DataFrame:
+    """rows, their containers cut to parts whose members one task can hold: path-part."""
+    return ops.parted(rows, F.col("path"), F.col("name"), F.col("content"), 8 << 20)
+
+
     return rows.select(F.decode("name", "UTF-8").alias("name"), "size", F.sha2("content", 256).alias("sha256"), *more)
 
 
@@ -506,8 +511,8 @@ def filtered(method: str):
 
     def run(spark, sf_dir):
         rows = parts(spark, sf_dir).withColumn("path", F.explode(F.array(*map(F.lit, _FILTERS)))).withColumn("content", F.concat(F.lit(b"\xe8\x10\x00\x00"), "content"))
-        files = written(rows, lambda rows: write_container("7z", ((r | {"type": "file"}, r["content"]) for r in rows), method=method, filter=rows[0]["path"], encode_header=True))
-        return ops.members(files).where(F.substring("content", 1, 4) == F.lit(b"\xe8\x10\x00\x00")).select(F.col("path").alias("filter"), F.decode("name", "UTF-8").alias("name"), "size")
+        files = written(many(rows), lambda rows: write_container("7z", ((r | {"type": "file"}, r["content"]) for r in rows), method=method, filter=rows[0]["path"].partition("-")[0], encode_header=True))
+        return ops.members(files).where(F.substring("content", 1, 4) == F.lit(b"\xe8\x10\x00\x00")).select(F.substring_index("path", "-", 1).alias("filter"), F.decode("name", "UTF-8").alias("name"), "size")
 
     return run
 

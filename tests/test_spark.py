@@ -239,3 +239,9 @@ def test_table_functions(spark):
     rows = spark.sql("SELECT m.idx, m.size FROM files, LATERAL container_members(path, content) m ORDER BY 1").collect()
     assert [tuple(r) for r in rows] == [(0, 1), (1, 2)]
     assert bytes(spark.sql("SELECT r.content FROM files, LATERAL container_read(content, 1) r").first().content) == b"22"
+
+
+def test_parts_are_bounded_by_members_too(spark):
+    rows = spark.range(200_000).selectExpr("CAST('m' || id AS BINARY) AS name", "CAST('' AS BINARY) AS content")
+    counts = ops.parted(rows, F.lit("k"), F.col("name"), F.col("content")).groupBy("path").count().collect()
+    assert len(counts) > 4 and max(r["count"] for r in counts) < 60_000
