@@ -24,6 +24,7 @@ from ..functions import names
 from ..operators import containers as ops
 from ..sources import aes, sevenz, zips
 from ..sources.containers import write_container
+from ..sources.tar import checksums
 from .queries import DOCUMENTS_SQL, query, table
 
 
@@ -165,21 +166,21 @@ def member_dump(spark, sf_dir):
 
 
 def _v7(rows):
-    out = b""
+    out = []
     for r in rows:
         info = tarfile.TarInfo("é" + r["name"].decode())
         info.size = len(r["content"])
         block = bytearray(info.tobuf(tarfile.USTAR_FORMAT, "utf-8"))
         block[257:512], block[148:156] = bytes(255), b" " * 8
-        block[148:156] = b"%06o\0 " % (sum(b - 256 * (b > 127) for b in block))
-        out += block + padded(r["content"])
-    return out + bytes(1024)
+        block[148:156] = b"%06o\0 " % (checksums(block)[1])
+        out += (block, padded(r["content"]))
+    return b"".join(out) + bytes(1024)
 
 
 @query("SELECT 'ém' || p_partkey AS name, strlen(p_name) AS size, sha256(p_name) AS sha256, 'v7' AS variant, true AS checksum_signed FROM part")
 def tar_v7_scan(spark, sf_dir):
     """No magic, and sums over signed bytes as old writers made them."""
-    return shown(ops.members(written(parts(spark, sf_dir), _v7)), F.col("tar.variant").alias("variant"), F.col("tar.checksum_signed").alias("checksum_signed"))
+    return shown(ops.members(written(many(parts(spark, sf_dir)), _v7)), F.col("tar.variant").alias("variant"), F.col("tar.checksum_signed").alias("checksum_signed"))
 
 
 def padded(data: bytes) -> bytes:
