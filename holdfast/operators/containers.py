@@ -30,9 +30,14 @@ def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     return (r.option("pathGlobFilter", glob) if glob else r).load(path).select("path", "content")
 
 
-def members(containers: DataFrame, limits: Limits | None = None, mode: str = "permissive", **options) -> DataFrame:
-    """Member rows of (path, content) containers.  failfast: a walk's error raises; permissive: rows before it stand."""
-    target = to_arrow_schema(StructType.fromDDL(MEMBER))
+def members(containers: DataFrame, limits: Limits | None = None, mode: str = "permissive", seen=None, **options) -> DataFrame:
+    """Member rows of (path, content) containers.  failfast: a walk's error raises; permissive: rows before it stand.
+
+    seen: (DDL, f) of columns in content's place: f gives them as a dictionary from a row where it is read, so that contents, whose
+    holes may be far larger than the container, don't leave the task.
+    """
+    schema = MEMBER if seen is None else MEMBER.removesuffix("content binary") + seen[0]
+    target = to_arrow_schema(StructType.fromDDL(schema))
     columns = ["path", "content", *(["lengths"] if "lengths" in containers.columns else [])]
 
     def run(batches):
@@ -41,6 +46,8 @@ def members(containers: DataFrame, limits: Limits | None = None, mode: str = "pe
                 path, data, container, out = b.column("path")[i].as_py(), b.column("content")[i].as_py(), {}, []
                 held, disks = 0, b.column("lengths")[i].as_py() if len(columns) > 2 else None
                 for row in read_container(path, data or b"", container, limits, disks=disks, **options):
+                    if seen is not None:
+                        row |= seen[1](row) | {"content": None}
                     out.append(row)
                     held += len(row["content"] or b"")
                     if len(out) >= 1000 or held > 16 << 20:

@@ -49,12 +49,12 @@ def parts(spark, sf_dir, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr("p_brand AS path", "p_partkey AS id", "p_size AS n", "CAST('m' || p_partkey AS BINARY) AS name", "CAST(p_name AS BINARY) AS content", *columns)
 
 
-def shown(rows: DataFrame, *more) -> DataFrame:
 def many(rows: DataFrame) -> DataFrame:
     """rows, their containers cut to parts whose members one task can hold: path-part."""
     return ops.parted(rows, F.col("path"), F.col("name"), F.col("content"), 8 << 20)
 
 
+def shown(rows: DataFrame, *more) -> DataFrame:
     return rows.select(F.decode("name", "UTF-8").alias("name"), "size", F.sha2("content", 256).alias("sha256"), *more)
 
 
@@ -211,7 +211,7 @@ def _regions(n: int) -> tuple[list[tuple[int, int]], bytes, int]:
 
 
 def _sparse(rows):
-    out = b""
+    out = []
     for r in rows:
         (found, data, real), name, form = _regions(r["n"]), r["name"].decode(), r["form"]
         listed = [str(x) for region in found for x in region]
@@ -220,17 +220,17 @@ def _sparse(rows):
             pairs = [b"%011o\0%011o\0" % x for x in found]
             block[386:482], block[482], block[483:495], block[148:156] = b"".join(pairs[:4]).ljust(96, b"\0"), len(pairs) > 4, b"%011o\0" % real, b" " * 8
             block[148:156] = b"%06o\0 " % sum(block)
-            out += bytes(block) + (b"".join(pairs[4:]).ljust(512, b"\0") if len(pairs) > 4 else b"")
+            out += (block, b"".join(pairs[4:]).ljust(512, b"\0") if len(pairs) > 4 else b"")
         elif form == 1:
             both = [x for o, n in found for x in (("GNU.sparse.offset", o), ("GNU.sparse.numbytes", n))]
-            out += _pax(("GNU.sparse.size", real), ("GNU.sparse.numblocks", len(found)), *both) + _header(name, len(data))
+            out += (_pax(("GNU.sparse.size", real), ("GNU.sparse.numblocks", len(found)), *both), _header(name, len(data)))
         elif form == 2:
-            out += _pax(("GNU.sparse.size", real), ("GNU.sparse.numblocks", len(found)), ("GNU.sparse.name", name), ("GNU.sparse.map", ",".join(listed))) + _header("other", len(data))
+            out += (_pax(("GNU.sparse.size", real), ("GNU.sparse.numblocks", len(found)), ("GNU.sparse.name", name), ("GNU.sparse.map", ",".join(listed))), _header("other", len(data)))
         else:
             data = padded(("\n".join([str(len(found)), *listed]) + "\n").encode()) + data
-            out += _pax(("GNU.sparse.major", 1), ("GNU.sparse.minor", 0), ("GNU.sparse.name", name), ("GNU.sparse.realsize", real)) + _header("other", len(data))
-        out += padded(data)
-    return out + bytes(1024)
+            out += (_pax(("GNU.sparse.major", 1), ("GNU.sparse.minor", 0), ("GNU.sparse.name", name), ("GNU.sparse.realsize", real)), _header("other", len(data)))
+        out.append(padded(data))
+    return b"".join(out) + bytes(1024)
 
 
 SPARSE_SQL = """
@@ -241,31 +241,38 @@ FROM r, (VALUES (0), (1), (2), (3)) f(form)
 """
 
 
-def _sparse_rows(rows: DataFrame) -> DataFrame:
-    text = F.decode("content", "ISO-8859-1")
-    last = F.element_at("sparse_map", -1)
-    here = F.substring(text, (last.offset + 1).cast("int"), last.length.cast("int")) == F.repeat(F.chr(F.lit(96) + F.size("sparse_map")), last.length.cast("int"))
+def _found(row: dict) -> dict:
+    """A sparse member's letters, and whether the last region's are in their place, from its whole content."""
+    data, regions = row["content"], row["sparse_map"]
+    if data is None or not regions:
+        return {"letters": None, "in_place": None}
+    at, n = regions[-1]["offset"], regions[-1]["length"]
+    return {"letters": data.translate(None, b"\0").decode("iso-8859-1"), "in_place": data[at : at + n] == bytes([96 + len(regions)]) * n}
+
+
+def _sparse_rows(files: DataFrame) -> DataFrame:
+    rows = ops.members(files, seen=("letters string, in_place boolean", _found))
     return rows.select(
-        F.element_at(F.split("path", "-"), -1).cast("int").alias("form"), F.decode("name", "UTF-8").alias("name"), "size", "sparse",
-        F.array_join(F.transform("sparse_map", lambda x: F.concat(x.offset, F.lit(":"), x.length)), ",").alias("regions"), F.regexp_replace(text, "\\x00", "").alias("letters"), here.alias("in_place"),
+        F.element_at(F.split("path", "-"), -2).cast("int").alias("form"), F.decode("name", "UTF-8").alias("name"), "size", "sparse",
+        F.array_join(F.transform("sparse_map", lambda x: F.concat(x.offset, F.lit(":"), x.length)), ",").alias("regions"), "letters", "in_place",
     )
 
 
 def _sparse_files(spark, sf_dir) -> DataFrame:
     rows = parts(spark, sf_dir).withColumn("form", F.explode(F.array(*map(F.lit, range(4)))))
-    return written(rows.withColumn("path", F.concat("path", F.lit("-"), "form")), _sparse)
+    return written(many(rows.withColumn("path", F.concat("path", F.lit("-"), "form"))), _sparse)
 
 
 @query(SPARSE_SQL)
 def tar_sparse_scan(spark, sf_dir):
     """The old form with extension blocks, and the three of pax records."""
-    return _sparse_rows(ops.members(_sparse_files(spark, sf_dir)))
+    return _sparse_rows(_sparse_files(spark, sf_dir))
 
 
 @query(SPARSE_SQL)
 def tar_sparse_copy(spark, sf_dir):
     """Copies stay sparse."""
-    return _sparse_rows(ops.members(ops.copy(_sparse_files(spark, sf_dir), "tar")))
+    return _sparse_rows(ops.copy(_sparse_files(spark, sf_dir), "tar"))
 
 
 def _damaged(rows):
