@@ -57,7 +57,7 @@ def members(containers: DataFrame, limits: Limits | None = None, mode: str = "pe
                     raise ContainerError(container["status"], path)
                 yield pa.RecordBatch.from_pylist(out, schema=target)
 
-    return containers.select(*columns).mapInArrow(run, MEMBER)
+    return containers.select(*columns).mapInArrow(run, schema)
 
 
 def walks(containers: DataFrame, limits: Limits | None = None, **options) -> DataFrame:
@@ -94,7 +94,8 @@ def pack(rows: DataFrame, format: str, codec: str | None = None, **options) -> D
     """(path, content) containers from rows of path, name BINARY, content BINARY and any of the members' columns.
 
     Members are ordered by idx where the rows have one (nulls last) and then by name within a container, so equal rows give equal
-    bytes, a link follows what it names, and the last of equal names stays the last.
+    bytes, a link follows what it names, and the last of equal names stays the last.  With a column ``stored``, the content of members that have
+    a sparse_map is that of its regions, and size says the whole's.
     """
     schema = "path string, content binary"
     columns = [c for c in rows.columns if c != "content"]
@@ -103,7 +104,13 @@ def pack(rows: DataFrame, format: str, codec: str | None = None, **options) -> D
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by(order)
         data = t["content"]
-        pairs = ((m, data[i].as_py() or b"") for i, m in enumerate(t.select(columns).to_pylist()))
+
+        def pair(m: dict, own: bytes) -> tuple[dict, bytes]:
+            if not m.pop("stored", False) or m["sparse_map"] is None:
+                return m, own
+            return (m | {"real_size": m["size"]}, own) if format == "tar" else (m, tar.expanded(m, own))
+
+        pairs = (pair(m, data[i].as_py() or b"") for i, m in enumerate(t.select(columns).to_pylist()))
         return pa.table({"path": [t["path"][0].as_py()], "content": [write_container(format, pairs, codec, **options)]})
 
     return rows.groupBy("path").applyInArrow(run, schema)
@@ -166,7 +173,7 @@ def copy(containers: DataFrame, format: str, rename: Column | None = None, codec
     A walk that doesn't end well and a member whose data can't be read raise; with on_error="skip" the members that can be
     read are copied without them.
     """
-    rows = members(containers, mode="failfast" if on_error == "fail" else "permissive")
+    rows = members(containers, mode="failfast" if on_error == "fail" else "permissive", holes=False)
     if rename is not None:
         rows = rows.withColumn("name", rename.cast("binary"))
     if on_error == "fail":
@@ -174,8 +181,8 @@ def copy(containers: DataFrame, format: str, rename: Column | None = None, codec
         rows = rows.withColumn("content", F.when(F.col("data_status") == "OK", F.col("content")).otherwise(lost.cast("binary")))
     else:
         rows = rows.where("data_status = 'OK'")
-    kept = ("path", "idx", "name", "type", "link_target", "mtime_seconds", "mtime_ns", "mtime_source", "mode", "uid", "gid", "uname", "gname", "device_major", "device_minor", "sparse_map", "content")
-    return pack(rows.select(*kept), format, codec, **options)
+    kept = ("path", "idx", "name", "type", "link_target", "mtime_seconds", "mtime_ns", "mtime_source", "mode", "uid", "gid", "uname", "gname", "device_major", "device_minor", "size", "sparse_map", "content")
+    return pack(rows.select(*kept, F.lit(True).alias("stored")), format, codec, **options)
 
 
 def copy_raw(containers: DataFrame, prefix: bytes = b"") -> DataFrame:

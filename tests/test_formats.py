@@ -411,3 +411,13 @@ def test_hand_made_tars_grow_with_their_members():
     rows = [{"name": b"m%d" % i, "content": b"abc", "n": 1, "form": i % 4} for i in range(16_000)]
     assert len(read(foreign._v7(rows))[0]) == len(read(foreign._sparse(rows))[0]) == 16_000
     assert time.process_time() - began < 12
+
+
+def test_sparse_members_are_copied_without_their_holes():
+    regions, data = [{"offset": 4096, "length": 3}, {"offset": 1 << 20, "length": 0}], bytes(4096) + b"abc" + bytes((1 << 20) - 4099)
+    whole = write_container("tar", iter([({"name": b"holes", "sparse_map": regions}, data)]))
+    rows, _ = read(whole, holes=False)
+    assert rows[0]["content"] == b"abc" and rows[0]["size"] == 1 << 20
+    assert write_container("tar", iter([({"name": b"holes", "sparse_map": regions, "real_size": 1 << 20}, b"abc")])) == whole
+    with pytest.raises(ContainerError):
+        write_container("tar", iter([({"name": b"holes", "sparse_map": regions, "real_size": 1 << 20}, b"ab")]))

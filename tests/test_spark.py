@@ -245,3 +245,15 @@ def test_parts_are_bounded_by_members_too(spark):
     rows = spark.range(200_000).selectExpr("CAST('m' || id AS BINARY) AS name", "CAST('' AS BINARY) AS content")
     counts = ops.parted(rows, F.lit("k"), F.col("name"), F.col("content")).groupBy("path").count().collect()
     assert len(counts) > 4 and max(r["count"] for r in counts) < 60_000
+
+
+def test_sparse_members_in_copies(spark):
+    from holdfast.sources.containers import write_container
+
+    regions, data = [{"offset": 512, "length": 3}], bytes(512) + b"abc" + bytes(1000)
+    files = spark.createDataFrame([("a", bytearray(write_container("tar", iter([({"name": b"n", "sparse_map": regions}, data)]))))], "path string, content binary")
+    for kind in ("tar", "zip", "cpio"):
+        row = ops.members(ops.copy(files, kind)).first()
+        assert bytes(row.content) == data and row.size == len(data) and row.sparse == (kind == "tar")
+    seen = ops.members(files, seen=("n int", lambda r: {"n": len(r["content"])}))
+    assert seen.first().n == len(data) and "content" not in seen.columns
