@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import alnum_words, map_rows, pieces, settled, small_batches, text_bytes, tidy
 
 ORDER, SPAN, DISCOUNT = 8, 20, 0.75
-BROADCAST_BYTES, LABEL_BYTES, CACHE, CACHE_BYTES, CHUNK_BYTES, BLOCK_BYTES = 64 << 20, 32, 200_000, 16 << 20, 64 << 20, 8 << 20
+BROADCAST_BYTES, LABEL_BYTES, CACHE, CACHE_BYTES, CHUNK_BYTES, BLOCK_BYTES, SLICE = 64 << 20, 32, 200_000, 16 << 20, 64 << 20, 4 << 20, 20_000
 THRESHOLD = 0.3
 
 
@@ -104,6 +105,13 @@ def _nodes(words):
 
 def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = 20_000, seed: int = 7) -> dict:
     """A model: log ratios by node, as a table, and the regression's weights."""
+    try:
+        return _fitted(docs, labels, calibration_rows, seed)
+    finally:  # its frames refer to its tables, whose shuffle files go only now, before documents are scored
+        _release(docs)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, calibration_rows: int, seed: int) -> dict:
     seen = _labelled(docs, labels, [0, 1, 3]).select("text", "toxic", (remainder() == 3).cast("int").alias("held"))
     counted = map_rows(seen, _count, "node bigint, o bigint, t bigint, held_o bigint, held_t bigint")
     # One shuffle, by context: a context's nodes are summed up and compared where they lie.
@@ -129,14 +137,21 @@ def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = 20_000, seed
             weights = _calibrate(_labelled(docs, labels, [0, 1, 3]), model, calibration_rows, seed)
     finally:
         kept.unpersist()
-        _release(docs)
     return {"nodes": model, "weights": weights}
 
 
 def _release(docs: DataFrame) -> None:
-    """Shuffle files of finished steps go when neither Python nor the driver's JVM refers to them."""
+    """Shuffle files of finished steps go when neither Python nor the driver's JVM refers to them.
+
+    A thread of py4j's tells the JVM, some time later, which objects Python has dropped: the JVM's collection waits for it.
+    """
     gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
+    sc = docs.sparkSession.sparkContext
+    told, until = getattr(sc._gateway._gateway_client, "finalizer_deque", ()), time.monotonic() + 20
+    while told and time.monotonic() < until:
+        time.sleep(0.05)
+    time.sleep(0.1)  # the last one may be on its way
+    sc._jvm.System.gc()
 
 
 def _shared(tails: dict[int, int]) -> list[tuple[int, float]]:
@@ -172,7 +187,7 @@ class Scorer:
 
     def __init__(self, nodes, step):
         order = np.argsort(nodes)
-        self.nodes, self.step = nodes[order], step[order].astype(np.float64)
+        self.nodes, self.step = nodes[order], step[order]
 
     def _step(self, nodes):
         if not len(self.nodes):
@@ -181,12 +196,13 @@ class Scorer:
         return self.step[at], self.nodes[at] == nodes
 
     def evidence(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.zeros(0)
-        nodes, lengths = _packed(words)
-        step, seen = self._step(nodes)
-        below, known = self._step(nodes & ~np.int64(255))
-        return np.add.reduceat(np.where(seen, step, np.where(known, below, 0.0)), np.cumsum(lengths) - lengths)
+        out = [np.zeros(0)]
+        for i in range(0, len(words), SLICE):
+            nodes, lengths = _packed(words[i : i + SLICE])
+            step, seen = self._step(nodes)
+            below, known = self._step(nodes & ~np.int64(255))
+            out.append(np.add.reduceat(np.where(seen, step, np.where(known, below, 0)).astype(np.float64), np.cumsum(lengths) - lengths))
+        return np.concatenate(out)
 
 
 def features(evidence: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -218,7 +234,7 @@ def _features(docs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
     chunks = pieces(text_bytes(docs)[1], CHUNK_BYTES)
 
     def deal(batches):
-        """Blocks of documents as numbers of their words, beside the words."""
+        """Blocks of documents as numbers of their words, beside the words, the most frequent first."""
         at = TaskContext.get().partitionId()
         rows, index, size, ids = [], [], 0, defaultdict(itertools.count().__next__)
         for b in batches:
@@ -239,15 +255,20 @@ def _features(docs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
 
     def block(rows, index, ids, chunk):
         flat = np.concatenate(index)
-        own = pa.array(flat.astype(np.uint16 if len(ids) <= 1 << 16 else np.int32))
-        ends = np.cumsum([0, *map(len, index)])
-        t = pa.Table.from_batches(rows).append_column("_words", pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), own)).combine_chunks()
+        order = np.argsort(-np.bincount(flat, minlength=len(ids)), kind="stable")
+        rank = np.empty(len(ids), "<i4")
+        rank[order] = np.arange(len(ids))
+        # All lowest bytes, then all second ones, and so on: those of high order are mostly zero.
+        numbers = np.ascontiguousarray(rank[flat].view(np.uint8).reshape(-1, 4).T)
+        t = pa.Table.from_batches(rows).append_column("_n", pa.array([len(x) for x in index], pa.int64())).combine_chunks()
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
             out.write_table(t)
-        words = pa.Codec("zstd", 3).compress(b" ".join(ids), asbytes=True)
-        columns = [[chunk], [sink.getvalue().to_pybytes()], [words], [sum(map(len, ids)) + max(0, len(ids) - 1)]]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.int64()))], names=["chunk", "block", "words", "size"])
+        listed = list(ids)
+        words = b" ".join([listed[i] for i in order.tolist()])
+        coded = [[pa.Codec("zstd", 3).compress(x, asbytes=True)] for x in (numbers.tobytes(), words)]
+        columns = [[chunk], [sink.getvalue().to_pybytes()], *coded, [len(words)]]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), *[pa.binary()] * 3, pa.int64()))], names=["chunk", "block", "numbers", "words", "size"])
 
     def vocabularies(t):
         for words, size in zip(t.column("words"), t.column("size").to_pylist()):
@@ -269,17 +290,19 @@ def _features(docs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
     def run(t, part):
         s = Scorer(*(part.column(c).to_numpy() for c in ("node", "step")))
         out = []
-        for words, x in zip(vocabularies(t), t.column("block")):
+        for words, x, numbers in zip(vocabularies(t), t.column("block"), t.column("numbers")):
             rows = pa.ipc.open_stream(x.as_buffer()).read_all().combine_chunks()
-            index = rows.column("_words").combine_chunks()
-            if isinstance(index, pa.ChunkedArray):
-                index = index.chunk(0)
-            got = features(s.evidence(words)[index.values.to_numpy()], np.diff(index.offsets.to_numpy()))
+            lengths = rows.column("_n").to_numpy()
+            index = np.zeros(0, np.int32)
+            if total := int(lengths.sum()):
+                planes = np.frombuffer(pa.Codec("zstd").decompress(numbers.as_buffer(), 4 * total, asbytes=True), np.uint8).reshape(4, total)
+                index = np.ascontiguousarray(planes.T).view("<i4").ravel()
+            got = features(s.evidence(words)[index], lengths)
             out.append(rows.select(names).append_column(column, pa.FixedSizeListArray.from_arrays(pa.array(got.ravel()), got.shape[1]).cast(pa.list_(pa.float64()))))
         tidy()
         return pa.concat_tables(out)
 
-    dealt = small_batches(docs).mapInArrow(deal, "chunk int, block binary, words binary, size bigint")
+    dealt = small_batches(docs).mapInArrow(deal, "chunk int, block binary, numbers binary, words binary, size bigint")
     asks = dealt.groupBy("chunk").applyInArrow(asked, "chunk int, context bigint, wanted array<smallint>")
     own = nodes.select("node", "step", F.shiftrightunsigned("node", 8).alias("context"), F.col("node").bitwiseAND(F.lit(255)).cast("smallint").alias("last"))
     parts = asks.join(own, "context").where((F.col("last") == 0) | F.array_contains("wanted", F.col("last"))).select("chunk", "node", "step")

@@ -495,3 +495,21 @@ def test_randomness_battery():
     p = [secret_scan.randomness_p(rng.choice(letters, 40).tobytes()) for _ in range(300)]
     assert np.mean(np.array(p) < 0.001) < 0.02
     assert secret_scan.randomness_p(b"ab" * 30) < 1e-6 and secret_scan.randomness_p(b"0123456789" * 5) < 1e-3
+
+
+def test_op3_fit_leaves_no_shuffle_files(spark, tmp_path):
+    """What fitting shuffled is gone when it returns, but for a part that waits for a cleaner: scoring needs the disk."""
+    import time
+
+    rng = np.random.default_rng(31)
+    rows = [(i, " ".join("".join(w) for w in rng.choice(list("abcdefgh"), (200, 6))), int(i % 5 == 0)) for i in range(600)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([r[::2] for r in rows], "doc_id bigint, toxic int")
+    # Shuffles that the tracker of map outputs still knows have their files.
+    known = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses
+    toxicity._release(docs)
+    time.sleep(3)
+    before = {str(x) for x in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(known().keySet())}
+    model = toxicity.fit(docs, labels)
+    time.sleep(3)
+    after = {str(x) for x in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(known().keySet())}
+    assert model["weights"] is not None and not after - before
